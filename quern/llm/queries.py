@@ -6,6 +6,9 @@ from importlib import import_module
 
 #: Query name and its module in this subpackage.
 MODULES = {
+    "op3_mix_sources": "mixing",
+    "op5_hash_tree_shards": "sharding",
+    "op6_benchmark_decontamination": "decontaminate",
     "op10_ngram_jaccard_join": "jaccard_join",
 }
 
