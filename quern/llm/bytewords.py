@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _RNG = np.random.default_rng(20240611)
 _CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -82,10 +82,16 @@ class Words:
         self.bounds = np.searchsorted(self.start, off)  # of the words of each text
         self.counts = np.diff(self.bounds)
         self.text = np.repeat(np.arange(self.texts), self.counts)
-        up, down = _powers(len(data))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_CODE[self.data] * up, out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start]) if len(self.start) else np.zeros(0, np.uint64)
+        up, self._down = _powers(len(data))
+        self._total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_CODE[self.data] * up, out=self._total[1:])
+        self.hash = self.parts(self.start, self.end)
+
+    def parts(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of runs of bytes, none of them across texts."""
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        return mix((self._total[end] - self._total[start]) * self._down[np.minimum(start, len(self._down) - 1)])
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of each run of k words inside one text."""

@@ -6,9 +6,15 @@ from importlib import import_module
 
 #: Query name and its module in this subpackage.
 MODULES = {
+    "op1_toxicity": "toxicity",
+    "op2_html_text": "html_extract",
     "op3_mix_sources": "mixing",
+    "op4_secret_scan": "secret_scan",
     "op5_hash_tree_shards": "sharding",
     "op6_benchmark_decontamination": "decontaminate",
+    "op7_warc": "warc",
+    "op8_license_scan": "license_scan",
+    "op9_exact_dedup": "exact_dedup",
     "op10_ngram_jaccard_join": "jaccard_join",
 }
 

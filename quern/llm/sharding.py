@@ -91,3 +91,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 def op5_hash_tree_shards(spark, sf_dir: str) -> DataFrame:
     rows = shard(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def sharded(docs: DataFrame, id_col: str = "doc_id", shards: int = SHARDS) -> DataFrame:
+    """docs with their shard; no row moves. A column named shard is replaced."""
+    return docs.withColumn("shard", shard_of(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), tree(shards)))
