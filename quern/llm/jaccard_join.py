@@ -1,19 +1,23 @@
 """Exact Jaccard self-join of word-shingle sets as a metric-space join.
 
-Sets live in the symmetric-difference metric, whose normalised form is the Jaccard distance: with
-|x| + |y| = s, similarity >= t means |x ^ y| <= s * (1 - t) / (1 + t).
-
-1. Pivot "empty set": its distance to x is |x|. Shells of sizes are the regions; a set is replicated
-   to the next shell only if the triangle inequality lets it reach into it.
-2. Pivots "residue classes": a shell's shingles are dealt into m classes, m above the largest difference
-   that a link allows, so any two linked sets agree wholly on some class. Sets that agree on a class
-   share a region. (With m above that difference by SLACK, classes on which a set is empty need no region.)
-   Plain document pivots don't divide such data: nearly all pairs of texts lie at distance one, so every
-   window would hold every document.
-3. In each region the smallest member is the document pivot. Exact distances of the others to it are
-   computed; linked ones join its component. A region with several components left compares members of
-   different components, inside the triangle window |d(x, pivot) - d(y, pivot)| <= 1 - t only; a
-   region of more than REGION members is first divided again by fresh classes, recursively.
+Sets live in the metric space of the Jaccard distance; sets at most 1 - t apart are linked.
+
+1. Pivot "empty set", in the symmetric-difference metric of which Jaccard's is the normalised form: the distance to
+   it is |x|. Shells of sizes are the regions; a set is replicated to the next shell only if the triangle
+   inequality lets a linked set lie there.
+2. Pivots "single shingles", rare ones first: a set's Voronoi region is that of its rarest shingle, and it is
+   replicated to the regions of as many further ones as a linked set may lack (|x| - ceil(t * |x|)). Linked sets
+   meet in a region. Any fixed order of shingles is exact; a bounded table of frequent ones only makes it fast.
+   Document pivots alone don't divide such data at first: nearly all pairs of texts lie at distance one,
+   so every window would hold every document.
+3. Pivots "residue classes" of shingles: a set's distances to CLASSES of them are its counts in each. By the triangle
+   inequality summed counts of linked sets differ by no more than the sets do, which parts nearly all sets that met
+   by chance. Sets that still meet, directly or through others, form a region; every link lies inside one. A region of more than
+   REGION sets is divided by document pivots: each set goes to the Voronoi region of its nearest pivot and
+   to those whose pivot is at most 2 * (1 - t) further than the nearest (triangle inequality: a linked set
+   may have its home there). This recurs LEVELS times. A region that is still larger, or whose sets would go to
+   more than COPIES homes on average because they lie too close, is dealt into blocks, all pairs of which are regions.
+4. Each region, now bounded, is joined in memory exactly; of its links a spanning forest is returned.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +35,14 @@ from quern.llm.bytewords import NOT_SPACE, Words, mix, slices, sums
 from quern.llm.common import arrow_rows, cut, small
 from quern.llm.graph import components
 
-SHELL, SLACK, REGION, LEVELS = 1.5, 2, 64, 3
-_ONE, _TWO = np.uint64(0x1234567DEADBEEF1), np.uint64(0x9876543CAFEF00D3)
+SHELL, REGION, LEVELS, PIVOTS, COPIES = 1.5, 1024, 3, 12, 3
+#: Shingles that are counted together in memory; those met LOCAL times there are candidates for the table of at most FREQUENT.
+COUNTED, LOCAL, FREQUENT = 1 << 20, 3, 200_000
+#: Classes of shingles, and sets of one meeting that are compared with each other; in a larger meeting all may be near.
+CLASSES, MEETING = 128, 1024
+#: Columns of the dense 0/1 matrix by which a region's common shingles are counted.
+COLUMNS = 2048
+_ONE, _TWO, _THREE = np.uint64(0x1234567DEADBEEF1), np.uint64(0x9876543CAFEF00D3), np.uint64(0x5A5A5C3F1E2D3B49)
 
 
 def identity(text: np.ndarray, value: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,37 +58,50 @@ def shells(largest: int, num: int) -> np.ndarray:
     return np.array([*low, int(np.ceil(low[-1] * max(SHELL, 100 / num))) + 1], np.int64)
 
 
-def region_keys(text: np.ndarray, value: np.ndarray, sizes: np.ndarray, num: int, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the regions that each set enters. text, value: as Words.shingles gives them."""
+class Rarity:
+    """How often frequent shingles are met; all others count 0."""
+
+    def __init__(self, shingles: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(shingles)
+        self.shingles, self.counts = shingles[order], counts[order]
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(shingles >> np.uint64(42)).astype(np.int64)] = True
+
+    def of(self, value: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(value), np.int64)
+        some = np.flatnonzero(self.maybe[(value >> np.uint64(42)).astype(np.int64)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.shingles, value[some]), len(self.shingles) - 1)
+            out[some] = np.where(self.shingles[at] == value[some], self.counts[at], 0)
+        return out
+
+
+def rarest(text: np.ndarray, value: np.ndarray, sizes: np.ndarray, wanted: np.ndarray, rarity: Rarity) -> tuple[np.ndarray, np.ndarray]:
+    """(text, shingle) of the `wanted` rarest shingles of each set; ties by value. text, value: sorted, as Words.shingles gives them."""
+    often = rarity.of(value)
+    rare = often == 0
+    seen = np.cumsum(rare)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    before = np.append(0, seen)[starts[:-1]]
+    chosen = rare & (seen - before[text] <= wanted[text])
+    for i in np.flatnonzero(np.append(0, seen)[starts[1:]] - before < wanted):
+        own = slice(starts[i], starts[i + 1])
+        chosen[own] = False
+        chosen[starts[i] + np.lexsort((value[own], often[own]))[: wanted[i]]] = True
+    return text[chosen], value[chosen]
+
+
+def region_keys(text: np.ndarray, value: np.ndarray, sizes: np.ndarray, num: int, rarity: Rarity) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the regions that each set enters."""
     low = shells(int(sizes.max(initial=0)), num)
     own = np.searchsorted(low, sizes, "right") - 1
-    rows, keys = [], []
-    starts = np.searchsorted(text, np.arange(len(sizes) + 1))
-    for shell, rows_in in ((own, sizes > 0), (own + 1, (sizes > 0) & (sizes * 100 // num >= low[np.minimum(own + 1, len(low) - 1)]))):
-        upper = low[np.minimum(shell + 1, len(low) - 1)] - 1
-        apart = (100 - num) * 2 * upper // (100 + num)
-        chosen = np.flatnonzero(rows_in & (apart > 0))  # without a difference allowed only equal sets link
-        if not len(chosen):
-            continue
-        m = apart[chosen] + 1 + SLACK
-        base = np.concatenate([[0], np.cumsum(m)])
-        n = sizes[chosen]
-        at = np.repeat(starts[chosen] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        h = value[at]
-        seed = mix(np.uint64(level) * np.uint64(7919) + shell[chosen].astype(np.uint64) + np.uint64(1))
-        which = np.repeat(base[:-1], n) + (mix(h ^ np.repeat(seed, n)) % np.repeat(m, n).astype(np.uint64)).astype(np.int64)
-        total = np.zeros(base[-1], np.uint64)
-        np.add.at(total, which, mix(h))
-        full = np.bincount(which, minlength=base[-1]) > 0
-        owner = np.repeat(np.arange(len(chosen)), m)
-        empties = np.bincount(owner[~full], minlength=len(chosen))
-        emit = full | (empties[owner] > SLACK)
-        place = np.arange(base[-1]) - base[:-1][owner]
-        rows.append(chosen[owner[emit]])
-        keys.append(mix(total[emit] ^ mix(seed[owner[emit]] + place[emit].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(rows), np.concatenate(keys)
+    # where no difference is allowed only equal sets link
+    wanted = np.where(2 * (sizes * 100 // num) * (100 - num) // (100 + num) > 0, sizes - -(-sizes * num // 100) + 1, 0)
+    row, shingle = rarest(text, value, sizes, wanted, rarity)
+    further = sizes * 100 // num >= low[np.minimum(own + 1, len(low) - 1)]
+    rows, keys = [row], [mix(shingle ^ mix(own[row].astype(np.uint64) + np.uint64(1)))]
+    row, shingle = row[further[row]], shingle[further[row]]
+    return np.concatenate([*rows, row]), np.concatenate([*keys, mix(shingle ^ mix(own[row].astype(np.uint64) + np.uint64(2)))])
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -91,16 +115,39 @@ def _names(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
     for batch in batches:
         for first, texts, text, value, sizes in _sets(batch, k):
             n1, n2 = identity(text, value, texts)
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, texts), pa.array(sizes), pa.array(n1), pa.array(n2)], ["id", "n", "n1", "n2"])
+            counts = np.bincount(text * CLASSES + (mix(value ^ _THREE) >> np.uint64(64 - CLASSES.bit_length() + 1)).astype(np.int64), minlength=texts * CLASSES)
+            whole = np.minimum(counts, 255).astype(np.uint8).tobytes()
+            classes = pa.array([whole[i * CLASSES : (i + 1) * CLASSES] for i in range(texts)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, texts), pa.array(sizes), pa.array(n1), pa.array(n2), classes], ["id", "n", "n1", "n2", "classes"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(shingle, met) of shingles that are met at least LOCAL times in COUNTED of them."""
+    held, n = [], 0
 
+    def often() -> pa.RecordBatch:
+        shingle, met = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(shingle[met >= LOCAL].view(np.int64)), pa.array(met[met >= LOCAL])], ["shingle", "met"])
 
-def _regions(batches: Iterator[pa.RecordBatch], k: int, num: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, _, value, _ in _sets(batch, k):
+            held.append(value)
+            n += len(value)
+            if n >= COUNTED:
+                yield often()
+                held, n = [], 0
+    if n:
+        yield often()
+
+
+def _regions(batches: Iterator[pa.RecordBatch], k: int, num: int, held: Broadcast) -> Iterator[pa.RecordBatch]:
+    rarity = Rarity(*held.value)
     for batch in batches:
         for _, texts, text, value, sizes in _sets(batch, k):
             n1, _ = identity(text, value, texts)
             kept = np.zeros(texts, bool)
             kept[np.unique(n1, return_index=True)[1]] = True  # equal sets enter once from here
-            rows, keys = region_keys(text[kept[text]], value[kept[text]], np.where(kept, sizes, 0), num)
+            rows, keys = region_keys(text[kept[text]], value[kept[text]], np.where(kept, sizes, 0), num, rarity)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n1[rows])], ["key", "node"])
 
 
@@ -108,50 +155,166 @@ def _wanted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
     for batch in batches:
         for _, texts, text, value, sizes in _sets(batch, k):
             n1, n2 = identity(text, value, texts)
-            items = pa.ListArray.from_arrays(np.searchsorted(text, np.arange(texts + 1)).astype(np.int32), pa.array(value.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(n1), pa.array(n2), pa.array(sizes), items], ["n1", "n2", "n", "items"])
-
+            ends = np.searchsorted(text, np.arange(texts + 1))
+            items = pa.array([value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(n1), pa.array(n2), items], ["n1", "n2", "items"])
 
-def _again(batches: Iterator[pa.RecordBatch], num: int, level: int) -> Iterator[pa.RecordBatch]:
-    """Fresh classes inside each region."""
-    for batch in batches:
-        items = batch.column("items")
-        sizes = items.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        value = items.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        rows, keys = region_keys(np.repeat(np.arange(len(sizes)), sizes), value, sizes, num, level)
-        region = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(mix(keys ^ region[rows]).view(np.int64)), pa.array(batch.column("node").to_numpy(zero_copy_only=False)[rows])], ["key", "node"])
 
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, node): (meeting, node) of keys with several nodes; meetings of the same nodes have one name.
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, node): each further node of a key with the key's first. Holds one row between batches."""
-    last = None  # key, node, pivot
+    Holds the last key's nodes between batches; of a key with more than MEETING, which is named by itself, just one.
+    """
+    last, held, named = None, np.zeros(0, np.int64), None
     for batch in batches:
         if not batch.num_rows:
             continue
         key, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node"))
-        new, again = np.ones(len(key), bool), np.zeros(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        again[1:] = ~new[1:] & (node[1:] == node[:-1])
-        if last and last[0] == key[0]:
-            new[0], again[0] = False, node[0] == last[1]
-        head = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-        pivot = np.where(head >= 0, node[np.maximum(head, 0)], last[2] if last else 0)
-        out = ~again & (pivot != node) & ~new
-        last = key[-1], node[-1], pivot[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(pivot[out]), pa.array(node[out])], ["key", "pivot", "node"])
-
-
-def _starred(members: DataFrame) -> DataFrame:
-    return cut(members.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_stars, "key long, pivot long, node long"))
-
+        if last is not None:
+            key, node = np.concatenate([np.full(len(held), last), key]), np.concatenate([held, node])
+        fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+        key, node = key[fresh], node[fresh]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        ends = np.append(starts[1:], len(key))
+        name = np.add.reduceat(mix(node.view(np.uint64)), starts).view(np.int64)
+        if named is not None and key[0] == last:
+            name[0] = named
+        else:
+            named = None
+        size = ends - starts
+        size[0] += named is not None  # there were more before
+        last, held = key[-1], node[starts[-1] :]
+        out = size > 1
+        if len(held) <= MEETING and not (named is not None and len(starts) == 1):
+            out[-1], named = False, None
+        else:
+            name[-1] = named = int(mix(np.array([last]).view(np.uint64)).view(np.int64)[0])
+            held = held[-1:]
+        row = np.repeat(out, ends - starts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, ends - starts)[row]), pa.array(node[row])], ["meeting", "node"])
+    if named is None and len(held) > 1:
+        name = np.add.reduce(mix(held.view(np.uint64))).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), name)), pa.array(held)], ["meeting", "node"])
+
+
+def _near(batches: Iterator[pa.RecordBatch], num: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (meeting, node, n, classes) sorted by meeting: a forest (a, b) of the nodes that may be linked."""
+    held: list[tuple] = []
+    last, first = None, None  # first: set once a meeting is too large, whose nodes then all hang on it
+
+    def solve() -> pa.RecordBatch:
+        node = np.array([r[0] for r in held], np.int64)
+        if any(r[2] is None for r in held):  # two sets have one node number: all may be near
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(node) - 1, node[0])), pa.array(node[1:])], ["a", "b"])
+        n = np.array([r[1] for r in held], np.int64)
+        counts = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), -1).astype(np.int16)
+        held.clear()
+        apart = np.stack([np.abs(counts - row).sum(1, dtype=np.int64) for row in counts])
+        allowed = (apart * (100 + num) <= (100 - num) * (n[:, None] + n[None, :])) & (100 * n[:, None] >= num * n[None, :]) & (100 * n[None, :] >= num * n[:, None])
+        root, far = _forest(allowed)
+        return pa.RecordBatch.from_arrays([pa.array(node[root]), pa.array(node[far])], ["a", "b"])
 
-def _measured(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
-    """Exact distances of pairs (x, y) of nodes."""
-    side = lambda c: sets.select(F.col("n1").alias(c), F.struct("n1", "n2").alias(f"{c}_id"), F.col("n").alias(f"{c}_n"), F.col("items").alias(f"{c}_items"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("common", F.size(F.array_intersect("x_items", "y_items")).cast("long"))
-    union = F.col("x_n") + F.col("y_n") - F.col("common")
-    return both.select("x", "y", "x_id", "y_id", (1 - F.col("common") / union).alias("apart"), (100 * F.col("common") >= num * union).alias("linked"))
+    for batch in batches:
+        meeting, node, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("meeting", "node", "n"))
+        classes = batch.column("classes").to_pylist()
+        hung: list[tuple[int, int]] = []
+        for i, name in enumerate(meeting):
+            if name != last:
+                if len(held) > 1:
+                    yield solve()
+                held.clear()
+                last, first = name, None
+            if first is not None:
+                hung.append((first, node[i]))
+                continue
+            held.append((node[i], n[i], classes[i]))
+            if len(held) > MEETING:
+                first = held[0][0]
+                hung += [(first, r[0]) for r in held[1:]]
+                held.clear()
+        if hung:
+            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hung], pa.int64()) for k in (0, 1)], ["a", "b"])
+    if len(held) > 1:
+        yield solve()
+
+
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, node) of all nodes that aren't the smallest of their component."""
+    g = len(linked)
+    root = np.arange(g, dtype=np.int32)
+    while True:
+        least = np.minimum(np.where(linked, root[None, :], np.int32(g)).min(1), root)
+        if (least == root).all():
+            break
+        root = least
+    far = np.flatnonzero(root != np.arange(g))
+    return root[far], far
+
+
+def _homes(batches: Iterator[pa.RecordBatch], num: int) -> Iterator[pa.RecordBatch]:
+    """The Voronoi regions that each set enters: its nearest pivot's, and those within the window."""
+    for batch in batches:
+        items = [np.frombuffer(v, np.int64) for v in batch.column("items").to_pylist()]
+        pivots = [[np.frombuffer(p, np.int64) for p in own] for own in batch.column("pivots").to_pylist()]
+        homes = []
+        for x, own in zip(items, pivots, strict=True):
+            apart = []
+            for p in own:
+                common = len(np.intersect1d(x, p, assume_unique=True))
+                apart.append(1 - common / (len(x) + len(p) - common))
+            homes.append(np.flatnonzero(np.array(apart) <= min(apart) + 2 * (100 - num) / 100 + 1e-9).tolist())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("region", "n1", "n2", "items", "members")), pa.array(homes, pa.list_(pa.int32()))], ["region", "n1", "n2", "items", "members", "homes"])
+
+
+def _joined(items: list[np.ndarray], num: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the links of a region's sets."""
+    g, n = len(items), np.array([len(v) for v in items], np.int64)
+    value, column, often = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    member = np.repeat(np.arange(g), n)
+    place = np.cumsum(often > 1) - 1
+    shared = often[column] > 1
+    member, column = member[shared], place[column[shared]]
+    common = np.zeros((g, g), np.int32)
+    order = np.argsort(column, kind="stable")
+    member, column = member[order], column[order]
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, [a, a + COLUMNS])
+        dense = np.zeros((g, min(COLUMNS, int(column[hi - 1]) - a + 1)), np.float32)
+        dense[member[lo:hi], column[lo:hi] - a] = 1
+        common += (dense @ dense.T).astype(np.int32)
+    linked = 100 * common >= num * (n[:, None] + n[None, :] - common)
+    return _forest(linked)
+
+
+def _regions_joined(batches: Iterator[pa.RecordBatch], num: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by region and set: the links' forest in each region. Holds one region between batches."""
+    held: list[pa.RecordBatch] = []
+
+    def solve() -> pa.RecordBatch | None:
+        n1, n2 = (np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c in ("n1", "n2"))
+        items = [np.frombuffer(v, np.int64) for x in held for v in x.column("items").to_pylist()]
+        held.clear()
+        first = np.flatnonzero(np.append(True, (n1[1:] != n1[:-1]) | (n2[1:] != n2[:-1])))  # a set may come twice
+        if len(first) < 2:
+            return None
+        n1, n2, items = n1[first], n2[first], [items[i] for i in first]
+        a, b = _joined(items, num)
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (n1[a], n2[a], n1[b], n2[b])], ["a1", "a2", "b1", "b2"])
+
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        region = batch.column("region").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(region[1:] != region[:-1]) + 1).tolist(), len(region)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and region[a] != last and (out := solve()) is not None:
+                yield out
+            held.append(batch.slice(a, b - a))
+            last = region[a]
+    if held and (out := solve()) is not None:
+        yield out
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -165,10 +328,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Other columns are not looked at. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
+    arrow_rows(spark, 500)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    names = cut(rows.mapInArrow(partial(_names, k=words), f"id {kind}, n long, n1 long, n2 long"))
+    names = cut(rows.mapInArrow(partial(_names, k=words), f"id {kind}, n long, n1 long, n2 long, classes binary"))
     links = _links(rows, names, words, percent)
     roots = components(links).select(F.col("node.n1").alias("n1"), F.col("node.n2").alias("n2"), "root")
     nodes = names.where("n > 0").groupBy("n1", "n2").agg(F.min("id").alias("least"), F.count("*").alias("copies")).join(roots, ["n1", "n2"], "left")
@@ -180,44 +343,55 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _large(members: DataFrame) -> DataFrame:
+    """(region, members) of regions that need dividing."""
+    return cut(members.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > REGION))
+
+
 def _links(rows: DataFrame, names: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges (a, b) between (n1, n2) that hold all components of the linked nodes."""
-    stars = _starred(rows.select("text").mapInArrow(partial(_regions, k=words, num=percent), "key long, node long"))
-    involved = cut(stars.select(F.col("pivot").alias("n1")).unionByName(stars.select(F.col("node").alias("n1"))).distinct())
-    ids = names.join(small(involved), "n1", "left_semi").groupBy("n1", "n2").agg(F.min("id").alias("id")).select("id").distinct()
-    ids = cut(ids)
+    often = rows.select("text").mapInArrow(partial(_counted, k=words), "shingle long, met long").groupBy("shingle").agg(F.sum("met").alias("met"))
+    frequent = often.orderBy(F.desc("met"), "shingle").limit(FREQUENT).toPandas()  # bounded, and exactness doesn't rest on it
+    held = rows.sparkSession.sparkContext.broadcast((frequent["shingle"].to_numpy(np.int64).view(np.uint64), frequent["met"].to_numpy(np.int64)))
+    entered = rows.select("text").mapInArrow(partial(_regions, k=words, num=percent, held=held), "key long, node long")
+    met = cut(entered.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meetings, "meeting long, node long").distinct())
+    several = small(met.select(F.col("node").alias("n1")).distinct())
+    counted = names.join(several, "n1", "left_semi").groupBy(F.col("n1").alias("node")).agg(F.first("n").alias("n"), F.when(F.min("n2") == F.max("n2"), F.first("classes")).alias("classes"))
+    near = met.join(counted, "node").repartition("meeting").sortWithinPartitions("meeting").mapInArrow(partial(_near, num=percent), "a long, b long")
+    meeting = components(near).select(F.col("node").alias("n1"), F.col("root").alias("region"))
+    # one text of each set that meets another
+    ids = cut(names.join(small(meeting), "n1", "left_semi").groupBy("n1", "n2").agg(F.min("id").alias("id")).select("id").distinct())
     texts = rows.join(small(ids), rows["id"].eqNullSafe(ids["id"]), "left_semi")
-    sets = texts.select("text").mapInArrow(partial(_wanted, k=words), "n1 long, n2 long, n long, items array<long>")
-    sets = cut(sets.join(small(involved), "n1", "left_semi").dropDuplicates(["n1", "n2"]))
-
-    measured = cut(_measured(stars.select(F.col("pivot").alias("x"), F.col("node").alias("y")).distinct(), sets, percent))
-    for level in range(1, LEVELS + 2):
-        linked = measured.where("linked").select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
-        roots = components(linked)
-        root = roots.groupBy(F.col("node.n1").alias("node")).agg(F.min("root").alias("root"))
-        away = measured.select(F.col("x").alias("pivot"), F.col("y").alias("node"), "apart").groupBy("pivot", "node").agg(F.min("apart").alias("apart"))
-        inside = stars.join(away, ["pivot", "node"], "left").unionByName(stars.select("key", "pivot", F.col("pivot").alias("node"), F.lit(0.0).alias("apart")).distinct())
-        inside = inside.join(root, "node", "left").withColumn("root", F.coalesce("root", F.struct(F.col("node").alias("n1"), F.lit(0).cast("long").alias("n2"))))
-        open_keys = inside.groupBy("key").agg(F.count("*").alias("members"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi and members > 2").select("key", "members")
-        inside = cut(inside.join(open_keys, "key"))
-        if inside.isEmpty():
-            return linked
-        large = inside.where(F.col("members") > REGION) if level <= LEVELS else inside.limit(0)
-        part = inside.where((F.col("members") <= REGION) | F.lit(level > LEVELS))
-        sizes = sets.groupBy(F.col("n1").alias("node")).agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
-        part = part.where("node <> pivot").join(sizes, "node")
-        x, y = (part.select("key", *(F.col(c).alias(f"{s}_{c}") for c in ("node", "apart", "root", "n_min", "n_max"))) for s in "xy")
-        pairs = x.join(y, "key").where((F.col("x_node") < F.col("y_node")) & (F.col("x_root") != F.col("y_root")) & (F.abs(F.col("x_apart") - F.col("y_apart")) * 100 <= 100 - percent + 1e-6) & (100 * F.col("x_n_max") >= percent * F.col("y_n_min")) & (100 * F.col("y_n_max") >= percent * F.col("x_n_min")))
-        pairs = pairs.select(F.col("x_node").alias("x"), F.col("y_node").alias("y")).distinct()
-        if not large.isEmpty():
-            stars = _starred(large.select("key", "node").distinct().join(sets.select(F.col("n1").alias("node"), "items"), "node").select("key", "node", "items").mapInArrow(partial(_again, num=percent, level=level), "key long, node long"))
-            pairs = pairs.unionByName(stars.select(F.col("pivot").alias("x"), F.col("node").alias("y"))).distinct()
-        else:
-            stars = stars.limit(0)
-        known = measured.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        fresh = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(known, ["x", "y"], "left_anti")
-        measured = cut(measured.unionByName(_measured(fresh, sets, percent)))
-    return measured.where("linked").select(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+    sets = texts.select("text").mapInArrow(partial(_wanted, k=words), "n1 long, n2 long, items binary").join(small(meeting), "n1").select("region", "n1", "n2", "items")
+    large, parts = _large(meeting), []
+    for level in range(LEVELS + 1):
+        if large.isEmpty():
+            parts.append(sets)
+            break
+        if not level:
+            sets = cut(sets.dropDuplicates(["n1", "n2"]))
+        parts.append(sets.join(small(large), "region", "left_anti"))
+        left = sets.join(small(large), "region")
+        stuck = left
+        if level < LEVELS:
+            chosen = left.where(F.pmod(F.xxhash64("n1", "n2", F.lit(level)), F.ceil(F.col("members") / PIVOTS)) == 0).groupBy("region").agg(F.collect_list("items").alias("pivots"))
+            divided = left.join(chosen, "region", "left").withColumn("pivots", F.coalesce("pivots", F.array("items")))
+            homes = cut(divided.mapInArrow(partial(_homes, num=percent), "region long, n1 long, n2 long, items binary, members long, homes array<int>"))
+            spread = small(homes.groupBy("region").agg((F.sum(F.size("homes")) > COPIES * F.count("*")).alias("stuck"), (F.max(F.array_max("homes")) == 0).alias("one")))
+            homes = homes.join(spread, "region")
+            stuck = homes.where("stuck or one")
+            sets = cut(homes.where("not stuck and not one").withColumn("pivot", F.explode("homes")).select(F.xxhash64("region", "pivot").alias("region"), "n1", "n2", "items"))
+            large = _large(sets)
+        blocks = F.ceil(F.col("members") * 2 / REGION).cast("int")
+        block = F.pmod(F.xxhash64("n1", "n2", F.lit(level)), F.col("blocks")).cast("int")
+        other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != F.col("block")))
+        pairs = stuck.withColumn("blocks", blocks).withColumn("block", block).withColumn("other", other)
+        parts.append(pairs.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "n1", "n2", "items"))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    edges = whole.repartition("region").sortWithinPartitions("region", "n1", "n2").mapInArrow(partial(_regions_joined, num=percent), "a1 long, a2 long, b1 long, b2 long")
+    return edges.select(F.struct(F.col("a1").alias("n1"), F.col("a2").alias("n2")).alias("a"), F.struct(F.col("b1").alias("n1"), F.col("b2").alias("n2")).alias("b"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

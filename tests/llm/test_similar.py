@@ -131,7 +131,8 @@ def test_windows_equal_brute_force(spark, monkeypatch):
     vocabulary = ["un", "Deux", "drei", "été", "4", "x"]
     text = lambda n: "".join(rng.choice(vocabulary) + rng.choice([" ", ", ", "\n", "-"]) for _ in range(n))
     items = [(i, text(n)) for i, n in enumerate([3, 4, 9, 10, 12, 25, 30, 6])] + [(20, ""), (21, None), (3, text(11))]
-    rows = [(i, text(rng.choice([0, 2, 20, 60])) + rng.choice(items)[1] * 1 if i % 2 and items else text(30)) for i in range(0, 40) for items in [[x for x in items if x[1]]]]
+    filled = [x for x in items if x[1]]
+    rows = [(i, text(rng.choice([0, 2, 20, 60])) + (rng.choice(filled)[1] if i % 2 else text(30))) for i in range(40)]
     rows += [(100, None), (101, ""), (None, items[5][1]), (102, items[4][1] + items[5][1]), (102, items[4][1] + items[5][1])]
     docs = spark.createDataFrame([(d, t, 1, []) for d, t in rows], "doc_id long, text string, n_hit long, items array<string>")
     bench = spark.createDataFrame(items, "item_id long, text string")
