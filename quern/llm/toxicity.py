@@ -22,7 +22,7 @@ from quern.llm.bytewords import ALNUM, Words, mix, slices
 from quern.llm.common import arrow_rows, table
 
 #: Training rows of each label, and bytes of their texts in all; the rows with the least hashes are taken.
-TRAIN_ROWS, TRAIN_BYTES = 3000, 48 << 20
+TRAIN_ROWS, TRAIN_BYTES = 1200, 8 << 20
 FEATURE_BITS, SEQUENCE, EPOCHS = 18, 64, 12
 #: A word or beginning is a toxic cue if it is in so many, and such a share, of toxic training documents and so much likelier there.
 CUE_DOCUMENTS, CUE_SHARE, CUE_LOG_ODDS = 5, 0.02, 3.5
