@@ -190,8 +190,9 @@ def extracted(data: bytes, kind: str, pdf_reader=pdf_pages) -> dict:
 
 
 def extract(files: DataFrame, pdf_reader=pdf_pages) -> DataFrame:
-    """Adds the columns of EXTRACTED to files (path, kind, content); each row is on its own."""
-    keys = [c for c in files.columns if c != "content"]
+    """files (path, kind, content) with the columns of EXTRACTED for the content; each row is on its own."""
+    made_here = [c.split()[0] for c in EXTRACTED.split(", ")]
+    keys = [c for c in files.columns if c != "content" and c not in made_here]
     rows = files.select(F.struct(*keys).alias("row"), "kind", "content")
     inner = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("heading", pa.int32()), ("page", pa.int32())])
     kinds = {"status": pa.string(), "text": pa.string(), "title": pa.string(), "page_count": pa.int32(), "truncated": pa.bool_(), "blocks": pa.list_(inner)}
