@@ -35,7 +35,7 @@ from quern.llm.bytewords import NOT_SPACE, Words, mix, slices, sums
 from quern.llm.common import arrow_rows, cut, small
 from quern.llm.graph import components
 
-SHELL, REGION, LEVELS, PIVOTS, COPIES = 1.5, 1024, 3, 12, 3
+SHELL, REGION, LEVELS, PIVOTS, COPIES = 2.0, 1024, 2, 12, 1.6
 #: Shingles that are counted together in memory; those met LOCAL times there are candidates for the table of at most FREQUENT.
 COUNTED, LOCAL, FREQUENT = 1 << 20, 3, 200_000
 #: Classes of shingles, and sets of one meeting that are compared with each other; in a larger meeting all may be near.
