@@ -10,9 +10,10 @@ Sets live in the metric space of the Jaccard distance; sets at most 1 - t apart
    meet in a region. Any fixed order of shingles is exact; a bounded table of frequent ones only makes it fast.
    Document pivots alone don't divide such data at first: nearly all pairs of texts lie at distance one,
    so every window would hold every document.
-3. Pivots "residue classes" of shingles: a set's distances to CLASSES of them are its counts in each. By the triangle
+3. Pivots "residue classes" of shingles: a set's distances to them are its counts in each. By the triangle
    inequality summed counts of linked sets differ by no more than the sets do, which parts nearly all sets that met
-   by chance. Sets that still meet, directly or through others, form a region; every link lies inside one. A region of more than
+   by chance. The more shingles a set has the more classes (one for PER_CLASS of them, CLASSES at least): with too few,
+   counts of unlike long texts would come as near as those of linked ones. Sets that still meet, directly or through others, form a region; every link lies inside one. A region of more than
    REGION sets is divided by document pivots: each set goes to the Voronoi region of its nearest pivot and
    to those whose pivot is at most 2 * (1 - t) further than the nearest (triangle inequality: a linked set
    may have its home there). This recurs LEVELS times. A region that is still larger, or whose sets would go to
@@ -38,8 +39,10 @@ from quern.llm.graph import components
 SHELL, REGION, LEVELS, PIVOTS, COPIES = 2.0, 1024, 2, 12, 1.6
 #: Shingles that are counted together in memory; those met LOCAL times there are candidates for the table of at most FREQUENT.
 COUNTED, LOCAL, FREQUENT = 1 << 20, 3, 200_000
-#: Classes of shingles, and sets of one meeting that are compared with each other; in a larger meeting all may be near.
-CLASSES, MEETING = 128, 1024
+#: Least and most classes of shingles, both powers of two, and shingles of a set for each of its classes.
+CLASSES, MOST_CLASSES, PER_CLASS = 128, 8192, 16
+#: Sets of one meeting that are compared with each other; in a larger meeting all may be near.
+MEETING = 1024
 #: Columns of the dense 0/1 matrix by which a region's common shingles are counted.
 COLUMNS = 2048
 _ONE, _TWO, _THREE = np.uint64(0x1234567DEADBEEF1), np.uint64(0x9876543CAFEF00D3), np.uint64(0x5A5A5C3F1E2D3B49)
@@ -111,13 +114,33 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray,
         yield first, words.texts, text, value, np.bincount(text, minlength=words.texts).astype(np.int64)
 
 
+def class_counts(text: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Each set's counts, up to 255, in as many classes as its size asks for. Two classes of one number make one of half that number."""
+    bits = np.ceil(np.log2(np.clip(sizes / PER_CLASS, CLASSES, MOST_CLASSES))).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(1 << bits)])
+    own = (mix(value ^ _THREE) >> (64 - bits[text]).astype(np.uint64)).astype(np.int64)
+    whole = np.minimum(np.bincount(first[text] + own, minlength=first[-1]), 255).astype(np.uint8).tobytes()
+    return [whole[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
+def least_apart(classes: list[bytes]) -> np.ndarray:
+    """For each two sets a lower bound of how many shingles one of them lacks: their counts' differences, in the classes of the one with fewer."""
+    lengths = np.array([len(c) for c in classes])
+    apart = np.zeros((len(classes), len(classes)), np.int64)
+    for n in np.unique(lengths):
+        more = np.flatnonzero(lengths >= n)
+        counts = np.stack([np.minimum(np.frombuffer(classes[i], np.uint8).reshape(n, -1).sum(1), 255) for i in more]).astype(np.int16)
+        for i, row in zip(more, counts, strict=True):
+            if lengths[i] == n:
+                apart[i, more] = apart[more, i] = np.abs(counts - row).sum(1, dtype=np.int64)
+    return apart
+
+
 def _names(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, texts, text, value, sizes in _sets(batch, k):
             n1, n2 = identity(text, value, texts)
-            counts = np.bincount(text * CLASSES + (mix(value ^ _THREE) >> np.uint64(64 - CLASSES.bit_length() + 1)).astype(np.int64), minlength=texts * CLASSES)
-            whole = np.minimum(counts, 255).astype(np.uint8).tobytes()
-            classes = pa.array([whole[i * CLASSES : (i + 1) * CLASSES] for i in range(texts)], pa.binary())
+            classes = pa.array(class_counts(text, value, sizes), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, texts), pa.array(sizes), pa.array(n1), pa.array(n2), classes], ["id", "n", "n1", "n2", "classes"])
 
 
@@ -208,9 +231,8 @@ def _near(batches: Iterator[pa.RecordBatch], num: int) -> Iterator[pa.RecordBatc
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(node) - 1, node[0])), pa.array(node[1:])], ["a", "b"])
         n = np.array([r[1] for r in held], np.int64)
-        counts = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), -1).astype(np.int16)
+        apart = least_apart([r[2] for r in held])
         held.clear()
-        apart = np.stack([np.abs(counts - row).sum(1, dtype=np.int64) for row in counts])
         allowed = (apart * (100 + num) <= (100 - num) * (n[:, None] + n[None, :])) & (100 * n[:, None] >= num * n[None, :]) & (100 * n[None, :] >= num * n[:, None])
         root, far = _forest(allowed)
         return pa.RecordBatch.from_arrays([pa.array(node[root]), pa.array(node[far])], ["a", "b"])

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, exact_dedup, jaccard_join
@@ -149,3 +150,15 @@ def test_windows_equal_brute_force(spark, monkeypatch):
         assert {(d, t) for d, t in rows if d in clean} <= by
     assert decontaminate.scan(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.scan(docs.limit(0), bench).count() == 0
+
+
+def test_class_counts_bound_differences_and_part_long_texts():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (5000, 5000, 4200, 3, 2047, 2100, 40000)]
+    sets.append(np.sort(np.concatenate([sets[0][200:], rng.integers(0, 2**63, 100, dtype=np.uint64)])))
+    sizes = np.array([len(s) for s in sets])
+    apart = jaccard_join.least_apart(jaccard_join.class_counts(np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets), sizes))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert apart[i, j] == apart[j, i] <= len(np.setxor1d(a, b))
+    assert apart[0, 1] * 180 > 20 * 10000 > apart[0, 7] * 180
