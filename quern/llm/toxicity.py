@@ -8,21 +8,21 @@ noisy-or and maximum, the document's score.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bytewords import ALNUM, Words, mix, slices
-from quern.llm.common import arrow_rows, table
+from quern.llm.common import arrow_rows, cut, table
 
-#: Training rows of each label, and bytes of their texts in all; the rows with the least hashes are taken.
-TRAIN_ROWS, TRAIN_BYTES = 1200, 8 << 20
+#: Training rows of each label, those with the least hashes, and about how many of their runs with a cue are learnt from.
+TRAIN_ROWS, TRAIN_RUNS = 1200, 8000
 FEATURE_BITS, SEQUENCE, EPOCHS = 18, 64, 12
 #: A word or beginning is a toxic cue if it is in so many, and such a share, of toxic training documents and so much likelier there.
 CUE_DOCUMENTS, CUE_SHARE, CUE_LOG_ODDS = 5, 0.02, 3.5
@@ -141,63 +141,127 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndarray, np.ndarray]]:
+    """Words, keys and labels of each slice of rows (key, toxic, text)."""
+    for batch in batches:
+        key, label = batch.column("key").to_numpy(), batch.column("toxic").to_numpy().astype(bool)
+        for first, data, off in slices(batch.column("text")):
+            words = Words(data, off, ALNUM)
+            yield words, key[first : first + words.texts], label[first : first + words.texts]
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Three least hashes of the shingles of each text."""
+    for words, key, label in _labelled(batches):
+        text, value = words.shingles(5)
+        bounds = np.searchsorted(text, np.arange(words.texts + 1))
+        least = np.zeros((3, words.texts), np.uint64)
+        for i in np.flatnonzero(np.diff(bounds)):
+            h = value[bounds[i] : bounds[i + 1]]
+            least[:, i] = [mix(h + np.uint64(s)).min() for s in range(3)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (key, label.astype(np.int32), np.diff(bounds) > 0, *least.view(np.int64)))], ["key", "toxic", "some", "a", "b", "c"])
+
+
+def _cue_documents(batches: Iterator[pa.RecordBatch], own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """How many toxic and clean texts of own keys each word and beginning is in, by slice."""
+    for words, key, label in _labelled(batches):
+        pick = np.isin(key, own)[words.text]
+        for kind, h in enumerate(_cues(words)):
+            pairs = np.unique(np.stack([words.text[pick].astype(np.uint64), h[pick]], 1), axis=0)
+            value, at = np.unique(pairs[:, 1], return_inverse=True)
+            bad = np.bincount(at, label[pairs[:, 0].astype(np.int64)], len(value)).astype(np.int64)
+            clean = np.bincount(at, minlength=len(value)) - bad
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (np.full(len(value), kind, np.int32), value.view(np.int64), bad, clean))], ["kind", "hash", "bad", "clean"])
+
+
+def _marked(words: Words, label: np.ndarray, cues: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Row and column of each word, the tokens that are cues of toxic texts, runs with one, runs of clean texts, and the text of each run."""
+    mark = np.zeros(len(words.hash), bool)
+    for kind, h in enumerate(_cues(words)):
+        if len(cues[kind]):
+            mark |= cues[kind][np.minimum(np.searchsorted(cues[kind], h), len(cues[kind]) - 1)] == h
+    mark &= label[words.text]
+    row, col, rows = _sequences(words)
+    y, text = np.zeros((rows, SEQUENCE), bool), np.zeros(rows, np.int64)
+    y[row, col], text[row] = mark, words.text
+    return row, col, y, y.any(1), ~label[text], text
+
+
+def _run_counts(batches: Iterator[pa.RecordBatch], cues: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Runs with a cue of each text."""
+    for words, _, label in _labelled(batches):
+        *_, with_cue, _, text = _marked(words, label, cues)
+        yield pa.RecordBatch.from_arrays([pa.array(np.bincount(text[with_cue], minlength=words.texts))], ["cue"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], cues: list[np.ndarray], most: tuple[float, float]) -> Iterator[pa.RecordBatch]:
+    """Features, labels and places of about most[0] runs with a cue of each toxic text and most[1] of each clean one; hashes of key and place choose."""
+    for words, key, label in _labelled(batches):
+        row, col, y, with_cue, clean, text = _marked(words, label, cues)
+        name = np.zeros(len(y), np.uint64)
+        within = (np.arange(len(words.hash)) - words.bounds[words.text]) // SEQUENCE
+        name[row] = mix(mix(key[words.text].view(np.uint64)) + within.astype(np.uint64))
+        u = name / 2.0**64
+        count = [np.bincount(text[of], minlength=words.texts)[text] for of in (with_cue, clean)]
+        keep = np.flatnonzero((with_cue & (u * count[0] < most[0])) | (clean & (u * count[1] < most[1])))
+        new = np.full(len(y), -1)
+        new[keep] = np.arange(len(keep))
+        pick = new[row] >= 0
+        feats, full = np.zeros((len(keep), SEQUENCE, len(PREFIXES) + 2), np.int32), np.zeros((len(keep), SEQUENCE), bool)
+        feats[new[row[pick]], col[pick]], full[new[row[pick]], col[pick]] = _features(words)[pick], True
+        columns = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (feats, y[keep], full)]
+        yield pa.RecordBatch.from_arrays([pa.array(name[keep].view(np.int64)), *columns], ["name", "feats", "y", "full"])
+
+
+def _evidences(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.RecordBatch]:
+    for words, key, label in _labelled(batches):
+        x = _evidence(words, _word_marginals(words, field))
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(label.astype(np.int32)), pa.array(x[:, 1]), pa.array(x[:, 2])], ["key", "toxic", "any", "most"])
+
+
 def fit(texts: list[str], toxic: list[int]) -> Field:
     """The field for labelled texts. Without both labels every score is near 0."""
-    label = np.asarray(toxic, bool)
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), pa.array(toxic, pa.int32()), pa.array(texts, pa.string())], ["key", "toxic", "text"])
+
+    def passed(step: partial, schema: str, cue: Callable | None = None) -> pa.Table:
+        found = pa.Table.from_batches(step([rows])) if len(texts) else pa.table({c.split()[0]: [] for c in schema.split(", ")})
+        if cue is None:
+            return found
+        total = found.group_by(["kind", "hash"]).aggregate([("bad", "sum"), ("clean", "sum")])
+        return total.filter(pa.array(cue(total["bad_sum"].to_numpy(), total["clean_sum"].to_numpy())))
+
+    return _fit(passed)
+
+
+def _fit(passed: Callable) -> Field:
+    """The field; passed(step, schema) gives the rows of a pass over the labelled texts, passed(step, schema, cue) the cues of counts."""
     weights, steps = np.zeros(1 << FEATURE_BITS), np.zeros((2, 2))
+    sketch = passed(_sketches, "key long, toxic int, some boolean, a long, b long, c long").sort_by("key").to_pylist()
+    label = np.array([r["toxic"] for r in sketch], bool)
     if not label.any() or label.all():
         return Field(weights, steps, np.array([-5.0, 0.0, 0.0]))
-    parts, seen, used = [], set(), 0
-    for first, data, off in slices(pa.array(texts, pa.string())):
-        words = Words(data, off, ALNUM)
-        text, value = words.shingles(5)
-        bounds = np.searchsorted(text, np.arange(words.texts + 1))
-        own = np.zeros(words.texts, bool)
-        for i in range(words.texts):  # of near copies one counts, or their words would all be cues
-            h = value[bounds[i] : bounds[i + 1]]
-            least = {(s, int(mix(h + np.uint64(s)).min())) for s in range(3)} if len(h) else set()
-            own[i] = not (least & seen)
-            seen |= least
-        parts.append((words, own, label[first : first + words.texts]))
-        used += own.sum()
-    tallies: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    totals = [sum((own & (lab == y)).sum() for _, own, lab in parts) for y in (False, True)]
-    for kind in range(1 + len(PREFIXES)):
-        by = []
-        for y in (False, True):
-            each = []
-            for words, own, lab in parts:
-                h, pick = _cues(words)[kind], (own & (lab == y))[words.text]
-                each.append(np.unique(np.stack([words.text[pick].astype(np.uint64), h[pick]], 1), axis=0)[:, 1] if pick.any() else np.zeros(0, np.uint64))
-            by.append(np.unique(np.concatenate(each), return_counts=True))
-        (clean, n_clean), (bad, n_bad) = by
-        at = np.minimum(np.searchsorted(clean, bad), max(len(clean) - 1, 0))
-        in_clean = np.where(clean[at] == bad, n_clean[at], 0) if len(clean) else np.zeros(len(bad), int)
-        odds = np.log((n_bad + 0.5) / (totals[1] + 1)) - np.log((in_clean + 0.5) / (totals[0] + 1))
-        enough = max(CUE_DOCUMENTS, totals[1] * CUE_SHARE)
-        chosen = bad[(n_bad >= enough) & (odds >= CUE_LOG_ODDS)]
-        tallies[kind] = np.sort(chosen), None
-    # labelled tokens: cues in toxic documents; runs with one, and as many without
-    runs = []
-    for words, _, lab in parts:
-        mark = np.zeros(len(words.hash), bool)
-        for kind, h in enumerate(_cues(words)):
-            cues = tallies[kind][0]
-            if len(cues):
-                mark |= cues[np.minimum(np.searchsorted(cues, h), len(cues) - 1)] == h
-        mark &= lab[words.text]
-        row, col, rows = _sequences(words)
-        if not rows:
-            continue
-        feats = np.zeros((rows, SEQUENCE, len(PREFIXES) + 2), np.int32)
-        y, full, bad = np.zeros((rows, SEQUENCE), bool), np.zeros((rows, SEQUENCE), bool), np.zeros(rows, bool)
-        feats[row, col], y[row, col], full[row, col] = _features(words), mark, True
-        bad[row] = lab[words.text]
-        with_cue = y.any(1)
-        clean_rows = np.flatnonzero(~bad & ~with_cue)
-        keep = np.concatenate([np.flatnonzero(with_cue), clean_rows[:: max(1, len(clean_rows) // max(64, 2 * with_cue.sum()))]])
-        runs.append((feats[keep], y[keep], full[keep]))
-    feats, y, full = (np.concatenate([r[i] for r in runs]) for i in range(3))
+    own, seen = np.zeros(len(sketch), bool), set()
+    for i, r in enumerate(sketch):  # of near copies one counts, or their words would all be cues
+        least = {(s, r[s]) for s in "abc"} if r["some"] else set()
+        own[i] = not (least & seen)
+        seen |= least
+    keys = np.array([r["key"] for r in sketch], np.int64)
+    n_clean, n_bad = int((own & ~label).sum()), int((own & label).sum())
+    enough, odds = max(CUE_DOCUMENTS, n_bad * CUE_SHARE), float(np.exp(CUE_LOG_ODDS))
+    found = passed(
+        partial(_cue_documents, own=keys[own]), "kind int, hash long, bad long, clean long",
+        lambda bad, clean: (bad >= enough) & ((bad + 0.5) * (n_clean + 1.0) >= odds * (clean + 0.5) * (n_bad + 1.0)),
+    )
+    kinds, hashes = found["kind"].to_numpy(), found["hash"].to_numpy().view(np.uint64)
+    cues = [np.sort(hashes[kinds == kind]) for kind in range(1 + len(PREFIXES))]
+    # labelled tokens: cues in toxic documents; runs with one, and about twice as many without
+    # each document gives as many at most, so that long ones don't stand for all
+    count = passed(partial(_run_counts, cues=cues), "cue long")["cue"].to_numpy()
+    most = TRAIN_RUNS / label.sum()
+    most = most, max(64, 2 * np.minimum(count, most).sum()) / (~label).sum()
+    runs = passed(partial(_runs, cues=cues, most=most), "name long, feats binary, y binary, full binary").sort_by("name")
+    feats = np.frombuffer(b"".join(runs["feats"].to_pylist()), np.int32).reshape(-1, SEQUENCE, len(PREFIXES) + 2)
+    y, full = (np.frombuffer(b"".join(runs[c].to_pylist()), bool).reshape(-1, SEQUENCE) for c in ("y", "full"))
     order = np.random.default_rng(7).permutation(len(y))
     squares, step_squares = np.full(len(weights), 1e-6), np.full((2, 2), 1e-6)
     for _ in range(EPOCHS):
@@ -215,8 +279,9 @@ def fit(texts: list[str], toxic: list[int]) -> Field:
             weights -= 0.3 * slope / np.sqrt(squares)
             steps -= 0.1 * step_slope / np.sqrt(step_squares)
     field = Field(weights.astype(np.float32), steps, np.zeros(3))
-    x = np.concatenate([_evidence(words, _word_marginals(words, field)) for words, _, _ in parts])
-    lab, own = np.concatenate([lab for _, _, lab in parts]).astype(float), np.concatenate([own for _, own, _ in parts])
+    seen = passed(partial(_evidences, field=field), "key long, toxic int, any double, most double").sort_by("key")
+    x = np.stack([np.ones(len(seen)), seen["any"].to_numpy(), seen["most"].to_numpy()], 1)
+    lab = seen["toxic"].to_numpy().astype(float)
     share = own / max(1, own.sum())
     link = np.zeros(3)
     for _ in range(50):  # Newton's method
@@ -249,18 +314,35 @@ def _score(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.Re
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
-    """A field from at most TRAIN_ROWS labelled documents of each label, none of them held out."""
+    """A field from at most TRAIN_ROWS labelled documents of each label, none of them held out, each read whole however long it is.
+
+    Executors read the texts; the driver gets counts, cues, and the features of the chosen runs. Of rows of one id one is taken.
+    An error is raised if labels of both kinds were picked and the documents found lack one kind.
+    """
     marked = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__toxic"))
     picks = None
     for y in (0, 1):
         part = marked.where(F.col("__toxic") == y).orderBy(F.xxhash64("__id"), "__id").limit(TRAIN_ROWS)
         picks = part if picks is None else picks.unionByName(part)
+    picks = cut(picks)
+    arrow_rows(docs.sparkSession, 100)
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picks), "__id")
-    # ids may repeat, so the rows are bounded once more, and their bytes
-    rows = rows.select("text", "__toxic", F.xxhash64("__id").alias("h"), "__id", F.octet_length("text").alias("bytes")).orderBy("h", "__id", "bytes").limit(2 * TRAIN_ROWS)
-    upto = F.sum("bytes").over(Window.orderBy("h", "__id", "bytes").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    sample = rows.withColumn("upto", upto).where((F.col("upto") <= TRAIN_BYTES) & F.col("text").isNotNull()).select("text", "__toxic").collect()
-    return fit([r["text"] for r in sample], [r["__toxic"] for r in sample])
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    first = rows.groupBy("__id", "__toxic").agg(F.min(F.struct(F.octet_length("text"), F.xxhash64("text"), "row")).getField("row").alias("row"))
+    sample = rows.join(F.broadcast(first.select("row")), "row").select(F.xxhash64("__id", "__toxic").alias("key"), F.col("__toxic").alias("toxic"), "text")
+
+    def passed(step: partial, schema: str, cue: Callable | None = None) -> pa.Table:
+        found = sample.mapInArrow(step, schema)
+        if cue is not None:
+            total = found.groupBy("kind", "hash").agg(F.sum("bad").alias("bad"), F.sum("clean").alias("clean"))
+            found = total.where(cue(F.col("bad"), F.col("clean")))
+        return found.toArrow()
+
+    kinds = {r[0] for r in picks.select("__toxic").distinct().collect()}
+    there = {r[0] for r in first.select("__toxic").distinct().collect()}
+    if there and there < kinds:
+        raise ValueError(f"no training document with label {sorted(kinds - there)} among the labelled ids")
+    return _fit(passed)
 
 
 def score(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:

@@ -39,6 +39,19 @@ def test_toxic_spans_and_odd_rows(spark):
     assert [r["toxic_score"] < 0.5 for r in toxicity.score(df, empty).collect()] == [True] * 5
 
 
+def test_one_long_document_leaves_the_training_sample_whole(spark):
+    word = lambda *key: "".join(chr(97 + b % 26) for b in hashlib.sha256(repr(key).encode()).digest()[:8])
+    docs = [(i, " ".join(word(i, j) if j != 9 or i % 2 == 0 else "moron" for j in range(20)), i % 2) for i in range(400)]
+    labels = spark.createDataFrame([(d, y) for d, _, y in docs], "doc_id long, toxic int")
+    first = labels.where(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    rows = [(d, t + (" " + "s" * 63) * 150000 if d == first else t) for d, t, _ in docs] + [(1000, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: int(r["toxic_score"] >= 0.5) for r in toxicity.score(df, toxicity.train(df, labels)).collect()}
+    assert all(found[d] for d, _, y in docs if y) and not found[1000]
+    clean = [found[d] for d, _, y in docs if not y and not zlib.crc32(str(d).encode()) % 5 == 0]
+    assert not any(clean)
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(0)
     score, steps = rng.normal(size=(1, 4)), rng.normal(size=(2, 2))
