@@ -132,6 +132,30 @@ def test_network_finds_kept_back_findings(spark):
     assert secret_scan.train(docs.limit(0)) is None and secret_scan.scan(odd, net).count() == 1
 
 
+def test_network_sees_whole_candidates_and_both_sides(spark):
+    texts = [b"see example.com/some/long/path/with/many/parts/and/more/parts/of/it/ghp_x8Kq02LmZt7Rv5Wn3Yb1Jd6Fh4Gs end", b"abcdefghijklmnopqrst" + b"x" * 7, b"", b"q" * 97]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    start, end = secret_scan._runs(secret_scan._KEY[data], off, secret_scan.LEAST)
+    of, first, last = secret_scan._pieces(start, end)
+    for i, (a, b) in enumerate(zip(start, end, strict=True)):
+        assert set(range(a, b)) == {j for f, e in zip(first[of == i], last[of == i], strict=True) for j in range(f, e)}
+    windows = [w.tobytes() for w in secret_scan._windows(data, off, first, last)]
+    assert any(b"ghp_x8Kq02LmZt7Rv5Wn3Yb1Jd6Fh4Gs end" in w for w in windows)
+    key = b"Zx8Kq02LmZt7Rv5Wn3Yb1Jd6F"
+    text = b"password=abc12345+" + b"/" + key
+    kept = np.frombuffer(text.replace(b"+/", b"\" /") + b" " + b"AKIA" + b"Q2" * 8 + b"=" + key, np.uint8)
+    _, b_start, b_end = secret_scan.base_spans(kept, np.array([0, len(kept)]))
+    free = secret_scan._runs(secret_scan._free(kept, b_start, b_end), np.array([0, len(kept)]), secret_scan.LEAST)
+    assert [kept[a:b].tobytes() for a, b in zip(*free, strict=True)] == [b"/" + key, b"=" + key]
+    short = np.frombuffer(b"the pin is hunt3r2x now", np.uint8)
+    assert [v.tolist() for v in secret_scan._runs(secret_scan._KEY[short], np.array([0, len(short)]), secret_scan.LEAST)] == [[11], [19]]
+    rng = np.random.default_rng(3)
+    x = rng.integers(97, 123, (3000, secret_scan.BEFORE + secret_scan.PIECE + secret_scan.AFTER)).astype(np.uint8)
+    y = np.arange(3000) % 3 == 0
+    x[y, -8:-3] = np.frombuffer(b"#key#", np.uint8)  # behind the candidate only
+    assert ((secret_scan.probability(secret_scan.fit(x, y), x) > 0.5) == y).mean() > 0.95
+
+
 def test_licenses(spark):
     mit = license_scan.TEXTS["MIT"]
     changed = mit.replace("<year> <copyright holders>", "1999 Somebody Else").upper().replace("\n\n", "\n").replace(",", " ,")
