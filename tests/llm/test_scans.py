@@ -3,6 +3,7 @@
 import hashlib
 import io
 import json
+import os
 import re
 import zlib
 
@@ -166,6 +167,28 @@ def test_licenses(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+BSD = """BSD 2-Clause License
+
+Copyright (c) 2020, Somebody
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+
+
+def test_whole_texts_of_longer_licenses(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    known = {lic: f"/usr/share/common-licenses/{file}" for file, lic in names.items()}
+    rows = [("BSD-2-Clause", BSD)] + [(lic, open(path, encoding="utf-8").read()) for lic, path in known.items() if os.path.exists(path)]
+    df = spark.createDataFrame(rows + [(None, BSD + "More.")], "doc_id string, text string")
+    assert all(r["license"] == r["doc_id"] for r in license_scan.scan(df).collect())
+
+
 def test_archives_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "ROLL", 5000)
     big = "<p>é</p>" * 200
