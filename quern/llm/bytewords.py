@@ -40,7 +40,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if n > 4 * SLICE_BYTES:
         return _grown(n)
-    if len(_POWERS.get("up", ())) < max(n, 1):
+    if "up" not in _POWERS or len(_POWERS["up"]) < n:
         _POWERS["up"], _POWERS["down"] = _grown(max(n, SLICE_BYTES + 1024))
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
