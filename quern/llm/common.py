@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +12,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a few dozen bytes that may be broadcast: at most some 30 MB.
 BROADCAST_ROWS = 500_000
+#: Groups with more than one of so many rows are joined by broadcast: there are fewer of them than this.
+HOT_SHARE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,17 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir, which every executor sees.
-
-    Only where that setting is absent (tests on one machine) a local folder is set.
-    """
+    """A new folder name below spark.checkpoint.dir, which every executor sees. Without that setting there is none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="quern-shared-")
         if not known.isDefined():
-            spark.sparkContext.setCheckpointDir(base)
-            base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = known.get()
     return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
 
 
@@ -43,17 +40,35 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to be at most `rows` rows, else as it is (a shuffled join)."""
+    """df with a broadcast hint if it is counted to be at most `rows` rows, else as it is (a shuffled join).
+
+    df is run for the count: give it what cut() has written.
+    """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many "_" behind it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
+    """rows left-joined to groups, of which each key has one row; its column `size` counts the rows with that key.
+
+    Groups of more than a HOT_SHARE-th of all rows, fewer than HOT_SHARE of them, are broadcast, and their rows stay where
+    they are; so no task of the shuffled join gets a key with more rows than that. Both sides are read twice: cut them before.
+    """
+    many = max(rows.count() // HOT_SHARE, 1)
+    hot, rest = groups.where(F.col(size) > many), groups.where(F.col(size) <= many)
+    first = rows.join(F.broadcast(hot), on, "left")
+    return first.where(F.col(size).isNotNull()).unionByName(first.where(F.col(size).isNull()).select(*rows.columns).join(rest, on, "left"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. lower() is the fast path for texts of one byte a character."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
         F.translate(text, UPPER, UPPER.lower())
     )
-
-
-def arrow_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Smaller Arrow batches for whole texts, so that a Python worker's memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
