@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bytewords import ALNUM, Words, slices
-from quern.llm.common import arrow_rows, table
+from quern.llm.common import table
 
 WINDOW = 10
 #: Bytes of item texts in one broadcast; a larger benchmark is scanned for block by block.
@@ -96,7 +96,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     Items that repeat an id count once. Empty documents give no rows, an empty benchmark no hits.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_rows, table
+from quern.llm.common import table
 
 #: Pages that the classifier is trained on, those with the least hashes, and characters of them in all.
 TRAIN_PAGES, TRAIN_CHARS = 600, 16 << 20
@@ -266,7 +266,6 @@ def extract(pages: DataFrame, weights: np.ndarray, html_col: str = "html") -> Da
     One narrow pass. Null and empty html, and pages without main text, give "". Character references are decoded,
     white space inside a block becomes one space. Repeated rows get equal texts; no rows give no rows.
     """
-    arrow_rows(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(weights)
     rows = pages.select(F.struct(*(c for c in pages.columns if c != html_col)).alias("row"), F.col(html_col).alias("html"))
     found = rows.mapInArrow(partial(_extracted, held=held), f"row {rows.schema['row'].dataType.simpleString()}, text string")

@@ -1,24 +1,26 @@
 """Exact Jaccard self-join of word-shingle sets as a metric-space join.
 
-Sets live in the metric space of the Jaccard distance; sets at most 1 - t apart are linked.
-
-1. Pivot "empty set", in the symmetric-difference metric of which Jaccard's is the normalised form: the distance to
-   it is |x|. Shells of sizes are the regions; a set is replicated to the next shell only if the triangle
-   inequality lets a linked set lie there.
-2. Pivots "single shingles", rare ones first: a set's Voronoi region is that of its rarest shingle, and it is
-   replicated to the regions of as many further ones as a linked set may lack (|x| - ceil(t * |x|)). Linked sets
-   meet in a region. Any fixed order of shingles is exact; a bounded table of frequent ones only makes it fast.
-   Document pivots alone don't divide such data at first: nearly all pairs of texts lie at distance one,
-   so every window would hold every document.
-3. Pivots "residue classes" of shingles: a set's distances to them are its counts in each. By the triangle
-   inequality summed counts of linked sets differ by no more than the sets do, which parts nearly all sets that met
-   by chance. The more shingles a set has the more classes (one for PER_CLASS of them, CLASSES at least): with too few,
-   counts of unlike long texts would come as near as those of linked ones. Sets that still meet, directly or through others, form a region; every link lies inside one. A region of more than
-   REGION sets is divided by document pivots: each set goes to the Voronoi region of its nearest pivot and
-   to those whose pivot is at most 2 * (1 - t) further than the nearest (triangle inequality: a linked set
-   may have its home there). This recurs LEVELS times. A region that is still larger, or whose sets would go to
-   more than COPIES homes on average because they lie too close, is dealt into blocks, all pairs of which are regions.
+Sets live in the metric space of the Jaccard distance, of which the size of the symmetric difference is the plain form; sets at
+most 1 - t apart are linked: |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|).
+
+1. Pivots "the empty set" and "single shingles". The distance to the empty set is |x|: shells of sizes are its regions,
+   and a set is replicated to the next shell only if the triangle inequality lets a linked set lie there. Of single
+   shingles, rare ones first, a set's home is its rarest one, and it is replicated to as many further ones as a linked set
+   may lack (|x| - ceil(t * |x|)). Linked sets meet in a region. Any fixed order of shingles is exact; a bounded
+   table of frequent ones only makes it fast. Documents can't be pivots yet: nearly all pairs of texts lie at
+   distance one, so that every window would hold every document.
+2. In each region documents are the pivots. Distances are taken between counts of shingles in residue classes, a
+   metric that is nowhere larger than the symmetric difference. A pivot is any set that no earlier pivot has within its reach r(x) =
+   |x| * (1 - t) / t, the furthest that a linked set may lie. Each set goes to its home, the nearest pivot, and to all
+   pivots at most 2 * r(x) further (triangle inequality: a linked set may have its home there). Sets that share a cell and
+   whose counts differ by no more than linked sets may differ belong together.
+3. Cells that overlap form one region of whole shingle sets; every link lies inside one. A region of more than REGION sets is divided again
+   by document pivots, now by their Jaccard distances, with windows of 2 * (1 - t). This recurs LEVELS times. In a region
+   that is too dense for it (more than COPIES homes a set) the pivots' links already make stars: of sets
+   tied to one star no two need comparing, so only the others are compared, in blocks, with all.
 4. Each region, now bounded, is joined in memory exactly; of its links a spanning forest is returned.
+
+Shingles are compared by 64-bit hashes: exact means up to their collisions, of which some 10^-3 are to be expected in 10^8 shingles.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bytewords import NOT_SPACE, Words, mix, slices, sums
-from quern.llm.common import arrow_rows, cut, small
+from quern.llm.common import HOT_SHARE, cut, free_name, small, spread_join
 from quern.llm.graph import components
 
 SHELL, REGION, LEVELS, PIVOTS, COPIES = 2.0, 1024, 2, 12, 1.6
@@ -41,8 +43,10 @@ SHELL, REGION, LEVELS, PIVOTS, COPIES = 2.0, 1024, 2, 12, 1.6
 COUNTED, LOCAL, FREQUENT = 1 << 20, 3, 200_000
 #: Least and most classes of shingles, both powers of two, and shingles of a set for each of its classes.
 CLASSES, MOST_CLASSES, PER_CLASS = 128, 8192, 16
-#: Sets of one meeting that are compared with each other; in a larger meeting all may be near.
+#: Sets of one meeting that are dealt to cells; the sets of a larger one all belong together until whole sets are compared.
 MEETING = 1024
+#: Parts in which the sets of a very frequent shingle are dealt out, and pivots of a region at most.
+SALTS, MOST_PIVOTS = 1024, 48
 #: Columns of the dense 0/1 matrix by which a region's common shingles are counted.
 COLUMNS = 2048
 _ONE, _TWO, _THREE = np.uint64(0x1234567DEADBEEF1), np.uint64(0x9876543CAFEF00D3), np.uint64(0x5A5A5C3F1E2D3B49)
@@ -79,8 +83,8 @@ class Rarity:
         return out
 
 
-def rarest(text: np.ndarray, value: np.ndarray, sizes: np.ndarray, wanted: np.ndarray, rarity: Rarity) -> tuple[np.ndarray, np.ndarray]:
-    """(text, shingle) of the `wanted` rarest shingles of each set; ties by value. text, value: sorted, as Words.shingles gives them."""
+def rarest(text: np.ndarray, value: np.ndarray, sizes: np.ndarray, wanted: np.ndarray, rarity: Rarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle, how often it is met) of the `wanted` rarest shingles of each set; ties by value. text, value: sorted, as Words.shingles gives them."""
     often = rarity.of(value)
     rare = often == 0
     seen = np.cumsum(rare)
@@ -91,27 +95,21 @@ def rarest(text: np.ndarray, value: np.ndarray, sizes: np.ndarray, wanted: np.nd
         own = slice(starts[i], starts[i + 1])
         chosen[own] = False
         chosen[starts[i] + np.lexsort((value[own], often[own]))[: wanted[i]]] = True
-    return text[chosen], value[chosen]
+    return text[chosen], value[chosen], often[chosen]
 
 
-def region_keys(text: np.ndarray, value: np.ndarray, sizes: np.ndarray, num: int, rarity: Rarity) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the regions that each set enters."""
+def region_keys(text: np.ndarray, value: np.ndarray, sizes: np.ndarray, num: int, rarity: Rarity) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, how often its shingle is met) of the regions that each set enters."""
     low = shells(int(sizes.max(initial=0)), num)
     own = np.searchsorted(low, sizes, "right") - 1
     # where no difference is allowed only equal sets link
     wanted = np.where(2 * (sizes * 100 // num) * (100 - num) // (100 + num) > 0, sizes - -(-sizes * num // 100) + 1, 0)
-    row, shingle = rarest(text, value, sizes, wanted, rarity)
+    row, shingle, often = rarest(text, value, sizes, wanted, rarity)
     further = sizes * 100 // num >= low[np.minimum(own + 1, len(low) - 1)]
-    rows, keys = [row], [mix(shingle ^ mix(own[row].astype(np.uint64) + np.uint64(1)))]
-    row, shingle = row[further[row]], shingle[further[row]]
-    return np.concatenate([*rows, row]), np.concatenate([*keys, mix(shingle ^ mix(own[row].astype(np.uint64) + np.uint64(2)))])
-
-
-def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    for first, data, off in slices(batch.column("text")):
-        words = Words(data, off, NOT_SPACE)
-        text, value = words.shingles(k)
-        yield first, words.texts, text, value, np.bincount(text, minlength=words.texts).astype(np.int64)
+    keys = mix(shingle ^ mix(own[row].astype(np.uint64) + np.uint64(1)))
+    again = further[row]
+    next_keys = mix(shingle[again] ^ mix(own[row[again]].astype(np.uint64) + np.uint64(2)))
+    return np.concatenate([row, row[again]]), np.concatenate([keys, next_keys]), np.concatenate([often, often[again]])
 
 
 def class_counts(text: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -123,13 +121,18 @@ def class_counts(text: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> list
     return [whole[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
+def folded(classes: bytes, n: int) -> np.ndarray:
+    """The counts in n classes, up to 255."""
+    return np.minimum(np.frombuffer(classes, np.uint8).reshape(n, -1).sum(1), 255).astype(np.int16)
+
+
 def least_apart(classes: list[bytes]) -> np.ndarray:
     """For each two sets a lower bound of how many shingles one of them lacks: their counts' differences, in the classes of the one with fewer."""
     lengths = np.array([len(c) for c in classes])
     apart = np.zeros((len(classes), len(classes)), np.int64)
     for n in np.unique(lengths):
         more = np.flatnonzero(lengths >= n)
-        counts = np.stack([np.minimum(np.frombuffer(classes[i], np.uint8).reshape(n, -1).sum(1), 255) for i in more]).astype(np.int16)
+        counts = np.stack([folded(classes[i], n) for i in more])
         for i, row in zip(more, counts, strict=True):
             if lengths[i] == n:
                 apart[i, more] = apart[more, i] = np.abs(counts - row).sum(1, dtype=np.int64)
@@ -137,14 +140,40 @@ def least_apart(classes: list[bytes]) -> np.ndarray:
 
 
 def _names(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Size and name of each text's set; its class counts and shingles only where the task meets the set first."""
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
-        for first, texts, text, value, sizes in _sets(batch, k):
-            n1, n2 = identity(text, value, texts)
-            classes = pa.array(class_counts(text, value, sizes), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, texts), pa.array(sizes), pa.array(n1), pa.array(n2), classes], ["id", "n", "n1", "n2", "classes"])
-
-
-def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+        for first, data, off in slices(batch.column("text")):
+            words = Words(data, off, NOT_SPACE)
+            text, value = words.shingles(k)
+            n = words.texts
+            sizes = np.bincount(text, minlength=n).astype(np.int64)
+            n1, n2 = identity(text, value, n)
+            ends = np.searchsorted(text, np.arange(n + 1))
+            classes, items = [None] * n, [None] * n
+            fresh = np.zeros(n, bool)
+            for i, name in enumerate(zip(n1.tolist(), n2.tolist(), strict=True)):
+                if sizes[i] and name not in seen:
+                    seen.add(name)
+                    fresh[i] = True
+                    items[i] = value[ends[i] : ends[i + 1]].tobytes()
+            picked = fresh[text]
+            counted = class_counts((np.cumsum(fresh) - 1)[text[picked]], value[picked], sizes[fresh])
+            for i, c in zip(np.flatnonzero(fresh), counted, strict=True):
+                classes[i] = c
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, n) for c in ("row", "id")), pa.array(sizes), pa.array(n1), pa.array(n2), pa.array(classes, pa.binary()), pa.array(items, pa.binary())], ["row", "id", "n", "n1", "n2", "classes", "items"])
+
+
+def _held(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, shingle) of the batch's items, and the size of each set."""
+    items = batch.column("items")
+    _, off, data = items.buffers()
+    off = np.frombuffer(off, np.int32)[items.offset : items.offset + len(items) + 1].astype(np.int64) // 8
+    sizes = np.diff(off)
+    return np.repeat(np.arange(len(items)), sizes), np.frombuffer(data, np.uint64)[off[0] : off[-1]], sizes
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(shingle, met) of shingles that are met at least LOCAL times in COUNTED of them."""
     held, n = [], 0
 
@@ -153,112 +182,115 @@ def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         return pa.RecordBatch.from_arrays([pa.array(shingle[met >= LOCAL].view(np.int64)), pa.array(met[met >= LOCAL])], ["shingle", "met"])
 
     for batch in batches:
-        for _, _, _, value, _ in _sets(batch, k):
-            held.append(value)
-            n += len(value)
-            if n >= COUNTED:
-                yield often()
-                held, n = [], 0
+        _, value, _ = _held(batch)
+        held.append(value)
+        n += len(value)
+        if n >= COUNTED:
+            yield often()
+            held, n = [], 0
     if n:
         yield often()
 
 
-def _regions(batches: Iterator[pa.RecordBatch], k: int, num: int, held: Broadcast) -> Iterator[pa.RecordBatch]:
+def _regions(batches: Iterator[pa.RecordBatch], num: int, held: Broadcast, hot: int) -> Iterator[pa.RecordBatch]:
+    """(key, salt, node): the regions that each set enters. Sets are dealt to parts of a region whose shingle is met more than `hot` times."""
     rarity = Rarity(*held.value)
     for batch in batches:
-        for _, texts, text, value, sizes in _sets(batch, k):
-            n1, _ = identity(text, value, texts)
-            kept = np.zeros(texts, bool)
-            kept[np.unique(n1, return_index=True)[1]] = True  # equal sets enter once from here
-            rows, keys = region_keys(text[kept[text]], value[kept[text]], np.where(kept, sizes, 0), num, rarity)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n1[rows])], ["key", "node"])
-
-
-def _wanted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, texts, text, value, sizes in _sets(batch, k):
-            n1, n2 = identity(text, value, texts)
-            ends = np.searchsorted(text, np.arange(texts + 1))
-            items = pa.array([value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(n1), pa.array(n2), items], ["n1", "n2", "items"])
+        text, value, sizes = _held(batch)
+        node = batch.column("n1").to_numpy()
+        rows, keys, often = region_keys(text, value, sizes, num, rarity)
+        salt = np.where(often > hot, 1 + (node[rows] & (SALTS - 1)), 0)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(salt), pa.array(node[rows])], ["key", "salt", "node"])
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, node): (meeting, node) of keys with several nodes; meetings of the same nodes have one name.
+    """Of rows sorted by (key, salt, node): (meeting, node, star) of keys with several nodes; meetings of the same nodes have one name.
 
-    Holds the last key's nodes between batches; of a key with more than MEETING, which is named by itself, just one.
+    A key with more than MEETING nodes, or dealt out in parts, is a star around its own name: all its nodes belong
+    together for now. Holds the last key's nodes between batches, MEETING at most.
     """
-    last, held, named = None, np.zeros(0, np.int64), None
+    last, held, large = (0, 0), np.zeros(0, np.int64), False
+
+    def rows(meeting: np.ndarray, node: np.ndarray, star: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(meeting), pa.array(node), pa.array(star)], ["meeting", "node", "star"])
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node"))
-        if last is not None:
-            key, node = np.concatenate([np.full(len(held), last), key]), np.concatenate([held, node])
-        fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
-        key, node = key[fresh], node[fresh]
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        ends = np.append(starts[1:], len(key))
+        key, salt, node = (batch.column(c).to_numpy() for c in ("key", "salt", "node"))
+        key, salt = (np.concatenate([np.full(len(held), v), new]) for v, new in zip(last, (key, salt), strict=True))
+        node = np.concatenate([held, node])
+        fresh = np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (node[1:] != node[:-1]))
+        key, salt, node = key[fresh], salt[fresh], node[fresh]
+        starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
+        size = np.diff(np.append(starts, len(key)))
         name = np.add.reduceat(mix(node.view(np.uint64)), starts).view(np.int64)
-        if named is not None and key[0] == last:
-            name[0] = named
-        else:
-            named = None
-        size = ends - starts
-        size[0] += named is not None  # there were more before
-        last, held = key[-1], node[starts[-1] :]
-        out = size > 1
-        if len(held) <= MEETING and not (named is not None and len(starts) == 1):
-            out[-1], named = False, None
+        star = (size > MEETING) | (salt[starts] > 0)
+        star[0] = star[0] or (large and (key[0], salt[0]) == last)
+        name[star] = mix(key[starts[star]].view(np.uint64)).view(np.int64)
+        out = (size > 1) | star
+        last, held = (key[-1], salt[-1]), node[starts[-1] :]
+        large = bool(star[-1])
+        if large:
+            held = held[:0]
         else:
-            name[-1] = named = int(mix(np.array([last]).view(np.uint64)).view(np.int64)[0])
-            held = held[-1:]
-        row = np.repeat(out, ends - starts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, ends - starts)[row]), pa.array(node[row])], ["meeting", "node"])
-    if named is None and len(held) > 1:
-        name = np.add.reduce(mix(held.view(np.uint64))).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), name)), pa.array(held)], ["meeting", "node"])
+            out[-1] = False
+        pick = np.repeat(out, size)
+        yield rows(np.repeat(name, size)[pick], node[pick], np.repeat(star, size)[pick])
+    if not large and len(held) > 1:
+        yield rows(np.full(len(held), np.add.reduce(mix(held.view(np.uint64))).view(np.int64)), held, np.zeros(len(held), bool))
+
+
+def cells(counts: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """(pivots, sets): which sets each pivot's cell holds, homes and windows, in the metric of summed differences of counts."""
+    apart, covered = [], np.zeros(len(counts), bool)
+    for i in range(len(counts)):
+        if not covered[i]:
+            apart.append(np.abs(counts - counts[i]).sum(1))
+            covered |= apart[-1] <= reach
+    apart = np.stack(apart)
+    return apart <= apart.min(0) + 2 * reach
 
 
 def _near(batches: Iterator[pa.RecordBatch], num: int) -> Iterator[pa.RecordBatch]:
     """Of rows (meeting, node, n, classes) sorted by meeting: a forest (a, b) of the nodes that may be linked."""
     held: list[tuple] = []
-    last, first = None, None  # first: set once a meeting is too large, whose nodes then all hang on it
+    last = None
 
-    def solve() -> pa.RecordBatch:
+    def solve() -> tuple[np.ndarray, np.ndarray]:
         node = np.array([r[0] for r in held], np.int64)
         if any(r[2] is None for r in held):  # two sets have one node number: all may be near
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(node) - 1, node[0])), pa.array(node[1:])], ["a", "b"])
+            return np.full(len(node) - 1, node[0]), node[1:]
         n = np.array([r[1] for r in held], np.int64)
-        apart = least_apart([r[2] for r in held])
-        held.clear()
-        allowed = (apart * (100 + num) <= (100 - num) * (n[:, None] + n[None, :])) & (100 * n[:, None] >= num * n[None, :]) & (100 * n[None, :] >= num * n[:, None])
-        root, far = _forest(allowed)
-        return pa.RecordBatch.from_arrays([pa.array(node[root]), pa.array(node[far])], ["a", "b"])
+        classes = [r[2] for r in held]
+        least = min(map(len, classes))
+        counts = np.stack([folded(c, least) for c in classes])
+        a, b = [], []
+        for cell in cells(counts, n * (100 - num) // num):
+            own = np.flatnonzero(cell)
+            if len(own) > 1:
+                size = n[own]
+                allowed = (least_apart([classes[i] for i in own]) * (100 + num) <= (100 - num) * (size[:, None] + size[None, :])) & (100 * size[:, None] >= num * size[None, :]) & (100 * size[None, :] >= num * size[:, None])
+                root, far = _forest(allowed)
+                a.append(node[own[root]])
+                b.append(node[own[far]])
+        return tuple(np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b))
 
     for batch in batches:
         meeting, node, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("meeting", "node", "n"))
         classes = batch.column("classes").to_pylist()
-        hung: list[tuple[int, int]] = []
+        pairs = []
         for i, name in enumerate(meeting):
             if name != last:
                 if len(held) > 1:
-                    yield solve()
+                    pairs.append(solve())
                 held.clear()
-                last, first = name, None
-            if first is not None:
-                hung.append((first, node[i]))
-                continue
+                last = name
             held.append((node[i], n[i], classes[i]))
-            if len(held) > MEETING:
-                first = held[0][0]
-                hung += [(first, r[0]) for r in held[1:]]
-                held.clear()
-        if hung:
-            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hung], pa.int64()) for k in (0, 1)], ["a", "b"])
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in pairs])) for k in (0, 1)], ["a", "b"])
     if len(held) > 1:
-        yield solve()
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in solve()], ["a", "b"])
 
 
 def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,18 +307,37 @@ def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _homes(batches: Iterator[pa.RecordBatch], num: int) -> Iterator[pa.RecordBatch]:
-    """The Voronoi regions that each set enters: its nearest pivot's, and those within the window."""
+    """The Voronoi regions that each set enters, its nearest pivot's and those within the window, and, as bits, the pivots that it links with."""
     for batch in batches:
         items = [np.frombuffer(v, np.int64) for v in batch.column("items").to_pylist()]
         pivots = [[np.frombuffer(p, np.int64) for p in own] for own in batch.column("pivots").to_pylist()]
-        homes = []
+        homes, bits = [], []
         for x, own in zip(items, pivots, strict=True):
-            apart = []
-            for p in own:
-                common = len(np.intersect1d(x, p, assume_unique=True))
-                apart.append(1 - common / (len(x) + len(p) - common))
-            homes.append(np.flatnonzero(np.array(apart) <= min(apart) + 2 * (100 - num) / 100 + 1e-9).tolist())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("region", "n1", "n2", "items", "members")), pa.array(homes, pa.list_(pa.int32()))], ["region", "n1", "n2", "items", "members", "homes"])
+            if not own:  # no set was drawn as a pivot: one home, no links known
+                homes.append([0])
+                bits.append(0)
+                continue
+            common = np.array([len(np.intersect1d(x, p, assume_unique=True)) for p in own])
+            union = np.array([len(x) + len(p) for p in own]) - common
+            apart = 1 - common / union
+            homes.append(np.flatnonzero(apart <= apart.min() + 2 * (100 - num) / 100 + 1e-9).tolist())
+            bits.append(sum(1 << int(i) for i in np.flatnonzero(100 * common >= num * union)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("region", "n1", "n2", "items", "members")), pa.array(homes, pa.list_(pa.int32())), pa.array(bits, pa.int64())], ["region", "n1", "n2", "items", "members", "homes", "bits"])
+
+
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(region, members, stuck, tied) of rows (region, members, stuck, near, met): the pivots that sets tie to the one with most links, as bits."""
+    for batch in batches:
+        tied = []
+        for near, met in zip(batch.column("near").to_pylist(), batch.column("met").to_pylist(), strict=True):
+            bits, last = 1 << int(np.argmax(met)), 0
+            while bits != last:
+                last = bits
+                for i, b in enumerate(near):
+                    if bits >> i & 1:
+                        bits |= b or 0
+            tied.append(bits)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("region", "members", "stuck")), pa.array(tied, pa.int64())], ["region", "members", "stuck", "tied"])
 
 
 def _joined(items: list[np.ndarray], num: int) -> tuple[np.ndarray, np.ndarray]:
@@ -339,6 +390,24 @@ def _regions_joined(batches: Iterator[pa.RecordBatch], num: int) -> Iterator[pa.
         yield out
 
 
+def _grouped(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """(row, id, n, component, group_size, keep) of rows (row, id, text); keep: the row of its component that comes first by id."""
+    kind = rows.schema["id"].dataType.simpleString()
+    names = cut(rows.mapInArrow(partial(_names, k=words), f"row long, id {kind}, n long, n1 long, n2 long, classes binary, items binary"))
+    full = names.where("n > 0").select("row", "id", "n", "n1", "n2")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row")))
+    nodes = cut(full.groupBy("n1", "n2").agg(first.alias("first"), F.count("*").alias("copies")))
+    roots = cut(components(_links(names, percent)).select("node.n1", "node.n2", "root"))
+    grouped = nodes.join(small(roots), ["n1", "n2"]).groupBy("root").agg(F.min("first").alias("least"), F.sum("copies").alias("size"))
+    linked = roots.join(small(cut(grouped)), "root")
+    placed = nodes.join(small(cut(linked.drop("root"))), ["n1", "n2"], "left").withColumn("least", F.coalesce("least", "first")).withColumn("size", F.coalesce("size", "copies"))
+    many = cut(placed.where("size > 1").select("n1", "n2", "least", "size", "copies"))
+    alone = F.struct(F.lit(False).alias("none"), F.col("id"), F.col("row"))
+    joined = spread_join(full, many, ["n1", "n2"], "copies").select("row", "id", "n", F.when(F.col("size").isNull(), alone).otherwise(F.col("least")).alias("least"), F.coalesce("size", F.lit(1)).alias("group_size"))
+    both = joined.unionByName(names.where("n = 0").select("row", "id", "n", alone.alias("least"), F.lit(1).cast("long").alias("group_size")))
+    return both.select("row", "id", "n", F.col("least.id").alias("component"), "group_size", F.col("least.row").alias("keep"))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(id_col, n_shingles, component_id, group_size) of every row.
 
@@ -347,22 +416,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null and empty texts have no shingles and link with nothing: component_id is their own id. Equal sets,
     repeated rows included, are one node. A null id is never a component_id unless all of a component are null.
-    Other columns are not looked at. An empty table gives no rows.
+    Other columns are not looked at. An empty table gives no rows. A text of any length is one set.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark, 500)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    names = cut(rows.mapInArrow(partial(_names, k=words), f"id {kind}, n long, n1 long, n2 long, classes binary"))
-    links = _links(rows, names, words, percent)
-    roots = components(links).select(F.col("node.n1").alias("n1"), F.col("node.n2").alias("n2"), "root")
-    nodes = names.where("n > 0").groupBy("n1", "n2").agg(F.min("id").alias("least"), F.count("*").alias("copies")).join(roots, ["n1", "n2"], "left")
-    grouped = nodes.where("root is not null").groupBy("root").agg(F.min("least").alias("component"), F.sum("copies").alias("size"))
-    placed = nodes.join(grouped, "root", "left").select("n1", "n2", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component")).alias("component"), F.coalesce("size", "copies").alias("size"))
-    many = placed.where("size > 1")
-    return names.withColumn("full", F.col("n") > 0).join(many.withColumn("full", F.lit(True)), ["full", "n1", "n2"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("size") > 1, F.col("component")).otherwise(F.col("id")).alias("component_id"), F.coalesce("size", F.lit(1)).alias("group_size")
-    )
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = _grouped(rows, words, percent)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "group_size")
 
 
 def _large(members: DataFrame) -> DataFrame:
@@ -370,60 +428,79 @@ def _large(members: DataFrame) -> DataFrame:
     return cut(members.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > REGION))
 
 
-def _links(rows: DataFrame, names: DataFrame, words: int, percent: int) -> DataFrame:
+def _links(names: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between (n1, n2) that hold all components of the linked nodes."""
-    often = rows.select("text").mapInArrow(partial(_counted, k=words), "shingle long, met long").groupBy("shingle").agg(F.sum("met").alias("met"))
+    spark = names.sparkSession
+    first = names.where("items is not null")  # each set once a task
+    often = first.select("items").mapInArrow(_counted, "shingle long, met long").groupBy("shingle").agg(F.sum("met").alias("met"))
     frequent = often.orderBy(F.desc("met"), "shingle").limit(FREQUENT).toPandas()  # bounded, and exactness doesn't rest on it
-    held = rows.sparkSession.sparkContext.broadcast((frequent["shingle"].to_numpy(np.int64).view(np.uint64), frequent["met"].to_numpy(np.int64)))
-    entered = rows.select("text").mapInArrow(partial(_regions, k=words, num=percent, held=held), "key long, node long")
-    met = cut(entered.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meetings, "meeting long, node long").distinct())
-    several = small(met.select(F.col("node").alias("n1")).distinct())
-    counted = names.join(several, "n1", "left_semi").groupBy(F.col("n1").alias("node")).agg(F.first("n").alias("n"), F.when(F.min("n2") == F.max("n2"), F.first("classes")).alias("classes"))
-    near = met.join(counted, "node").repartition("meeting").sortWithinPartitions("meeting").mapInArrow(partial(_near, num=percent), "a long, b long")
-    meeting = components(near).select(F.col("node").alias("n1"), F.col("root").alias("region"))
-    # one text of each set that meets another
-    ids = cut(names.join(small(meeting), "n1", "left_semi").groupBy("n1", "n2").agg(F.min("id").alias("id")).select("id").distinct())
-    texts = rows.join(small(ids), rows["id"].eqNullSafe(ids["id"]), "left_semi")
-    sets = texts.select("text").mapInArrow(partial(_wanted, k=words), "n1 long, n2 long, items binary").join(small(meeting), "n1").select("region", "n1", "n2", "items")
-    large, parts = _large(meeting), []
+    held = spark.sparkContext.broadcast((frequent["shingle"].to_numpy(np.int64).view(np.uint64), frequent["met"].to_numpy(np.int64)))
+    hot = max(MEETING, names.count() // HOT_SHARE)
+    entered = first.select("n1", "items").mapInArrow(partial(_regions, num=percent, held=held, hot=hot), "key long, salt long, node long")
+    met = cut(entered.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_meetings, "meeting long, node long, star boolean").distinct())
+    several = small(cut(met.where("not star").select(F.col("node").alias("n1")).distinct()))
+    counted = first.select("n1", "n2", "n", "classes").join(several, "n1", "left_semi").groupBy(F.col("n1").alias("node")).agg(F.first("n").alias("n"), F.when(F.min("n2") == F.max("n2"), F.first("classes")).alias("classes"))
+    near = met.where("not star").join(counted, "node").repartition("meeting").sortWithinPartitions("meeting").select("meeting", "node", "n", "classes").mapInArrow(partial(_near, num=percent), "a long, b long")
+    edges = near.unionByName(met.where("star").select(F.col("meeting").alias("a"), F.col("node").alias("b")))
+    meeting = components(edges).select(F.col("node").alias("n1"), F.col("root").alias("region"))
+    # one row of each set that may be linked with another
+    chosen = cut(first.select("row", "n1", "n2").join(small(meeting), "n1").groupBy("n1", "n2").agg(F.min("row").alias("row"), F.first("region").alias("region")))
+    sets = first.select("row", "n1", "n2", "items").join(small(chosen.select("row", "region")), "row").select("region", "n1", "n2", "items")
+    large = _large(chosen)
+    parts, stars = [], []
     for level in range(LEVELS + 1):
         if large.isEmpty():
             parts.append(sets)
             break
-        if not level:
-            sets = cut(sets.dropDuplicates(["n1", "n2"]))
+        sets = cut(sets)
         parts.append(sets.join(small(large), "region", "left_anti"))
-        left = sets.join(small(large), "region")
-        stuck = left
-        if level < LEVELS:
-            chosen = left.where(F.pmod(F.xxhash64("n1", "n2", F.lit(level)), F.ceil(F.col("members") / PIVOTS)) == 0).groupBy("region").agg(F.collect_list("items").alias("pivots"))
-            divided = left.join(chosen, "region", "left").withColumn("pivots", F.coalesce("pivots", F.array("items")))
-            homes = cut(divided.mapInArrow(partial(_homes, num=percent), "region long, n1 long, n2 long, items binary, members long, homes array<int>"))
-            spread = small(homes.groupBy("region").agg((F.sum(F.size("homes")) > COPIES * F.count("*")).alias("stuck"), (F.max(F.array_max("homes")) == 0).alias("one")))
-            homes = homes.join(spread, "region")
-            stuck = homes.where("stuck or one")
-            sets = cut(homes.where("not stuck and not one").withColumn("pivot", F.explode("homes")).select(F.xxhash64("region", "pivot").alias("region"), "n1", "n2", "items"))
-            large = _large(sets)
-        blocks = F.ceil(F.col("members") * 2 / REGION).cast("int")
-        block = F.pmod(F.xxhash64("n1", "n2", F.lit(level)), F.col("blocks")).cast("int")
-        other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i != F.col("block")))
-        pairs = stuck.withColumn("blocks", blocks).withColumn("block", block).withColumn("other", other)
-        parts.append(pairs.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "n1", "n2", "items"))
+        left = spread_join(sets, large, ["region"], "members").where("members is not null")
+        pick = F.pmod(F.xxhash64("n1", "n2", F.lit(level)), F.ceil(F.col("members") / PIVOTS)) == 0
+        chosen = cut(left.where(pick).groupBy("region", "members").agg(F.slice(F.sort_array(F.collect_list("items")), 1, MOST_PIVOTS).alias("pivots")))  # some PIVOTS
+        divided = spread_join(left.drop("members"), chosen, ["region"], "members").withColumn("members", F.coalesce("members", F.lit(0))).withColumn("pivots", F.coalesce("pivots", F.array().cast("array<binary>")))
+        homes = cut(divided.select("region", "n1", "n2", "items", "members", "pivots").mapInArrow(partial(_homes, num=percent), "region long, n1 long, n2 long, items binary, members long, homes array<int>, bits long"))
+        bit = lambda i: F.col("bits").bitwiseAND(F.lit(1 << i)) != 0
+        shape = homes.groupBy("region").agg(
+            F.count("*").alias("members"), ((F.sum(F.size("homes")) > COPIES * F.count("*")) | (F.max(F.array_max("homes")) == 0) | F.lit(level == LEVELS)).alias("stuck"),
+            F.array(*(F.bit_or(F.when(bit(i), F.col("bits"))) for i in range(MOST_PIVOTS))).alias("near"), F.array(*(F.count_if(bit(i)) for i in range(MOST_PIVOTS))).alias("met"),
+        )
+        shape = cut(shape.mapInArrow(_tied, "region long, members long, stuck boolean, tied long"))
+        placed = cut(spread_join(homes.drop("members"), shape, ["region"], "members"))
+        sets = placed.where("not stuck").withColumn("pivot", F.explode("homes")).select(F.xxhash64("region", "pivot").alias("region"), "n1", "n2", "items")
+        large = _large(sets)
+        stuck = placed.where("stuck")
+        # links with pivots are edges to a node that stands for the pivot
+        linked = stuck.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(MOST_PIVOTS - 1)))).where(F.expr("bits & shiftleft(1L, at) != 0"))
+        stars.append(linked.select(F.struct(F.xxhash64("region", F.lit(level)).alias("n1"), F.col("at").cast("long").alias("n2")).alias("a"), F.struct("n1", "n2").alias("b")))
+        loose = F.col("bits").bitwiseAND(F.col("tied")) == 0
+        count = cut(stuck.where(loose).groupBy("region").agg(F.count("*").alias("loose")))
+        blocks = lambda n: F.ceil(F.col(n) * 2 / REGION).cast("int")
+        both = stuck.drop("homes", "stuck").join(small(count), "region").withColumn("is_loose", loose)
+        number = F.xxhash64("n1", "n2", F.lit(level))
+        whole = both.select("region", "n1", "n2", "items", F.explode(F.sequence(F.lit(0), blocks("loose") - 1)).alias("i"), F.pmod(number, blocks("members")).cast("int").alias("j"))
+        single = both.where("is_loose").select("region", "n1", "n2", "items", F.pmod(number, blocks("loose")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks("members") - 1)).alias("j"))
+        parts.append(whole.unionByName(single).select(F.xxhash64("region", "i", "j", F.lit(level)).alias("region"), "n1", "n2", "items"))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
-    edges = whole.repartition("region").sortWithinPartitions("region", "n1", "n2").mapInArrow(partial(_regions_joined, num=percent), "a1 long, a2 long, b1 long, b2 long")
-    return edges.select(F.struct(F.col("a1").alias("n1"), F.col("a2").alias("n2")).alias("a"), F.struct(F.col("b1").alias("n1"), F.col("b2").alias("n2")).alias("b"))
+    found = whole.repartition("region").sortWithinPartitions("region", "n1", "n2").mapInArrow(partial(_regions_joined, num=percent), "a1 long, a2 long, b1 long, b2 long")
+    out = found.select(F.struct(F.col("a1").alias("n1"), F.col("a2").alias("n2")).alias("a"), F.struct(F.col("b1").alias("n1"), F.col("b2").alias("n2")).alias("b"))
+    for star in stars:
+        out = out.unionByName(star)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group of near copies: the one with the smallest id. Texts without words stay.
+    """docs with one row of each group of near copies: the first by id, a null id last.
 
-    Rows that repeat the kept id are told apart by nothing and stay together.
+    Of rows that repeat the least id of a group one stays, unless they are of other groups: rows are told apart
+    by a number of their own, not by their id. Texts without words stay, all of them. Columns may have any names.
     """
-    groups = jaccard_join(docs, id_col, text_col, words, percent)
-    gone = groups.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(small(gone), docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    name = free_name(docs, "row")
+    held = cut(docs.withColumn(name, F.monotonically_increasing_id()))
+    found = _grouped(held.select(F.col(name).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), words, percent)
+    gone = cut(found.where("row <> keep").select(F.col("row").alias(name)))
+    return held.join(small(gone), name, "left_anti").select(*docs.columns)
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import arrow_rows, cut, shared_folder, small, table
+from quern.llm.common import cut, shared_folder, small, table
 
 #: Bytes of blocks after which an archive is closed; one record may be longer.
 ROLL = 64 << 20
@@ -197,7 +197,6 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     smallest id are responses (all of them if that id repeats); a null id is a revisit of a known one. An empty
     table writes no archive.
     """
-    arrow_rows(pages.sparkSession)
     rows = planned(pages, id_col, url_col, html_col).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     whole = cut(rows.mapInArrow(partial(_written, folder=folder, date=date), FILES))
     files = whole.count()

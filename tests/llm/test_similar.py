@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, exact_dedup, jaccard_join
@@ -75,6 +76,44 @@ def test_large_regions_are_divided_exactly(spark, monkeypatch):
     assert joined(spark, rows, 3, 90) == brute_components(rows, 3, 90)
 
 
+def test_dense_regions_are_tied_by_stars(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "REGION", 8)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 3)
+    monkeypatch.setattr(jaccard_join, "MEETING", 10)
+    rng = random.Random(9)
+    template, rows = [f"w{i}" for i in range(120)], []
+    for i in range(90):
+        words = list(template)
+        for _ in range(rng.choice([1, 2, 3, 6])):
+            words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    assert joined(spark, rows, 3, 90) == brute_components(rows, 3, 90)
+
+
+def test_cells_hold_all_linked_pairs_and_part_the_others():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 6, (40, 64))
+    counts = np.concatenate([base, np.maximum(base + rng.integers(-1, 2, base.shape) * (rng.random(base.shape) < 0.1), 0)]).astype(np.int16)
+    n = counts.sum(1)
+    cell = jaccard_join.cells(counts, n * 10 // 90)
+    apart = np.abs(counts[:, None].astype(int) - counts[None]).sum(2)
+    together = (cell[:, :, None] & cell[:, None, :]).any(0)
+    assert together[apart * 190 <= 10 * (n[:, None] + n[None, :])].all()
+    assert together.sum() < 0.1 * together.size  # without cells each set would meet all others
+
+
+def test_join_without_its_cells_finds_nothing(spark, monkeypatch):
+    rows = [(1, "a b c d e f g h i j k"), (2, "a b c d e f g h i j k l"), (3, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    links = jaccard_join.jaccard_join(docs, words=3, percent=80).where("group_size > 1").count()
+    batch = {"meeting": [1, 1], "node": [5, 6], "n": [9, 10]}
+    classes = jaccard_join.class_counts(np.repeat([0, 1], [9, 10]), np.arange(19, dtype=np.uint64) % 10, np.array([9, 10]))
+    table = pa.RecordBatch.from_pydict(batch | {"classes": classes})
+    assert links == 2 and sum(b.num_rows for b in jaccard_join._near([table], 80)) == 1
+    monkeypatch.setattr(jaccard_join, "cells", lambda counts, reach: np.zeros((1, len(counts)), bool))
+    assert sum(b.num_rows for b in jaccard_join._near([table], 80)) == 0
+
+
 def test_join_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.jaccard_join(docs).count() == 0
@@ -88,6 +127,27 @@ def test_one_of_each_group_stays(spark):
     assert kept == {c for d, _, c in brute_components(rows, 5, 80) if d == c}
 
 
+def test_repeated_ids_and_clashing_columns_lose_no_document(spark):
+    a, b = "one two three four five six seven", "a text that nobody else has written"
+    rows = [(1, a), (5, a), (5, b), (1, a), (None, a), (7, None), (7, ""), (None, b)]
+    docs = spark.createDataFrame([(d, t, 0, "x", "y") for d, t in rows], "doc_id long, text string, row long, __gone string, id string")
+    got = jaccard_join.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(1, a), (5, b), (7, None), (7, "")], key=str)
+
+
+def test_partitions_of_empty_texts_and_one_very_long_text(spark):
+    empty = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string")
+    assert {tuple(r) for r in jaccard_join.jaccard_join(empty).collect()} == {(1, 0, 1, 1), (2, 0, 2, 1)}
+    assert {(r["n_words"], r["n_hit"]) for r in decontaminate.scan(empty, bench).collect()} == {(0, 0)}
+    assert decontaminate.remove_documents(empty, bench).count() == jaccard_join.keep_one(empty).count() == 2
+    text = " ".join(f"w{i}" for i in range(300_000))
+    long = spark.createDataFrame([(1, text), (2, text + " end"), (3, "short")], "doc_id long, text string")
+    assert {tuple(r)[:3] for r in jaccard_join.jaccard_join(long).collect()} == {(1, 299_996, 1), (2, 299_997, 1), (3, 1, 3)}
+    assert {r["n_words"] for r in decontaminate.scan(long, bench).collect()} == {300_000, 300_001, 1}
+
+
 def test_exact_dedup(spark):
     long = "A sentence of some length. " * 800
     rows = [(1, "Ab"), (2, "aB"), (3, None), (4, ""), (5, "É"), (6, "é"), (7, long), (8, long.upper()), (9, long + "!"), (9, long + "!"), (None, "ab"), (10, "x" * 9000), (11, "x" * 9001)]
@@ -101,6 +161,17 @@ def test_exact_dedup(spark):
         want.append((d, keep, len(same), d == keep, hashlib.sha256(t.encode()).hexdigest()))
     assert got == sorted(want, key=str)
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
+    clashing = exact_dedup.exact_dedup(docs, bits=4)  # identifiers that stand for several chunks are split
+    assert sorted(map(tuple, clashing.collect()), key=str) == got
+
+
+def test_a_third_of_all_rows_in_one_group(spark):
+    rows = [(i, "the very same text" if i % 3 == 0 else f"text number {i}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = exact_dedup.exact_dedup(docs).where("group_size > 1").collect()
+    assert len(got) == 1000 and {(r["keep_id"], r["group_size"]) for r in got} == {(2997, 1000)} and sum(r["kept"] for r in got) == 1
+    near = jaccard_join.jaccard_join(docs, words=3, percent=90).where("group_size > 1").collect()
+    assert len(near) == 1000 and {(r["component_id"], r["group_size"]) for r in near} == {(0, 1000)}
 
 
 def test_chunks_rebuild_the_text_and_follow_content(spark):
