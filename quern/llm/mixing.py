@@ -1,13 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
-A source's target over its size is the expected number of copies of each of its documents. The whole part is
-taken for certain; the rest is an inclusion probability p, and documents are ranked by the odds of a uniform
-number (drawn from the document's id) over the odds of p. The sample is the longest run of that ranking
-whose words stay within what is left of the target, and then, if it brings the words nearer, the one
-document beyond it whose size is nearest to the gap.
+A source's target over its size is the expected number of copies of its words. The whole part is taken for certain, of every
+document; what is left of the target is drawn. The inclusion probability of a document goes with the
+TILT-th power of its size, up to one, such that the expected words are those left: whole texts are repeated rather than
+scraps. Documents are ranked by the odds of a uniform number, drawn from id and text, over their inclusion odds. The sample,
+of a fixed size in words, is filled down that ranking: a document that doesn't fit into what is left is passed over.
 
 The ranking is never sorted in one place: ranks fall into BUCKETS ranges, whose word counts are summed up
-before the shuffle; only the one range in which a source's budget ends is ranked document by document.
+before the shuffle, and only ranges of some NEAR words around the places where a budget ends are filled document by
+document. The result is a short list of runs for each source: in a run all documents of at most so many words are taken.
+Runs decide about documents in one narrow pass, in which no text moves.
 """
 
 from __future__ import annotations
@@ -15,11 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD, cut, small, table
+from quern.llm.common import WORD, cut, free_name, small, table
 
-BUCKETS = 1 << 14
+BUCKETS, NEAR = 1 << 14, 1 << 16
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
+#: Power of its size that a document's inclusion probability goes with.
+TILT = 0.5
+#: A place in the ranking. Runs end before a place; their limit is in words.
+PLACE = "struct<bucket:int,rank:double,row:long>"
+RUNS = f"array<struct<most:long,stop:{PLACE}>>"
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -47,44 +54,95 @@ def uniform(key: Column, seed: str) -> Column:
     return (F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(seed))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    """docs with id, source, size, u and row, which are named in `__mix`, a struct."""
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    drawn = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    return docs.withColumn(free_name(docs, "__mix"), F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), uniform(drawn, seed).alias("u"), F.monotonically_increasing_id().alias("row")))
+
+
+def _levels(base: DataFrame, sources: DataFrame) -> DataFrame:
+    """(s, level): a document's inclusion probability is level * size ** TILT, up to 1, of sizes that fit the budget.
+
+    Sizes are filled up from the largest, as it is the first to reach 1: with those above at 1, the level shares out
+    the rest. One row for each size of a source is all that is compared. No level where all documents fit.
+    """
+    sizes = _of_source(base, sources).where("size > 0 and size <= budget").groupBy("source", "size").agg(F.count("*").alias("n"), F.first("budget").alias("budget"))
+    upto = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    tilted = F.sum(F.pow(F.col("size").cast("double"), F.lit(TILT)) * F.col("size") * F.col("n")).over(upto)
+    level = (F.col("budget") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(above), F.lit(0))) / tilted
+    fits = sizes.withColumn("level", level).where(F.col("level") * F.pow(F.col("size").cast("double"), F.lit(TILT)) <= 1)
+    return fits.groupBy(F.col("source").alias("s")).agg(F.max_by("level", "size").alias("level"))
+
+
+def _ranked(base: DataFrame, sources: DataFrame) -> DataFrame:
+    """base with the columns of its source and its place in the ranking, null for what can't be drawn."""
+    p = F.least(F.lit(1.0), F.coalesce(F.col("level") * F.pow(F.col("size").cast("double"), F.lit(TILT)), F.lit(1.0)))
+    rank = F.when(p >= 1, 0.0).otherwise(F.col("u") / (1 - F.col("u")) / (p / (1 - p)))
+    both = _of_source(base, sources).withColumn("rank", F.when((F.col("size") > 0) & (F.col("size") <= F.col("budget")), rank))
+    return both.withColumn("place", F.when(F.col("rank").isNotNull(), F.struct(F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int").alias("bucket"), "rank", "row")))
+
+
+def _place(bucket: Column) -> Column:
+    return F.struct(bucket.cast("int").alias("bucket"), F.lit(-1.0).alias("rank"), F.lit(-1).cast("long").alias("row"))
+
+
+def _runs(ranked: DataFrame, sources: DataFrame) -> DataFrame:
+    """(s, runs) of each source. Each round goes on from where the last one stopped, until all that is left of a source fits."""
+    state, done = cut(sources.select("s", F.col("budget").alias("gap"), _place(F.lit(0)).alias("at"), F.array().cast(RUNS).alias("runs"))), None
+    while True:
+        open_ = _of_source(ranked.where("place is not null").select("source", "size", "place"), state.select("s", "gap", "at")).where("size <= gap and place >= at")
+        words = cut(open_.groupBy("source", F.col("place.bucket").alias("bucket")).agg(F.sum("size").alias("words"), F.first("gap").alias("gap")))
+        upto = words.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")))
+        ends = upto.where("upto > gap").groupBy("source").agg(F.min_by(F.struct("bucket", "words", "upto"), "bucket").alias("end"))
+        ends = cut(ends.select(F.col("source").alias("s"), F.col("end.bucket").alias("first"), (F.col("end.upto") - F.col("end.words")).alias("before"), F.col("end.upto").alias("reached")))
+        final = state.join(small(ends.select("s")), state["s"].eqNullSafe(ends["s"]), "left_anti")
+        final = final.select("s", F.concat("runs", F.array(F.struct(F.col("gap").alias("most"), _place(F.lit(BUCKETS + 1)).alias("stop")))).alias("runs"))
+        done = cut(final if done is None else done.unionByName(final))
+        if ends.isEmpty():
+            return done
+        near = _of_source(upto, ends).where(f"bucket >= first and (bucket = first or upto - reached <= {NEAR})").groupBy(F.col("source").alias("s")).agg(F.max("bucket").alias("last"), F.first("first").alias("first"), F.first("before").alias("before"))
+        near = cut(near)
+        close = _of_source(open_, near).where("place.bucket between first and last").groupBy(F.col("source").alias("t")).agg(F.sort_array(F.collect_list(F.struct("place", "size"))).alias("close"), F.first("last").alias("last"), F.first("before").alias("before"))
+        both = state.join(small(cut(close)), state["s"].eqNullSafe(F.col("t")))
+        begin = F.struct(F.col("gap").alias("most"), (F.col("gap") - F.col("before")).cast("long").alias("left"), F.col("runs"))
+
+        def filled(a: Column, x: Column) -> Column:
+            passed = F.struct(a["left"].alias("most"), a["left"].alias("left"), F.concat(a["runs"], F.array(F.struct(a["most"].alias("most"), x["place"].alias("stop")))).alias("runs"))
+            fits = F.struct(a["most"].alias("most"), (a["left"] - x["size"]).alias("left"), a["runs"].alias("runs"))
+            return F.when(x["size"] <= a["left"], fits).when(x["size"] <= a["most"], passed).otherwise(a)
+
+        folded = both.select("s", "last", F.aggregate("close", begin, filled).alias("f"))
+        stop = F.array(F.struct(F.col("f.most").alias("most"), _place(F.col("last") + 1).alias("stop")))
+        state = cut(folded.select("s", F.col("f.left").alias("gap"), _place(F.col("last") + 1).alias("at"), F.concat("f.runs", stop).alias("runs")))
+
+
+def _decided(base: DataFrame) -> DataFrame:
+    """base (id, source, size, u, row) with source_size, target and copies. base is what cut() has written."""
+    sources = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    sources = cut(sources.withColumn("certain", F.floor(rate)).withColumn("budget", F.floor(F.col("target") - F.col("certain") * F.col("source_size") + 1e-6)).withColumnRenamed("source", "s"))
+    levels = cut(_levels(base, sources)).withColumnRenamed("s", "t")
+    sources = cut(sources.join(small(levels), sources["s"].eqNullSafe(levels["t"]), "left").drop("t"))
+    ranked = _ranked(base, sources)
+    runs = _runs(ranked, sources)
+    own = F.get(F.filter("runs", lambda r: F.col("place") < r["stop"]), F.lit(0))
+    drawn = F.coalesce(F.col("size") <= own["most"], F.lit(False))
+    return _of_source(ranked, runs).withColumn("copies", F.col("certain") + drawn.cast("long"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = ":mix") -> DataFrame:
     """(id_col, source, size, source_size, target, copies, taken) of every row; size is in words.
 
     Null and empty texts have size 0 and get the certain copies only. A null source is a source of its own.
-    Repeated rows and null ids draw alike; of rows alike in id and size it is left open which of them are taken,
+    Repeated rows and null ids draw by their text; of rows alike in id and text it is left open which of them are taken,
     so the rows returned are the same in each run. Empty tables give no rows; where all sizes are 0 all targets are 0.
+    A text longer than what is left of its source's budget gets its certain copies only.
     """
-    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    base = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), uniform(F.col(id_col), seed).alias("u"), F.monotonically_increasing_id().alias("row")))
-    sources = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    sources = cut(
-        sources.withColumn("certain", F.floor(rate)).withColumn("p", rate - F.col("certain"))
-        .withColumn("budget", F.col("target") - F.col("certain") * F.col("source_size")).withColumnRenamed("source", "s")
-    )
-    odds = F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p")))
-    ranked = (
-        _of_source(base, sources).withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), odds))
-        .withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int"))
-    )
-    # words of each range of ranks, and the range in which the budget ends
-    ranges = ranked.where("rank is not null").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("budget").alias("budget"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
-    ends = ranges.withColumn("upto", upto).where("upto > budget").groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before")), "bucket").alias("end"))
-    ends = cut(ends.select(F.col("source").alias("s"), F.col("end.bucket").alias("last"), F.col("end.before").alias("before")))
-    placed = _of_source(ranked, ends, "left")
-    # in that range the run ends before the first document that would pass the budget
-    one_by_one = Window.partitionBy("source").orderBy("rank", F.col("id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = cut(placed.where("bucket = last").withColumn("upto", F.col("before") + F.sum("size").over(one_by_one)).withColumn("fits", F.col("upto") <= F.col("budget")))
-    gaps = cut(edge.groupBy(F.col("source").alias("s")).agg((F.first("budget") - F.coalesce(F.max(F.when(F.col("fits"), F.col("upto"))), F.first("before"))).alias("gap")))
-    beyond = placed.where("bucket > last").select("source", "rank", "id", "size", "row").unionByName(edge.where("not fits").select("source", "rank", "id", "size", "row"))
-    near = _of_source(beyond, gaps).withColumn("off", F.abs(F.col("gap") - F.col("size"))).where("off < gap")
-    picks = cut(near.groupBy(F.col("source").alias("s")).agg(F.min(F.struct("off", "rank", "id", "size", "row"))["row"].alias("pick")))
-    rest = placed.where("bucket is null or last is null or bucket <> last").withColumn("fits", F.coalesce(F.col("bucket") < F.coalesce("last", F.lit(BUCKETS)), F.lit(False)))
-    both = _of_source(rest.unionByName(edge.drop("upto")), picks, "left")
-    copies = F.col("certain") + (F.col("fits") | F.coalesce(F.col("row") == F.col("pick"), F.lit(False))).cast("long")
-    both = both.withColumn("copies", copies)
-    return both.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    sized = _sized(docs, id_col, text_col, source_col, seed)
+    found = _decided(cut(sized.select(f"{sized.columns[-1]}.*")))
+    return found.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def _of_source(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
@@ -92,17 +150,15 @@ def _of_source(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataF
     return rows.join(small(sources), rows["source"].eqNullSafe(sources["s"]), how).drop("s")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs, each row as often as the mix takes it. Which rows repeat is decided by (id, source, size)."""
-    sized = docs.withColumn("__size", F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long"))
-    # rows alike in id, source and size share their copies in turn
-    plan = mix(docs, id_col, text_col, source_col).groupBy(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__n")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    joined = sized.join(plan, sized[id_col].eqNullSafe(F.col("__id")) & sized[source_col].eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__n")))
-    turn = Window.partitionBy("__id", "__source", "__n").orderBy(F.lit(1))
-    alike = joined.where("__rows > 1").withColumn("__nth", F.row_number().over(turn))
-    both = joined.where("__rows = 1").withColumn("__nth", F.lit(1)).unionByName(alike)
-    times = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__nth") <= F.col("__copies") % F.col("__rows")).cast("long")
-    return both.withColumn("__times", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = ":mix") -> DataFrame:
+    """docs, each row as often as mix() takes it: nulls, empty texts, repeated rows and empty tables as there.
+
+    Texts are written once, with their sizes, and read once more; they are never shuffled. Columns may have any names.
+    """
+    held = cut(_sized(docs, id_col, text_col, source_col, seed))
+    base = held.select(f"{held.columns[-1]}.*", F.struct(*docs.columns).alias("whole"))
+    # only the narrow passes that need whole rows read them
+    return _decided(base).select(F.explode(F.array_repeat("whole", F.col("copies").cast("int"))).alias("whole")).select("whole.*")
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -112,7 +168,7 @@ def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
     SELECT row_number() OVER () AS rid, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-           (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+           (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, '')) || ':mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
     FROM documents),
 s AS (
     SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -123,19 +179,22 @@ l AS (
 t AS (
     SELECT source, source_size, least(source_size * 2.0::DOUBLE, coalesce((SELECT max(level) FROM l AS m WHERE m.level * m.w <= m.source_size * 2.0::DOUBLE) * w, source_size * 2.0::DOUBLE)) AS target FROM l),
 r AS (
-    SELECT *, floor(rate) AS certain, rate - floor(rate) AS p, target - floor(rate) * source_size AS budget
+    SELECT *, floor(rate) AS certain, floor(target - floor(rate) * source_size + 1e-6::DOUBLE)::BIGINT AS budget
     FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM t)),
+j AS (SELECT d.*, r.source_size, target, certain, budget, size > 0 AND size <= budget AS drawn FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+h AS (SELECT source, size, count(*) AS n, any_value(budget) AS budget FROM j WHERE drawn GROUP BY source, size),
+v AS (
+    SELECT source, size, (budget - coalesce(sum(size * n) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                         / sum(sqrt(size::DOUBLE) * size * n) OVER (PARTITION BY source ORDER BY size ROWS UNBOUNDED PRECEDING) AS level FROM h),
+c AS (SELECT source, arg_max(level, size) AS level FROM v WHERE level * sqrt(size::DOUBLE) <= 1 GROUP BY source),
 k AS (
-    SELECT d.*, r.source_size, target, certain, budget, CASE WHEN p > 0 AND size > 0 THEN u / (1 - u) / (p / (1 - p)) END AS rank
-    FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto FROM k WHERE rank IS NOT NULL),
-g AS (SELECT source, any_value(budget) - coalesce(max(upto) FILTER (upto <= budget), 0) AS gap FROM c GROUP BY source),
-x AS (
-    SELECT rid FROM (
-        SELECT rid, row_number() OVER (PARTITION BY c.source ORDER BY abs(gap - size), rank, doc_id, size) AS n
-        FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source WHERE upto > budget AND abs(gap - size) < gap)
-    WHERE n = 1)
-SELECT k.doc_id, k.size, k.source_size, k.target,
-       (k.certain::BIGINT + CASE WHEN c.upto <= c.budget OR k.rid IN (SELECT rid FROM x) THEN 1 ELSE 0 END) * k.size AS taken
-FROM k LEFT JOIN c ON k.rid = c.rid
+    SELECT *, CASE WHEN NOT drawn THEN NULL WHEN p >= 1 THEN 0 ELSE u / (1 - u) / (p / (1 - p)) END AS rank
+    FROM (SELECT j.*, least(1, coalesce(level * sqrt(size::DOUBLE), 1)) AS p FROM j LEFT JOIN c ON j.source IS NOT DISTINCT FROM c.source)),
+f AS (
+    SELECT list_reduce(list({'size': size, 'rid': rid, 'picked': NULL::BIGINT[]} ORDER BY rank, rid),
+                       lambda a, x: CASE WHEN x.size <= a.size THEN {'size': a.size - x.size, 'rid': a.rid, 'picked': list_append(a.picked, x.rid)} ELSE a END,
+                       {'size': any_value(budget), 'rid': 0::BIGINT, 'picked': []::BIGINT[]}).picked AS picked
+    FROM k WHERE drawn GROUP BY source),
+x AS (SELECT DISTINCT unnest(picked) AS rid FROM f)
+SELECT doc_id, size, source_size, target, (certain::BIGINT + CASE WHEN rid IN (FROM x) THEN 1 ELSE 0 END) * size AS taken FROM k
 """

@@ -57,6 +57,38 @@ def test_mix(spark):
     assert {r["taken"] for r in mixing.mix(df.where("text is null or text = ''")).collect()} == {0}
 
 
+def test_a_document_too_long_for_the_budget_is_passed_over(spark):
+    rows = [(0, "w " * 6000, "a")] + [(i, "w " * 100, "a") for i in range(1, 41)] + [(100 + i, "w " * 50, "b") for i in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 100 for s in target), (taken, target)
+
+
+def test_longer_documents_are_likelier_and_ranks_follow_their_odds(spark, monkeypatch):
+    rows = [(i, f"t{i} " + "w " * (9 if i % 2 else 399), "a" if i < 2000 else "b") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).where("source = 'b'").collect()
+    rate = got[0]["target"] / got[0]["source_size"]
+    extra = lambda size: sum(r["copies"] - int(rate) for r in got if r["size"] == size) / sum(r["size"] == size for r in got)
+    assert 5 < extra(400) / extra(10) < 8  # the square root of 40, drawn
+    monkeypatch.setattr(mixing, "TILT", 0.0)
+    flat = mixing.mix(docs).where("source = 'b'").collect()
+    assert {r["doc_id"] for r in flat if r["copies"] > int(rate)} != {r["doc_id"] for r in got if r["copies"] > int(rate)}
+
+
+def test_mixed_documents_may_have_any_columns(spark):
+    rows = [(i % 50, "w " * (i % 7), "s", "own", i, 1.0) for i in range(200)] + [(None, "same", "s", "own", i, 1.0) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __mix string, whole long, rank double")
+    got = mixing.mixed_documents(docs)
+    plan = Counter()
+    for r in mixing.mix(docs).collect():
+        plan[r["doc_id"]] += r["copies"]
+    assert got.columns == docs.columns and Counter(r["doc_id"] for r in got.collect()) == Counter({d: n for d, n in plan.items() if n})
+
+
 def test_shards(spark):
     rows = [(i, f"é{i}" * (i % 5)) for i in range(4000)] + [(9999, None), (None, "x"), (3, "dup"), (3, "dup")]
     df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, shard long")
