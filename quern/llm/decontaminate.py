@@ -1,4 +1,9 @@
-"""Benchmark decontamination: a broadcast hash set of the test n-grams, scanned over training token windows."""
+"""Benchmark decontamination: a broadcast hash set of the test n-grams, scanned over training token windows.
+
+The set is four flat arrays: sorted 64-bit hashes of the windows, the item and the place of each, and the items' normalised
+words, by which every hit is verified. It takes some five bytes for each byte of the items, so a block of BLOCK_BYTES bounds what the driver
+builds and what a task holds.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bytewords import ALNUM, Words, slices
-from quern.llm.common import table
+from quern.llm.common import cut, table
 
 WINDOW = 10
 #: Bytes of item texts in one broadcast; a larger benchmark is scanned for block by block.
@@ -21,27 +26,65 @@ SPANS = "array<struct<start:long,stop:long>>"
 
 
 class NgramSet:
-    """Windows of items by length: sorted hashes, and for each the window's words and the items that have it."""
+    """Windows of items by their number of words: sorted hashes, the item of each, and where its words start and end in `data`.
+
+    data holds the items' words, one space between two. Equal windows of one item stand there once.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int) -> None:
-        names, texts = [n for n, _ in items], pa.array([t or "" for _, t in items], pa.string())
-        found: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-        for first, data, off in slices(texts):
-            words = Words(data, off, ALNUM)
+        self.names = [n for n, _ in items]
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        data, base = [], 0
+        for first, raw, off in slices(pa.array([t or "" for _, t in items], pa.string())):
+            words = Words(raw, off, ALNUM)
+            length = words.end - words.start
+            start = base + np.concatenate([[0], np.cumsum(length + 1)])[:-1] if len(length) else length
+            stop = start + length
+            data.append(_joined(words))
+            base += len(data[-1])
             for size in {min(window, int(c)) for c in words.counts if c}:
                 at, value = words.windows(size)
-                for i, h in zip(at, value, strict=True):
-                    if size == window or words.counts[words.text[i]] == size:
-                        found.setdefault(size, {}).setdefault(int(h), {}).setdefault(_spelled(words, i, size), set()).add(names[first + words.text[i]])
-        self.sizes = {size: (np.array(sorted(by), np.uint64), by) for size, by in found.items()}
-
-
-def _spelled(words: Words, first: int, size: int) -> bytes:
-    return b" ".join(words.data[words.start[i] : words.end[i]].tobytes() for i in range(first, first + size))
+                own = np.ones(len(at), bool) if size == window else words.counts[words.text[at]] == size
+                at, value = at[own], value[own]
+                found.setdefault(size, []).append((value, first + words.text[at], start[at], stop[at + size - 1]))
+        self.data = np.concatenate([np.zeros(0, np.uint8), *data])
+        self.sizes = {}
+        for size, parts in found.items():
+            value, item, start, stop = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((start, item, value))
+            value, item = value[order], item[order].astype(np.int32)
+            fresh = np.append(True, (value[1:] != value[:-1]) | (item[1:] != item[:-1]))
+            self.sizes[size] = (value[fresh], item[fresh], start[order][fresh], stop[order][fresh])
+
+    def matches(self, size: int, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, item) of each verified occurrence of a window of so many words."""
+        hashes, item, start, stop = self.sizes[size]
+        at, value = words.windows(size)
+        low, high = np.searchsorted(hashes, value, "left"), np.searchsorted(hashes, value, "right")
+        hit = np.flatnonzero(high > low)
+        count = (high - low)[hit]
+        which = np.repeat(low[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(at[hit], count)
+        said: dict[int, bytes] = {}
+        kept = np.zeros(len(at), bool)
+        for i, (a, w) in enumerate(zip(at.tolist(), which.tolist(), strict=True)):
+            if a not in said:
+                said[a] = b" ".join(words.data[words.start[j] : words.end[j]].tobytes() for j in range(a, a + size))
+            kept[i] = self.data[start[w] : stop[w]].tobytes() == said[a]
+        return at[kept], item[which[kept]]
+
+
+def _joined(words: Words) -> np.ndarray:
+    """The words' bytes in order, each followed by a space."""
+    length = words.end - words.start
+    out = np.full(int(length.sum()) + len(length), 32, np.uint8)
+    to = np.repeat(np.cumsum(length + 1) - length - 1, length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    out[to] = words.data[np.repeat(words.start, length) + np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)]
+    return out
 
 
 def _scan(batches: Iterator[pa.RecordBatch], grams: Broadcast, carry: bool) -> Iterator[pa.RecordBatch]:
-    sets = grams.value
+    sets: NgramSet = grams.value
     for batch in batches:
         earlier = batch.num_columns > 2
         for first, data, off in slices(batch.column("text")):
@@ -56,15 +99,12 @@ def _scan(batches: Iterator[pa.RecordBatch], grams: Broadcast, carry: bool) -> I
                         step[words.bounds[i] + s["stop"]] -= 1
                     if names:
                         items[i] = set(names)
-            for size, (hashes, by) in sets.sizes.items():
-                at, value = words.windows(size)
-                place = np.minimum(np.searchsorted(hashes, value), len(hashes) - 1)
-                for j in np.flatnonzero(hashes[place] == value):
-                    names = by[int(value[j])].get(_spelled(words, at[j], size))
-                    if names:  # verified word by word
-                        step[at[j]] += 1
-                        step[at[j] + size] -= 1
-                        items.setdefault(int(words.text[at[j]]), set()).update(names)
+            for size in sets.sizes:
+                at, item = sets.matches(size, words)
+                np.add.at(step, at, 1)
+                np.add.at(step, at + size, -1)
+                for t, i in {(int(t), int(i)) for t, i in zip(words.text[at], item, strict=True)}:
+                    items.setdefault(t, set()).add(sets.names[i])
             hit = np.cumsum(step[:-1]) > 0
             edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
             new = np.zeros(len(hit) + 1, bool)
@@ -90,15 +130,16 @@ def _scan(batches: Iterator[pa.RecordBatch], grams: Broadcast, carry: bool) -> I
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id_col, n_words, n_hit, items, spans) of every row: spans are code points (start, stop) of runs of hit words.
 
-    The benchmark is grouped into blocks of at most BLOCK_BYTES (one item may be longer and stands alone); each
-    block is one broadcast and one narrow pass over the documents, which are never shuffled.
+    The benchmark is grouped into blocks of at most BLOCK_BYTES (one item may be longer and stands alone). Each block is one
+    broadcast and one narrow pass over the documents, which are never shuffled. Between two blocks rows are written
+    to the shared folder, so a task never holds two sets.
     Null and empty texts have no words. Items with null text have no windows; a null item id is named "".
-    Items that repeat an id count once. Empty documents give no rows, an empty benchmark no hits.
+    Items that repeat an id count once; repeated rows get equal results. Empty documents give no rows, an empty benchmark no hits.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // (BLOCK_BYTES // 2)) or 1  # half as a margin for uneven hashing
     for b in range(blocks):
@@ -107,29 +148,37 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         carry = b < blocks - 1
         rows = rows.mapInArrow(partial(_scan, grams=grams, carry=carry), f"id {kind}, " + "text string, " * carry + f"n_words long, n_hit long, hits {SPANS}, spans {SPANS}, items array<string>")
         if carry:
-            rows = rows.select("id", "text", "hits", "items")
+            rows = cut(rows.select("id", "text", "hits", "items"))
+            grams.destroy()
     return rows.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", "spans")
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs without those that hold a benchmark window; one narrow pass, nothing joined."""
-    held = docs.withColumn("__row", F.struct(*docs.columns))
-    found = scan(held.select(F.col("__row"), F.col(text_col).alias("__text")), benchmark, "__row", "__text", window=window)
-    return found.where("n_hit = 0").select("__row.*")
+def _whole(docs: DataFrame, benchmark: DataFrame, text_col: str, window: int) -> DataFrame:
+    """scan() of docs with each whole row in the column `whole`."""
+    return scan(docs.select(F.struct(*docs.columns).alias("whole"), F.col(text_col).alias("text")), benchmark, "whole", window=window)
+
+
+def remove_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs without those that hold a benchmark window; one narrow pass, nothing joined.
+
+    Null and empty texts hold none and stay; repeated rows stay or go together. An empty benchmark removes nothing,
+    empty docs give no rows. Columns may have any names.
+    """
+    return _whole(docs, benchmark, text_col, window).where("n_hit = 0").select("whole.*")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with the hit spans cut out of the text; each cut leaves one space."""
-    held = docs.withColumn("__row", F.struct(*docs.columns))
-    found = scan(held.select(F.col("__row"), F.col(text_col).alias("__text")), benchmark, "__row", "__text", window=window)
-    text = F.col("__row")[text_col]
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs with the hit spans cut out of the text; each cut leaves one space. Nulls, repeated rows and empty tables as in remove_documents()."""
+    found = _whole(docs, benchmark, text_col, window)
+    text = F.col("whole")[text_col]
     at = F.concat(F.array(F.lit(0).cast("long")), F.col("spans.stop"))
     to = F.concat(F.col("spans.start"), F.array(F.char_length(text).cast("long")))
     kept = F.when(F.col("n_hit") == 0, text).otherwise(F.array_join(F.zip_with(at, to, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))), " "))
-    return found.select(*(kept.alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in docs.columns))
+    return found.select(*(kept.alias(c) if c == text_col else F.col("whole")[c].alias(c) for c in docs.columns))
 
 
 def op6_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
+    """scan() of all documents for all benchmark items, with the items' digest; the cases are those of scan()."""
     found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
