@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bytewords import ALNUM, Words, mix, slices
-from quern.llm.common import cut, table
+from quern.llm.common import cut, free_name, table
 
 #: Training rows of each label, those with the least hashes, and about how many of their runs with a cue are learnt from.
 TRAIN_ROWS, TRAIN_RUNS = 1200, 8000
@@ -344,20 +344,27 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return _fit(passed)
 
 
+def _scored(docs: DataFrame, field: Field, text_col: str) -> DataFrame:
+    """(whole, score, spans): each whole row with its score and spans."""
+    held = docs.sparkSession.sparkContext.broadcast(field)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(partial(_score, held=held), f"row {kind}, score double, spans string").withColumnRenamed("row", "whole")
+
+
 def score(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
-    """docs with toxic_score (0 to 1) and toxic_spans (start:end in code points, comma-joined).
+    """docs with toxic_score (0 to 1) and toxic_spans (start:end in code points, comma-joined), as the last two columns.
 
     One narrow pass: nothing is shuffled. Null and empty texts have no words and get the score of no evidence.
-    Equal texts get equal scores. Empty tables give no rows.
+    Equal texts get equal scores, repeated rows included. Empty tables give no rows. Where docs has a column of such a name
+    already, the new one gets "_" behind its name.
     """
-    held = docs.sparkSession.sparkContext.broadcast(field)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    found = rows.mapInArrow(partial(_score, held=held), f"row {kind}, score double, spans string")
-    return found.select("row.*", F.col("score").alias("toxic_score"), F.col("spans").alias("toxic_spans"))
+    found = _scored(docs, field, text_col)
+    return found.select("whole.*", F.col("score").alias(free_name(docs, "toxic_score")), F.col("spans").alias(free_name(docs, "toxic_spans")))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a field trained on those that aren't held out; the cases are those of score()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     field = train(docs, table(spark, sf_dir, "labels"))
     found = score(docs.withColumn("held_out", held_out(F.col("doc_id"))), field)
@@ -365,6 +372,9 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those whose score is 0.5 or more, by a field trained on docs and labels."""
-    found = score(docs, train(docs, labels, id_col, text_col), text_col)
-    return found.where("toxic_score < 0.5").select(*docs.columns)
+    """docs without those whose score is 0.5 or more, by a field trained on docs and labels.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table gives no rows. Without labels of
+    both kinds all stay. Columns may have any names.
+    """
+    return _scored(docs, train(docs, labels, id_col, text_col), text_col).where("score < 0.5").select("whole.*")

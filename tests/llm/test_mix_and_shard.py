@@ -1,5 +1,7 @@
 """Mixing, sharding and the pipeline."""
 
+import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -103,7 +105,25 @@ def test_shards(spark):
     moved = sum(r["grown_shard"] == 40 for r in got)
     assert 0.5 * len(got) / 41 < moved < 1.6 * len(got) / 41
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in rows)
-    assert sharding.shard(df.limit(0)).count() == 0 and sharding.sharded(df).where("shard between 0 and 39").count() == len(rows)
+    assert sharding.shard(df.limit(0)).count() == 0 and sharding.sharded(df).where("shard = 1 and shard_ between 0 and 39").count() == len(rows)
+
+
+def test_tree_equals_a_walk_in_plain_python(spark):
+    def child(key, weights):
+        u = {n: (int(hashlib.md5(f"{key}:{n}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for n in weights}
+        return min(weights, key=lambda n: (-math.log(u[n]) / weights[n], n))
+
+    leaves = [x._replace(weight=1.0 + x.shard % 3) for x in sharding.tree(11, 9, 3, 2)]
+
+    def walk(key):
+        below = defaultdict(lambda: defaultdict(float))
+        for x in leaves:
+            for at, n in (("", x.region), (x.region, x.rack), (x.rack, str(x.shard))):
+                below[at][n] += x.weight
+        return int(child(key, below[child(key, below[child(key, below[""])])]))
+
+    keys = spark.range(500).select(F.col("id").cast("string").alias("k"))
+    assert {r["k"]: r["s"] for r in keys.select("k", sharding.shard_of(F.col("k"), leaves).alias("s")).collect()} == {str(i): walk(str(i)) for i in range(500)}
 
 
 def test_weights_confine_movement(spark):

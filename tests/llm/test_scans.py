@@ -36,6 +36,16 @@ def test_toxic_spans_and_odd_rows(spark):
     got = {r["doc_id"]: r for r in toxicity.score(df, field).collect()}
     assert got[1]["toxic_spans"] == "15:20" and got[1]["toxic_score"] > 0.5 and got[1]["toxic_score"] == got[5]["toxic_score"]
     assert got[2]["toxic_score"] == got[3]["toxic_score"] < 0.5 and got[4]["toxic_score"] < 0.5
+    clash = df.withColumn("toxic_score", F.lit("mine")).withColumn("row", F.lit(1))
+    again = toxicity.score(clash, field)
+    assert again.columns == [*clash.columns, "toxic_score_", "toxic_spans"] and {r["toxic_score"] for r in again.collect()} == {"mine"}
+    labels = spark.createDataFrame([(i, y) for i, _, y in docs], "doc_id long, toxic int")
+    held = spark.createDataFrame([(i, t, "mine", "s") for i, t, _ in docs] + [(900, None, "mine", "s"), (901, "", "mine", "s"), (902, "a moron and a moron", "mine", "s"), (902, "a moron and a moron", "mine", "s")], "doc_id long, text string, toxic_score string, score string")
+    stay = toxicity.clean_documents(held, labels)
+    kept = {r["doc_id"] for r in stay.collect()}
+    assert stay.columns == held.columns and {900, 901} < kept and 902 not in kept and kept >= set(range(40)) and toxicity.clean_documents(held.limit(0), labels).count() == 0
+    nothing = held.where("doc_id in (900, 901)").coalesce(1)
+    assert toxicity.score(nothing, field).count() == 2
     empty = toxicity.train(df.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r["toxic_score"] < 0.5 for r in toxicity.score(df, empty).collect()] == [True] * 5
 
