@@ -391,7 +391,7 @@ def train(pages: DataFrame, html_col: str = "html") -> Weights:
     """Weights from at most TRAIN_PAGES pages, none of more than TRAIN_CHARS characters: 40 MB at most, and executors send little more."""
     rows = pages.select(F.col(html_col).alias("html")).where(F.char_length("html").between(1, TRAIN_CHARS)).withColumn("h", F.xxhash64("html"))
     share = min(1.0, 2 * TRAIN_PAGES / max(rows.count(), 1))  # twice as many as are taken: fewer are as good as never found
-    few = rows.where(F.col("h") <= int((2 * share - 1) * (2**63 - 1))).orderBy("h", "html").limit(TRAIN_PAGES)
+    few = rows.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).orderBy("h", "html").limit(TRAIN_PAGES)
     return fit([r["html"] for r in few.select("html").collect()])
 
 
