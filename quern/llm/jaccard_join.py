@@ -38,7 +38,7 @@ from quern.llm.bytewords import NOT_SPACE, Words, mix, slices, sums
 from quern.llm.common import HOT_SHARE, cut, free_name, small, spread_join
 from quern.llm.graph import components
 
-SHELL, REGION, LEVELS, PIVOTS, COPIES = 2.0, 1024, 2, 12, 1.6
+SHELL, REGION, LEVELS, PIVOTS, COPIES = 2.0, 256, 2, 12, 1.6
 #: Shingles that are counted together in memory; those met LOCAL times there are candidates for the table of at most FREQUENT.
 COUNTED, LOCAL, FREQUENT = 1 << 20, 3, 200_000
 #: Least and most classes of shingles, both powers of two, and shingles of a set for each of its classes.
@@ -139,41 +139,34 @@ def least_apart(classes: list[bytes]) -> np.ndarray:
     return apart
 
 
-def _names(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Size and name of each text's set; its class counts and shingles only where the task meets the set first."""
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple]:
+    """(batch, first row, sizes, names, and of those sets that this task meets for the first time: rows, set of each shingle, shingles, sizes) of slices of rows."""
     seen: set[tuple[int, int]] = set()
     for batch in batches:
         for first, data, off in slices(batch.column("text")):
             words = Words(data, off, NOT_SPACE)
             text, value = words.shingles(k)
-            n = words.texts
-            sizes = np.bincount(text, minlength=n).astype(np.int64)
-            n1, n2 = identity(text, value, n)
-            ends = np.searchsorted(text, np.arange(n + 1))
-            classes, items = [None] * n, [None] * n
-            fresh = np.zeros(n, bool)
+            sizes = np.bincount(text, minlength=words.texts).astype(np.int64)
+            n1, n2 = identity(text, value, words.texts)
+            fresh = np.zeros(words.texts, bool)
             for i, name in enumerate(zip(n1.tolist(), n2.tolist(), strict=True)):
                 if sizes[i] and name not in seen:
                     seen.add(name)
                     fresh[i] = True
-                    items[i] = value[ends[i] : ends[i + 1]].tobytes()
             picked = fresh[text]
-            counted = class_counts((np.cumsum(fresh) - 1)[text[picked]], value[picked], sizes[fresh])
-            for i, c in zip(np.flatnonzero(fresh), counted, strict=True):
-                classes[i] = c
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, n) for c in ("row", "id")), pa.array(sizes), pa.array(n1), pa.array(n2), pa.array(classes, pa.binary()), pa.array(items, pa.binary())], ["row", "id", "n", "n1", "n2", "classes", "items"])
+            yield batch, first, sizes, (n1, n2), np.flatnonzero(fresh), (np.cumsum(fresh) - 1)[text[picked]], value[picked], sizes[fresh]
 
 
-def _held(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(set, shingle) of the batch's items, and the size of each set."""
-    items = batch.column("items")
-    _, off, data = items.buffers()
-    off = np.frombuffer(off, np.int32)[items.offset : items.offset + len(items) + 1].astype(np.int64) // 8
-    sizes = np.diff(off)
-    return np.repeat(np.arange(len(items)), sizes), np.frombuffer(data, np.uint64)[off[0] : off[-1]], sizes
+def _names(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Size and name of each text's set; its class counts only where the task meets the set first."""
+    for batch, first, sizes, (n1, n2), rows, own, value, n in _sets(batches, k):
+        classes: list[bytes | None] = [None] * len(sizes)
+        for i, c in zip(rows, class_counts(own, value, n), strict=True):
+            classes[i] = c
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(sizes)) for c in ("row", "id")), pa.array(sizes), pa.array(n1), pa.array(n2), pa.array(classes, pa.binary())], ["row", "id", "n", "n1", "n2", "classes"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(shingle, met) of shingles that are met at least LOCAL times in COUNTED of them."""
     held, n = [], 0
 
@@ -181,8 +174,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, met = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(shingle[met >= LOCAL].view(np.int64)), pa.array(met[met >= LOCAL])], ["shingle", "met"])
 
-    for batch in batches:
-        _, value, _ = _held(batch)
+    for *_, value, _ in _sets(batches, k):
         held.append(value)
         n += len(value)
         if n >= COUNTED:
@@ -192,15 +184,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield often()
 
 
-def _regions(batches: Iterator[pa.RecordBatch], num: int, held: Broadcast, hot: int) -> Iterator[pa.RecordBatch]:
+def _regions(batches: Iterator[pa.RecordBatch], k: int, num: int, held: Broadcast, hot: int) -> Iterator[pa.RecordBatch]:
     """(key, salt, node): the regions that each set enters. Sets are dealt to parts of a region whose shingle is met more than `hot` times."""
     rarity = Rarity(*held.value)
-    for batch in batches:
-        text, value, sizes = _held(batch)
-        node = batch.column("n1").to_numpy()
-        rows, keys, often = region_keys(text, value, sizes, num, rarity)
-        salt = np.where(often > hot, 1 + (node[rows] & (SALTS - 1)), 0)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(salt), pa.array(node[rows])], ["key", "salt", "node"])
+    for _, _, _, (n1, _), rows, own, value, n in _sets(batches, k):
+        at, keys, often = region_keys(own, value, n, num, rarity)
+        node = n1[rows[at]]
+        salt = np.where(often > hot, 1 + (node & (SALTS - 1)), 0)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(salt), pa.array(node)], ["key", "salt", "node"])
+
+
+def _wanted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Whole sets, each once a task."""
+    for _, _, _, (n1, n2), rows, _, value, n in _sets(batches, k):
+        ends = np.concatenate([[0], np.cumsum(n)])
+        items = pa.array([value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(n1[rows]), pa.array(n2[rows]), items], ["n1", "n2", "items"])
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,16 +264,14 @@ def _near(batches: Iterator[pa.RecordBatch], num: int) -> Iterator[pa.RecordBatc
         classes = [r[2] for r in held]
         least = min(map(len, classes))
         counts = np.stack([folded(c, least) for c in classes])
-        a, b = [], []
-        for cell in cells(counts, n * (100 - num) // num):
-            own = np.flatnonzero(cell)
-            if len(own) > 1:
-                size = n[own]
-                allowed = (least_apart([classes[i] for i in own]) * (100 + num) <= (100 - num) * (size[:, None] + size[None, :])) & (100 * size[:, None] >= num * size[None, :]) & (100 * size[None, :] >= num * size[:, None])
-                root, far = _forest(allowed)
-                a.append(node[own[root]])
-                b.append(node[own[far]])
-        return tuple(np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b))
+        cell = cells(counts, n * (100 - num) // num).astype(np.float32)
+        together = cell.T @ cell > 0
+        own = np.flatnonzero(together.sum(1) > 1)
+        size = n[own]
+        allowed = together[np.ix_(own, own)] & (least_apart([classes[i] for i in own]) * (100 + num) <= (100 - num) * (size[:, None] + size[None, :]))
+        allowed &= (100 * size[:, None] >= num * size[None, :]) & (100 * size[None, :] >= num * size[:, None])
+        root, far = _forest(allowed) if len(own) else (own, own)
+        return node[own[root]], node[own[far]]
 
     for batch in batches:
         meeting, node, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("meeting", "node", "n"))
@@ -361,43 +358,40 @@ def _joined(items: list[np.ndarray], num: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _regions_joined(batches: Iterator[pa.RecordBatch], num: int) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by region and set: the links' forest in each region. Holds one region between batches."""
-    held: list[pa.RecordBatch] = []
+    """Of rows sorted by region and set: the links' forest in each region. Holds one region between batches, each set once."""
+    held: list[tuple[int, int, bytes]] = []
 
-    def solve() -> pa.RecordBatch | None:
-        n1, n2 = (np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c in ("n1", "n2"))
-        items = [np.frombuffer(v, np.int64) for x in held for v in x.column("items").to_pylist()]
+    def solve() -> tuple[np.ndarray, ...]:
+        n1, n2 = (np.array([h[c] for h in held], np.int64) for c in (0, 1))
+        a, b = _joined([np.frombuffer(h[2], np.int64) for h in held], num)
         held.clear()
-        first = np.flatnonzero(np.append(True, (n1[1:] != n1[:-1]) | (n2[1:] != n2[:-1])))  # a set may come twice
-        if len(first) < 2:
-            return None
-        n1, n2, items = n1[first], n2[first], [items[i] for i in first]
-        a, b = _joined(items, num)
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (n1[a], n2[a], n1[b], n2[b])], ["a1", "a2", "b1", "b2"])
+        return n1[a], n2[a], n1[b], n2[b]
 
-    last = None
+    last, found = None, []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        region = batch.column("region").to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(region[1:] != region[:-1]) + 1).tolist(), len(region)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and region[a] != last and (out := solve()) is not None:
-                yield out
-            held.append(batch.slice(a, b - a))
-            last = region[a]
-    if held and (out := solve()) is not None:
-        yield out
+        for region, a, b, items in zip(*(batch.column(c).to_pylist() for c in ("region", "n1", "n2", "items")), strict=True):
+            if region != last:
+                if len(held) > 1:
+                    found.append(solve())
+                held.clear()
+                last = region
+            if not held or held[-1][:2] != (a, b):
+                held.append((a, b, items))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*found, strict=True)], ["a1", "a2", "b1", "b2"])
+            found = []
+    if len(held) > 1:
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in solve()], ["a1", "a2", "b1", "b2"])
 
 
 def _grouped(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """(row, id, n, component, group_size, keep) of rows (row, id, text); keep: the row of its component that comes first by id."""
     kind = rows.schema["id"].dataType.simpleString()
-    names = cut(rows.mapInArrow(partial(_names, k=words), f"row long, id {kind}, n long, n1 long, n2 long, classes binary, items binary"))
+    names = cut(rows.mapInArrow(partial(_names, k=words), f"row long, id {kind}, n long, n1 long, n2 long, classes binary"))
     full = names.where("n > 0").select("row", "id", "n", "n1", "n2")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row")))
     nodes = cut(full.groupBy("n1", "n2").agg(first.alias("first"), F.count("*").alias("copies")))
-    roots = cut(components(_links(names, percent)).select("node.n1", "node.n2", "root"))
+    roots = cut(components(_links(rows, names, words, percent)).select("node.n1", "node.n2", "root"))
     grouped = nodes.join(small(roots), ["n1", "n2"]).groupBy("root").agg(F.min("first").alias("least"), F.sum("copies").alias("size"))
     linked = roots.join(small(cut(grouped)), "root")
     placed = nodes.join(small(cut(linked.drop("root"))), ["n1", "n2"], "left").withColumn("least", F.coalesce("least", "first")).withColumn("size", F.coalesce("size", "copies"))
@@ -428,31 +422,33 @@ def _large(members: DataFrame) -> DataFrame:
     return cut(members.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > REGION))
 
 
-def _links(names: DataFrame, percent: int) -> DataFrame:
+def _links(rows: DataFrame, names: DataFrame, words: int, percent: int) -> DataFrame:
     """Edges (a, b) between (n1, n2) that hold all components of the linked nodes."""
-    spark = names.sparkSession
-    first = names.where("items is not null")  # each set once a task
-    often = first.select("items").mapInArrow(_counted, "shingle long, met long").groupBy("shingle").agg(F.sum("met").alias("met"))
+    first = names.where("classes is not null")  # each set once a task
+    often = rows.select("text").mapInArrow(partial(_counted, k=words), "shingle long, met long").groupBy("shingle").agg(F.sum("met").alias("met"))
     frequent = often.orderBy(F.desc("met"), "shingle").limit(FREQUENT).toPandas()  # bounded, and exactness doesn't rest on it
-    held = spark.sparkContext.broadcast((frequent["shingle"].to_numpy(np.int64).view(np.uint64), frequent["met"].to_numpy(np.int64)))
+    held = rows.sparkSession.sparkContext.broadcast((frequent["shingle"].to_numpy(np.int64).view(np.uint64), frequent["met"].to_numpy(np.int64)))
     hot = max(MEETING, names.count() // HOT_SHARE)
-    entered = first.select("n1", "items").mapInArrow(partial(_regions, num=percent, held=held, hot=hot), "key long, salt long, node long")
+    entered = rows.select("text").mapInArrow(partial(_regions, k=words, num=percent, held=held, hot=hot), "key long, salt long, node long")
     met = cut(entered.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_meetings, "meeting long, node long, star boolean").distinct())
     several = small(cut(met.where("not star").select(F.col("node").alias("n1")).distinct()))
     counted = first.select("n1", "n2", "n", "classes").join(several, "n1", "left_semi").groupBy(F.col("n1").alias("node")).agg(F.first("n").alias("n"), F.when(F.min("n2") == F.max("n2"), F.first("classes")).alias("classes"))
     near = met.where("not star").join(counted, "node").repartition("meeting").sortWithinPartitions("meeting").select("meeting", "node", "n", "classes").mapInArrow(partial(_near, num=percent), "a long, b long")
     edges = near.unionByName(met.where("star").select(F.col("meeting").alias("a"), F.col("node").alias("b")))
     meeting = components(edges).select(F.col("node").alias("n1"), F.col("root").alias("region"))
-    # one row of each set that may be linked with another
-    chosen = cut(first.select("row", "n1", "n2").join(small(meeting), "n1").groupBy("n1", "n2").agg(F.min("row").alias("row"), F.first("region").alias("region")))
-    sets = first.select("row", "n1", "n2", "items").join(small(chosen.select("row", "region")), "row").select("region", "n1", "n2", "items")
+    # the texts of each set that may be linked with another, by one of its ids
+    placed = small(cut(meeting))
+    chosen = cut(first.select("id", "n1", "n2").join(placed, "n1").groupBy("n1", "n2").agg(F.min("id").alias("id"), F.first("region").alias("region")))
+    ids = small(cut(chosen.select("id").distinct()))
+    texts = rows.join(ids, rows["id"].eqNullSafe(ids["id"]), "left_semi")
+    sets = texts.select("text").mapInArrow(partial(_wanted, k=words), "n1 long, n2 long, items binary").join(placed, "n1").select("region", "n1", "n2", "items")
     large = _large(chosen)
     parts, stars = [], []
     for level in range(LEVELS + 1):
         if large.isEmpty():
             parts.append(sets)
             break
-        sets = cut(sets)
+        sets = cut(sets if level else sets.dropDuplicates(["n1", "n2"]))
         parts.append(sets.join(small(large), "region", "left_anti"))
         left = spread_join(sets, large, ["region"], "members").where("members is not null")
         pick = F.pmod(F.xxhash64("n1", "n2", F.lit(level)), F.ceil(F.col("members") / PIVOTS)) == 0
