@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,14 +33,31 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
 
 
+#: Folders that cut() has written and nothing has removed yet.
+_WRITTEN: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder: its lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def removed(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what cut() wrote inside it, but what it wrote last: for steps whose only result is that."""
+    before = len(_WRITTEN)
+    yield
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _WRITTEN[before:-1]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    del _WRITTEN[before:-1]
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to be at most `rows` rows, else as it is (a shuffled join).
 

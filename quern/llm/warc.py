@@ -4,7 +4,7 @@ Tasks write their pages as records into whole-file gzip streams of a bounded siz
 come). The normaliser inflates each stream once, front to back, rewrites every record as a gzip member of its own and
 writes the offsets beside it. Readers then seek to members. Files go to a shared folder by Arrow's file systems, each
 task's under names of its own, and only files that a finished task has reported are read: a task that is run
-again can't be mixed up with its first run.
+again can't be mixed up with its first run, whose files are removed at the end.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -36,13 +37,22 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+def _name(page: str | None) -> str:
+    """The id of a page's record: any text, white space and brackets too."""
+    return "<urn:x-page>" if page is None else f"<urn:x-page:{quote(page, safe='')}>"
+
+
+def _page(name: str | None) -> str | None:
+    return unquote(name[len("<urn:x-page:") : -1]) if name and name != "<urn:x-page>" else None
+
+
 def _head(row: dict, date: str) -> tuple[bytes, bytes]:
     """WARC header and block."""
     payload = (row["html"] or "").encode()
     uri = "".join(c if c > " " else f"%{ord(c):02X}" for c in row["url"] or "urn:none")
-    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:x-page:{row['page_id']}>", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha256:{row['digest']}", f"X-Payload-Length: {len(payload)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: {_name(row['page_id'])}", f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha256:{row['digest']}", f"X-Payload-Length: {len(payload)}"]
     if row["record_type"] == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:x-page:{row['refers_to']}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_name(row['refers_to'])}"]
         block = b""
     else:
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
@@ -120,6 +130,7 @@ def fields(head: bytes) -> dict[str, str]:
 
 def _normalised(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     store, root = _store(folder)
+    store.create_dir(root, recursive=True)
     for batch in batches:
         for path in batch.column("path").to_pylist():
             name = f"{root}/members-{uuid.uuid4().hex}.warc.gz"
@@ -135,11 +146,6 @@ def _normalised(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([f"{name}.idx"]), pa.array([n])], ["path", "index", "records"])
 
 
-def _page(name: str | None) -> str | None:
-    value = name.removeprefix("<urn:x-page:").removesuffix(">") if name else None
-    return None if value == "None" else value
-
-
 def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     store, _ = _store(folder)
     for batch in batches:
@@ -198,12 +204,16 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     table writes no archive.
     """
     rows = planned(pages, id_col, url_col, html_col).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
-    whole = cut(rows.mapInArrow(partial(_written, folder=folder, date=date), FILES))
-    files = whole.count()
-    done = cut(whole.repartition(max(1, files)).mapInArrow(partial(_normalised, folder=folder), FILES))
-    store, _ = _store(folder)
-    for row in whole.select("path").toLocalIterator():
-        store.delete_file(row["path"])
+    whole = cut(rows.mapInArrow(partial(_written, folder=f"{folder}/whole", date=date), FILES))
+    done = cut(whole.repartition(max(1, whole.count())).mapInArrow(partial(_normalised, folder=f"{folder}/members"), FILES))
+    store, root = _store(folder)
+    if store.get_file_info(f"{root}/whole").type == fs.FileType.Directory:
+        store.delete_dir(f"{root}/whole")
+    # what tasks that broke off have left: names of archives, of which there are few
+    reported = {name for row in done.select("path", "index").toLocalIterator() for name in row}
+    for left in store.get_file_info(fs.FileSelector(f"{root}/members", allow_not_found=True)):
+        if left.path not in reported:
+            store.delete_file(left.path)
     return done
 
 
@@ -214,6 +224,7 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
+    """write() of all pages and read() of the archives; the cases are those of write()."""
     pages = table(spark, sf_dir, "pages")
     kind = pages.schema["page_id"].dataType.simpleString()
     folder = shared_folder(spark)

@@ -9,7 +9,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, sharding
+from quern.llm import mixing, sharding, toxicity
+from test_similar import brute_components, brute_windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -139,14 +140,44 @@ def test_weights_confine_movement(spark):
     assert 1.5 < share[5] / (sum(v for k, v in share.items() if k != 5) / 11) < 2.6
 
 
-def test_pipeline(spark):
+def toxic_ids(spark, docs):
+    """By the trained field's own score, one document at a time."""
+    found = toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))).collect()
+    return {r["doc_id"] for r in found if r["toxic_score"] >= 0.5}
+
+
+def test_pipeline_stages_equal_brute_force(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    seen = docs
+    stages, kept, seen = dict(pipeline.STAGES), {}, docs
+    for name, stage in pipeline.STAGES:
+        kept[name] = seen
+        seen = pipeline.cut(stage(spark, seen, SF))
+        kept[f"{name} out"] = seen
+        assert seen.columns == docs.columns or name == "sharding"
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    rows = lambda df: [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    assert ids(kept["toxicity out"]) == sorted(set(ids(docs)) - toxic_ids(spark, docs))
+    groups = brute_components(rows(kept["near_duplicates"]), 5, 80)
+    assert ids(kept["near_duplicates out"]) == sorted(d for d, _, c in groups if d == c)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert ids(kept["decontamination out"]) == sorted(d for d, _, hit, _ in brute_windows(rows(kept["decontamination"]), items) if not hit)
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0d]+", t or ""))
+    size, taken = Counter(), Counter()
+    for df, out in ((kept["mixing"], size), (seen, taken)):
+        for r in df.select("source", "text").collect():
+            out[r["source"]] += words(r["text"])
+    longest = max(words(t) for _, t in rows(kept["mixing"]))
+    assert all(abs(taken[s] - t) <= longest for s, t in filled(size).items()) and set(ids(seen)) <= set(ids(kept["mixing"]))
+    assert max(Counter(ids(seen)).values()) <= 2 and seen.where("shard is null").isEmpty()
+    whole = pipeline.run(spark, SF)
+    assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, seen.collect()), key=str)
+    assert stages["sharding"](spark, whole, SF).columns[-1] == "shard_"
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([(1, None, "s", 1), (None, "", "s", 2), (1, None, "s", 1)], "doc_id long, text string, shard string, row long").coalesce(1).withColumn("source", F.lit(None).cast("string"))
     for name, stage in pipeline.STAGES:
-        before, seen = seen, pipeline.cut(stage(spark, seen, SF))
-        if name != "sharding":
-            assert seen.columns == docs.columns
-        if name in ("toxicity", "near_duplicates", "decontamination"):
-            assert seen.subtract(before).isEmpty() and 0.5 * before.count() < seen.count() <= before.count()
-    assert set(docs.columns) < set(seen.columns) and seen.where("shard is null").isEmpty()
+        assert stage(spark, docs, SF).count() == (0 if name == "mixing" else 3), name
+        assert stage(spark, docs.limit(0), SF).count() == 0, name

@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from quern.llm import html_extract, license_scan, secret_scan, toxicity, warc
@@ -280,11 +281,20 @@ def test_archives_round_trip(spark, monkeypatch):
     want = [(str(p) if p is not None else None, len(body(h)), hashlib.sha256(body(h)).hexdigest(), *(("revisit", "50") if h == big and p != 50 else ("response", None))) for p, u, h in rows]
     assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=key) == sorted(want, key=key)
     assert {r["html"] for r in got if r["page_id"] == "50"} == {big} and warc.write(df.limit(0), shared_folder(spark)).count() == 0
-    store, _ = warc._store(folder)
+    store, root = warc._store(folder)
+    assert {f.path.rsplit("/", 1)[-1] for f in store.get_file_info(fs.FileSelector(root))} == {"members"}
+    assert len(store.get_file_info(fs.FileSelector(f"{root}/members"))) == 2 * files.count()
     one = files.first()
     assert len([*map(json.loads, store.open_input_stream(one["index"]).read().splitlines())]) == one["records"]
 
 
+def test_page_ids_may_be_any_text(spark):
+    ids = ["None", "a>b", "line\r\nend", "", "é 日", None]
+    df = spark.createDataFrame([(i, "u", "<p>short</p>") for i in ids], "page_id string, url string, html string")
+    folder = shared_folder(spark)
+    assert sorted((r["page_id"] for r in warc.read(warc.write(df, folder), folder).collect()), key=str) == sorted(ids, key=str)
+
+
 def test_normaliser_reads_whole_and_split_streams():
     head = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 5\r\n\r\nab\r\nc\r\n\r\n"
     pack = lambda b: (t := zlib.compressobj(9, zlib.DEFLATED, 31)).compress(b) + t.flush()
