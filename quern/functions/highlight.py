@@ -32,29 +32,42 @@ def merged(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+#: A snippet begins so many characters before its first place, and up to so many later to begin with a word.
+LEAD_IN, WORD_SLACK = 60, 30
+
+
+def densest(found: list[tuple[int, int]], most: int) -> int:
+    """Start of the place from which the most places in a row end within `most` characters; the first such. Two pointers, one walk."""
+    best, at, stop = 0, found[0][0], 0
+    for i, (begin, _) in enumerate(found):
+        stop = max(stop, i)
+        while stop < len(found) and found[stop][1] <= begin + most:
+            stop += 1
+        if stop - i > best:
+            best, at = stop - i, begin
+    return at
+
+
+def _bounds(text: str, found: list[tuple[int, int]], most: int) -> tuple[int, int]:
+    """The part of a text to show: whole words where one ends or begins near enough."""
+    if len(text) <= most:
+        return 0, len(text)
+    low = max(0, densest(found, most) - LEAD_IN) if found else 0
+    high = min(len(text), low + most)
+    blanks = [i for i in range(low, high + 1) if text[i : i + 1] == " "]
+    if low and blanks and blanks[0] < low + WORD_SLACK:
+        low = blanks[0] + 1
+    late = [i for i in blanks if i > low + most / 2]
+    return low, late[-1] if late and high < len(text) else high
+
+
 def snippet(text: str, terms: list[str], most: int = SNIPPET) -> tuple[str, list[tuple[int, int]]]:
-    """The window with most places, cut at words, white space collapsed, ellipses where it is cut; and its ranges."""
-    start = 0
-    found = places(text, terms)
-    if found and len(text) > most:
-        counts = [sum(1 for _ in _fitting(found, i, most)) for i in range(len(found))]
-        start = max(0, found[counts.index(max(counts))][0] - 60)
-    end = min(len(text), start + most)
-    if start and 0 < (space := text.find(" ", start)) < start + 30:
-        start = space + 1
-    if end < len(text) and (space := text.rfind(" ", 0, end + 1)) > start + most / 2:
-        end = space
-    lead = ELLIPSIS if start else ""
-    body = re.sub(r"\s+", " ", text[start:end])
-    ranges = [(a + len(lead), b + len(lead)) for a, b in merged(places(body, terms))]
-    return lead + body + (ELLIPSIS if end < len(text) else ""), ranges
-
-
-def _fitting(found: list[tuple[int, int]], i: int, most: int):
-    for _, b in found[i:]:
-        if b - found[i][0] > most:
-            return
-        yield b
+    """The window with most places, white space collapsed, ellipses where it is cut; and the ranges in it."""
+    low, high = _bounds(text, places(text, terms), most)
+    body = re.sub(r"\s+", " ", text[low:high])
+    marks = (ELLIPSIS * (low > 0), ELLIPSIS * (high < len(text)))
+    shown = merged(places(body, terms))
+    return body.join(marks), [(a + len(marks[0]), b + len(marks[0])) for a, b in shown]
 
 
 def _frame(text: pd.Series, terms: pd.Series, make) -> pd.Series:
