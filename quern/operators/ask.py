@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import invalid_citations, iso_date, matched_terms
+from quern.functions.text import citations, invalid_citations, iso_date, matched_terms
 
 SOURCES = 6
 NO_EVIDENCE = "NOT_ENOUGH_EVIDENCE"
@@ -22,6 +22,16 @@ def sources(results: DataFrame, files: DataFrame, k: int = SOURCES) -> DataFrame
     return top.select("query_id", F.col("rank").alias("n"), "content_id", F.col("file.name").alias("name"), iso_date(F.col("file.mtime_ms")).alias("modified"), "text")
 
 
+def gate(questions: DataFrame, first: DataFrame) -> DataFrame:
+    """(query_id, abstains) of all questions: first holds the first result of those that have one, with low_confidence."""
+    return questions.select("query_id").join(first.select("query_id", "low_confidence"), "query_id", "left").select("query_id", F.coalesce("low_confidence", F.lit(True)).alias("abstains"))
+
+
+def cited(numbered: DataFrame, answers: DataFrame) -> DataFrame:
+    """numbered sources with `cited`: whether the query's answer (query_id, answer) cites them."""
+    return numbered.join(answers.select("query_id", citations(F.col("answer")).alias("numbers")), "query_id").withColumn("cited", F.array_contains("numbers", F.col("n"))).drop("numbers")
+
+
 def prompts(questions: DataFrame, numbered: DataFrame) -> DataFrame:
     """(query_id, prompt, n_sources) of questions (query_id, query); those without sources abstain and have none."""
     one = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] file: "), "name", F.lit(" (modified "), "modified", F.lit(")\n<<<\n"), "text", F.lit("\n>>>"))

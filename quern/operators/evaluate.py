@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 
 def known_item_metrics(results: DataFrame, relevant: DataFrame) -> DataFrame:
-    """One row: queries with relevant contents, MRR@10, Hit@5, Recall@5. results: (query_id, content_id, rank), relevant: (query_id, content_id)."""
+    """One row: queries with relevant contents, MRR@10, Hit@5, and the share of them that is among the first five. results: (query_id, content_id, rank), relevant: (query_id, content_id)."""
     wanted = relevant.distinct()
     total = wanted.groupBy("query_id").agg(F.count("*").alias("total"))
     hits = results.join(wanted, ["query_id", "content_id"])
     per = hits.groupBy("query_id").agg(F.min(F.when(F.col("rank") <= 10, F.col("rank"))).alias("first"), F.count_if(F.col("rank") <= 5).alias("top5"))
     both = total.join(per, "query_id", "left")
     mean = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0.0))), 6)
-    return both.agg(F.count("*").alias("queries"), mean(1 / F.col("first")).alias("mrr_10"), mean((F.col("top5") > 0).cast("double")).alias("hit_5"), mean(F.col("top5") / F.col("total")).alias("recall_5"))
+    return both.agg(F.count("*").alias("queries"), mean(1 / F.col("first")).alias("mrr_10"), mean((F.col("top5") > 0).cast("double")).alias("hit_5"), mean(F.col("top5") / F.col("total")).alias("found_5"))
 
 
 def threshold_rates(top: DataFrame, thresholds: list[float]) -> DataFrame:

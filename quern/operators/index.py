@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from quern.functions.stemming import stems
 from quern.functions.text import words
+from quern.operators.joins import cut, small
 
 
 class Index(NamedTuple):
-    """postings (term, id, tf), lengths (id, length), stats (one row: n, average length), frequencies (term, df)."""
+    """postings (term, id, tf, n), lengths (id, length), stats (one row: n, average length), frequencies (term, df)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -20,18 +21,34 @@ class Index(NamedTuple):
     frequencies: DataFrame
 
 
-def build(rows: DataFrame, id_col: str, fields: dict[str, float], stemmed: bool = False) -> Index:
-    """An index over text fields, each with a weight. Terms are exploded once; everything else aggregates postings.
+def build(rows: DataFrame, id_col: str, fields: dict[str, float]) -> Index:
+    """An index over text fields, each with a weight: terms are exploded and counted, and all else follows from the counts.
 
     Statistics count every row, also such as can't be found at the moment. Weighted term counts add up over fields,
-    lengths don't weigh.
+    lengths don't weigh. Nothing is written: an index that is asked more than once belongs into written().
     """
     tokens = None
     for field, weight in fields.items():
-        terms = stems(F.col(field)) if stemmed else words(F.col(field))
+        terms = words(F.col(field))
         part = rows.select(F.col(id_col).alias("id"), F.explode(terms).alias("term"), F.lit(float(weight)).alias("weight"))
         tokens = part if tokens is None else tokens.unionByName(part)
-    postings = tokens.groupBy("term", "id").agg(F.sum("weight").alias("tf"), F.count("*").alias("n"))
-    lengths = rows.select(F.col(id_col).alias("id")).join(postings.groupBy("id").agg(F.sum("n").alias("length")), "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length"))
+    return _of(rows.select(F.col(id_col).alias("id")), tokens.groupBy("term", "id").agg(F.sum("weight").alias("tf"), F.count("*").alias("n")))
+
+
+def _of(ids: DataFrame, postings: DataFrame) -> Index:
+    lengths = ids.join(postings.groupBy("id").agg(F.sum("n").alias("length")), "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length"))
     stats = lengths.agg(F.count("*").alias("rows"), (F.sum("length") / F.count("*")).alias("average"))
-    return Index(postings.select("term", "id", "tf"), lengths, stats, postings.groupBy("term").agg(F.count("*").alias("df")))
+    return Index(postings, lengths, stats, postings.groupBy("term").agg(F.count("*").alias("df")))
+
+
+def written(index: Index) -> Index:
+    """The index as tables, each computed once from the one before. Postings are sorted by term: a query's terms skip most row groups."""
+    postings = cut(index.postings.repartition("term").sortWithinPartitions("term", "id"))
+    return Index(*map(lambda x: x if x is postings else cut(x), _of(index.lengths.select("id"), postings)))
+
+
+def stemmed(index: Index) -> Index:
+    """The index of the stems of a written index's terms. Each distinct term is stemmed once."""
+    stem = cut(index.frequencies.select("term", F.explode(stems(F.col("term"))).alias("stem")))
+    both = index.postings.join(small(stem), "term")
+    return _of(index.lengths.select("id"), both.groupBy(F.col("stem").alias("term"), "id").agg(F.sum("tf").alias("tf"), F.sum("n").alias("n")))

@@ -1,7 +1,9 @@
-"""Joins that broadcast only what has been counted."""
+"""Joins that broadcast only what has been counted, and tables written where every executor sees them."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,5 +12,22 @@ BROADCAST_ROWS = 500_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to be at most `rows` rows, else as it is (a shuffled join)."""
+    """df with a broadcast hint if it is counted to be at most `rows` rows, else as it is (a shuffled join).
+
+    df is run for the count: give it a table, or what cut() has written.
+    """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written below spark.checkpoint.dir: what follows reads them, however often, and never computes them again."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not known.isDefined():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = known.get()
+    path = f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

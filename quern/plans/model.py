@@ -1,7 +1,7 @@
 """The retrieval model over the driver's tables, as DataFrames and as the SQL of the same relations.
 
-files: one for each document; contents: one for each distinct text (content-addressed); a chunk here is a whole
-content, which keeps the ranking queries comparable with SQL (operators.chunking cuts real chunks).
+files: one for each document; contents: one for each distinct text (content-addressed); chunks: those of operators.chunking.
+Statuses made up from sizes serve the queries of the store alone; searched are all files within the real size cap.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import paths
+from quern.operators import chunking
+
 TOO_LARGE, TINY, SHORT = 20_000, 60, 120
 
 
@@ -43,6 +46,26 @@ def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("embed_status", embed).drop("embedded")
 
 
+#: Chunks of a content are numbered below 2 to this power.
+CHUNK_BITS = 20
+
+
+def chunk_id(content_id, ord_):
+    return F.shiftleft(content_id, CHUNK_BITS) + ord_
+
+
+def searched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """files() with the status that their kind's size cap gives: what may be searched is linked."""
+    cap = paths.size_cap(F.lit("text"))
+    return files(spark, sf_dir).withColumn("status", F.when(F.col("size") > cap, "skipped").otherwise("linked"))
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, content_id, ord, text, start, stop) of all contents."""
+    made = chunking.chunk(contents(spark, sf_dir).select("content_id", "kind", "text"))
+    return made.select(chunk_id(F.col("content_id"), F.col("ord")).alias("id"), "content_id", "ord", "text", "start", "stop")
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long").alias("query_id"), F.col("text").alias("query"))
 
@@ -60,3 +83,24 @@ contents AS (
     SELECT c.*, CASE WHEN chunk_count = 0 THEN 'not_applicable' WHEN e.vec_id IS NOT NULL THEN 'done' ELSE 'pending' END AS embed_status
     FROM contents1 c LEFT JOIN embeddings e ON e.vec_id = c.content_id),
 live AS (SELECT DISTINCT content_id FROM files WHERE status = 'linked')"""
+
+_S = chunking.PROSE
+_HALF, _END = _S.target // 2, """[.!?]["'')\\]]?\\s+"""
+_CUT = f"""CASE WHEN s + {_S.target} >= e THEN e ELSE coalesce(
+        nullif(s + {_HALF} + length(regexp_extract(text[s + {_HALF + 1}:s + {_S.target}], '(?s)^.*{_END}')), s + {_HALF}),
+        nullif(s + {_HALF + 1} + length(regexp_extract(text[s + {_HALF + 2}:s + {_S.target + 1}], '(?s)^.* ')), s + {_HALF + 1}), least(s + {_S.most}, e)) END"""
+#: Chunks of contents without blank lines, as the driver's are: WITH RECURSIVE, after a relation contents (content_id, text).
+CHUNKS_SQL = f"""body AS (SELECT content_id, text, length(regexp_extract(text, '^\\s*')) AS s, length(regexp_replace(text, '\\s+$', '')) AS e FROM contents),
+piece AS (
+    SELECT content_id, 0 AS n, s AS a, CASE WHEN e - s > {_S.most} THEN {_CUT} ELSE e END AS b, e FROM body WHERE e > s
+    UNION ALL
+    SELECT content_id, n, s AS a, {_CUT} AS b, e
+    FROM (SELECT p.content_id, n + 1 AS n, p.e, text, greatest(a + 1, coalesce(nullif(b - {_S.overlap} + length(regexp_extract(text[b - {_S.overlap - 1}:b], '(?s)^.*?{_END}')), b - {_S.overlap}), b)) AS s
+          FROM piece p JOIN contents USING (content_id) WHERE b < p.e)),
+trimmed AS (
+    SELECT content_id, n, a + length(regexp_extract(t, '^\\s*')) AS a, a + length(regexp_replace(t, '\\s+$', '')) AS b FROM (SELECT piece.*, text[a + 1:b] AS t FROM piece JOIN contents USING (content_id))),
+cuts AS (SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb, lead(a) OVER w AS na, lead(b) OVER w AS nb FROM trimmed WHERE b > a WINDOW w AS (PARTITION BY content_id ORDER BY n)),
+spans AS (
+    SELECT content_id, row_number() OVER (PARTITION BY content_id ORDER BY a) - 1 AS ord, a AS start, CASE WHEN nb - na < {_S.least} AND nb - a <= {_S.most} AND na <= b + 4 THEN greatest(b, nb) ELSE b END AS stop
+    FROM cuts WHERE NOT coalesce(b - a < {_S.least} AND b - pa <= {_S.most} AND a <= pb + 4, false)),
+chunks AS (SELECT content_id * {1 << CHUNK_BITS} + ord AS id, content_id, ord, start, stop, text[start + 1:stop] AS text FROM spans JOIN contents USING (content_id))"""

@@ -1,21 +1,43 @@
-"""Ranking queries: every benchmark text asks all distinct documents at once."""
+"""Ranking queries: every benchmark text asks the chunks of all distinct documents at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import highlight, text, vectors
-from quern.operators import ask, evaluate, history, index, rank, suggest
-from quern.operators.joins import small
+from quern.functions.stemming import stems
+from quern.operators import ask, evaluate, history, index, rank, store, suggest
+from quern.operators.joins import cut, small
 from quern.plans import model
-from quern.plans.text_queries import _STOP, POSTINGS
+from quern.plans.text_queries import _NAME, _STOP, CONTENTS
 
 R = 6
 
 
-def _index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> index.Index:
-    return index.build(model.contents(spark, sf_dir).select("content_id", "text"), "content_id", {"text": 1.0}, stemmed)
+class Searched(NamedTuple):
+    """What searches read, as tables: chunks (id, content_id, ord, text), their index, files, and the index of their names."""
+
+    chunks: DataFrame
+    index: index.Index
+    files: DataFrame
+    names: index.Index
+
+
+_BUILT: dict[tuple[str, str], Searched] = {}
+
+
+def searched(spark: SparkSession, sf_dir: str) -> Searched:
+    """Built once for a session and folder of tables, and read from then on."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _BUILT:
+        chunks = cut(model.chunks(spark, sf_dir))
+        files = cut(model.searched_files(spark, sf_dir).select("file_id", "content_id", "name", "rel_path", "path", "kind", "folder", "mtime_ms", "status"))
+        named = files.select("file_id", text.tokenize_name(F.concat("name", F.lit(".txt"))).alias("name"), text.tokenize_path(F.col("rel_path")).alias("path"))
+        _BUILT[key] = Searched(chunks, index.written(index.build(chunks, "id", {"text": 1.0})), files, index.written(index.build(named, "file_id", {"name": 5.0, "path": 1.0})))
+    return _BUILT[key]
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,25 +45,37 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return small(model.files(spark, sf_dir).where("status = 'linked'").select(F.col("content_id").alias("id")).distinct())
+    """(id, content_id) of chunks of contents with a linked file."""
+    tables = searched(spark, sf_dir)
+    return tables.chunks.select("id", "content_id").join(store.live_contents(tables.files), "content_id", "left_semi")
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(any-term list, all-terms list)."""
-    scores, live = rank.bm25(_index(spark, sf_dir), _terms(spark, sf_dir)), _live(spark, sf_dir)
+    """(any-term list, all-terms list): scored once, ranked twice."""
+    scores, live = cut(rank.bm25(searched(spark, sf_dir).index, _terms(spark, sf_dir))), small(cut(_live(spark, sf_dir)))
     return rank.keyword_list(scores, live), rank.keyword_list(scores, live, all_terms=True)
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, id, content_id, score, rank) of the files whose names and paths match best; only linked ones are ranked."""
+    tables = searched(spark, sf_dir)
+    linked = tables.files.where("status = 'linked' and content_id is not null").select(F.col("file_id").alias("id"), "content_id")
+    scores = rank.bm25(tables.names, _terms(spark, sf_dir)).join(linked, "id")
+    return rank.ranked(scores, rank.NAMES, F.desc(F.round("score", rank.PLACES)), F.asc("id")).select("query_id", "id", "content_id", "score", "rank")
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Unit vectors (id, vec), and query vectors: every one whose id is divisible by 100 asks all."""
     rows = model.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), vectors.normalised(F.col("embedding")).alias("vec"))
     return rows, rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vec")
 
 
-def _item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark item asks with the vector of its own number."""
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector list: a vector is that of the first chunk of the content of its number; an item asks with the vector of its own number, one without asks by words alone."""
     rows, _ = _vectors(spark, sf_dir)
-    return model.queries(spark, sf_dir).select("query_id").join(rows.withColumnRenamed("id", "query_id"), "query_id")
+    asked = model.queries(spark, sf_dir).select("query_id").join(rows.withColumnRenamed("id", "query_id"), "query_id")
+    chunked = rows.select(model.chunk_id(F.col("id"), F.lit(0)).alias("id"), "vec").join(_live(spark, sf_dir), "id", "left_semi")
+    return rank.nearest(chunked, asked)
 
 
 def bm25_any(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,32 +83,33 @@ def bm25_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = rank.bm25(_index(spark, sf_dir), rank.query_term_rows(model.queries(spark, sf_dir), F.slice(text.query_terms(F.col("query")), 1, 2)))
-    return rank.keyword_list(scores, _live(spark, sf_dir), all_terms=True).withColumn("score", F.round("score", R))
+    return _lists(spark, sf_dir)[1].withColumn("score", F.round("score", R))
 
 
 def bm25_porter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quern.functions.stemming import stems
-
     asked = model.queries(spark, sf_dir).select("query_id", F.array_join(text.query_terms(F.col("query")), " ").alias("query"))
     terms = rank.query_term_rows(asked, F.array_distinct(stems(F.col("query"))))
-    return rank.keyword_list(rank.bm25(_index(spark, sf_dir, True), terms), _live(spark, sf_dir)).withColumn("score", F.round("score", R))
+    built = index.written(index.stemmed(searched(spark, sf_dir).index))
+    return rank.keyword_list(rank.bm25(built, terms), small(cut(_live(spark, sf_dir)))).withColumn("score", F.round("score", R))
+
+
+def name_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names count five times their paths."""
+    return _names(spark, sf_dir).withColumn("score", F.round("score", R))
 
 
 def bm25_name_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File names count five times their paths; each source asks for its language's files."""
-    files = model.files(spark, sf_dir).select("file_id", "status", text.tokenize_name(F.concat("name", F.lit(".txt"))).alias("name"), text.tokenize_path(F.col("rel_path")).alias("path"))
-    built = index.build(files, "file_id", {"name": 5.0, "path": 1.0})
-    asked = model.table(spark, sf_dir, "documents").select("source", "lang").distinct().select(F.xxhash64("source", "lang").alias("query_id"), F.concat_ws(" ", "source", "lang").alias("q"))
-    asked = asked.withColumn("query_id", F.concat_ws(" ", text.tokenize_name(F.concat("q", F.lit(".x")))))
-    scores = rank.bm25(built, rank.query_term_rows(asked, text.words(F.col("query_id"))))
-    linked = scores.join(files.where("status = 'linked'").select(F.col("file_id").alias("id")), "id", "left_semi")
-    return rank.ranked(linked, rank.NAMES, F.desc(F.round("score", 9)), F.asc("id")).select("query_id", "id", F.round("score", R).alias("score"), "rank")
+    """Each source asks for its language's files, by their names."""
+    docs = model.table(spark, sf_dir, "documents").select(F.concat_ws("_", "source", "lang").alias("q")).distinct()
+    asked = docs.select(text.tokenize_name(F.concat("q", F.lit(".x"))).alias("query_id"))
+    scores = rank.bm25(searched(spark, sf_dir).names, rank.query_term_rows(asked, text.words(F.col("query_id"))))
+    return rank.ranked(scores, rank.NAMES, F.desc(F.round("score", rank.PLACES)), F.asc("id")).select("query_id", "id", F.round("score", R).alias("score"), "rank")
 
 
 def l2_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = model.table(spark, sf_dir, "embeddings").select(F.col("vec_id"), F.transform("embedding", lambda x: x * (F.col("vec_id") + 1)).alias("v"))
-    return rows.select("vec_id", F.round(vectors.norm(F.col("v")) / (F.col("vec_id") + 1), 4).alias("length"), F.round(vectors.norm(vectors.normalised(F.col("v"))), 4).alias("unit"))
+    unit = vectors.normalised(F.col("v"))
+    return rows.select("vec_id", F.round(vectors.norm(F.col("v")) / (F.col("vec_id") + 1), 4).alias("length"), F.round(F.element_at(unit, 1).cast("double"), 4).alias("first"), F.round(F.element_at(unit, -1).cast("double"), 4).alias("last"))
 
 
 def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,83 +117,161 @@ def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only vectors of contents that are searched."""
     rows, queries = _vectors(spark, sf_dir)
-    return rank.nearest(rows.join(_live(spark, sf_dir), "id", "left_semi"), queries, 20).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+    live = searched(spark, sf_dir).files.select(F.col("content_id").alias("id")).distinct()
+    return rank.nearest(rows.join(live, "id", "left_semi"), queries, 20).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+
+
+class Found(NamedTuple):
+    """Chunk scores, fused contents, and the 30 results of each query."""
 
+    scored: DataFrame
+    fused: DataFrame
+    top: DataFrame
 
-def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> Found:
     any_list, all_list = _lists(spark, sf_dir)
-    rows, _ = _vectors(spark, sf_dir)
-    contents = model.contents(spark, sf_dir).select(F.col("content_id").alias("id"), "content_id")
-    near = rank.nearest(rows.join(_live(spark, sf_dir), "id", "left_semi"), _item_vectors(spark, sf_dir))
-    return rank.fuse({"all": all_list, "any": any_list, "vector": near}, contents), near
+    near = cut(_near(spark, sf_dir))
+    scored = cut(rank.chunk_scores({"all": all_list, "any": any_list, "vector": near}, searched(spark, sf_dir).chunks.select("id", "content_id")))
+    fused = cut(rank.fuse(scored, _names(spark, sf_dir)))
+    return Found(scored, fused, cut(rank.results(rank.within_margin(fused, near))))
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused, _ = _hybrid(spark, sf_dir)
-    return fused.select("query_id", "content_id", F.round("score", 9).alias("score"), "kw_rank", "vec_rank", F.round("cosine", 4).alias("cosine"))
+    return _hybrid(spark, sf_dir).fused.select("query_id", "content_id", F.round("score", 9).alias("score"), "kw_rank", "vec_rank", "name_rank", (F.round("cosine", 4) + F.lit(0.0)).alias("cosine"))
 
 
 def hybrid_top30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused, near = _hybrid(spark, sf_dir)
-    return rank.results(rank.within_margin(fused, near)).select("query_id", "content_id", F.round("score", 9).alias("score"), "rank")
+    return _hybrid(spark, sf_dir).top.select("query_id", "content_id", F.round("score", 9).alias("score"), "rank")
 
 
-def _top(spark: SparkSession, sf_dir: str, k: int = 1) -> DataFrame:
-    fused, near = _hybrid(spark, sf_dir)
-    best = rank.results(rank.within_margin(fused, near), k)
+def evidence_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _hybrid(spark, sf_dir)
+    return rank.evidence(found.top, found.scored, searched(spark, sf_dir).chunks)
+
+
+def _shown(spark: SparkSession, sf_dir: str, k: int) -> tuple[Found, DataFrame]:
+    """The search, and (query_id, content_id, rank, place, id, text, terms) of the evidence of the first k results."""
+    found = _hybrid(spark, sf_dir)
+    chosen = cut(rank.evidence(found.top.where(F.col("rank") <= k), found.scored, searched(spark, sf_dir).chunks))
     terms = model.queries(spark, sf_dir).select("query_id", text.query_terms(F.col("query")).alias("terms"))
-    texts = model.contents(spark, sf_dir).select("content_id", "text")
-    return texts.join(small(best), "content_id").join(small(terms), "query_id")
+    return found, searched(spark, sf_dir).chunks.select("id", "text").join(small(chosen), "id", "right").join(terms, "query_id")
+
+
+def _matched(shown: DataFrame) -> DataFrame:
+    """(query_id, content_id, terms, matched): the query's terms that its evidence has."""
+    hit = shown.withColumn("hit", text.matched_terms(F.coalesce("text", F.lit("")), F.col("terms")))
+    per = hit.groupBy("query_id", "content_id").agg(F.first("terms").alias("terms"), F.flatten(F.collect_list("hit")).alias("hits"))  # of three chunks
+    return per.select("query_id", "content_id", "terms", F.filter("terms", lambda t: F.array_contains("hits", t)).alias("matched"))
+
+
+def reasons(matched: Column, vec_rank: Column, name_rank: Column) -> Column:
+    """Why a result is one: terms, meaning, filename."""
+    return F.filter(F.array(F.when(F.size(matched) > 0, "terms"), F.when(vec_rank <= rank.AGREE, "meaning"), F.when(name_rank.isNotNull(), "filename")), lambda x: x.isNotNull())
+
+
+def _results(spark: SparkSession, sf_dir: str, k: int = rank.RESULTS) -> DataFrame:
+    """Whole results: primary file, copies, matched terms and reasons."""
+    found, shown = _shown(spark, sf_dir, k)
+    placed = store.copies(searched(spark, sf_dir).files)
+    primary = placed.groupBy("content_id").agg(F.max(F.when(F.col("place") == 1, F.col("name"))).alias("name"), F.max(F.when(F.col("place") == 1, F.col("path"))).alias("path"), (F.count("*") - 1).alias("n_copies"))
+    both = found.top.join(_matched(shown), ["query_id", "content_id"]).join(primary, "content_id")
+    return both.withColumn("reasons", reasons(F.col("matched"), F.col("vec_rank"), F.col("name_rank")))
+
+
+def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _results(spark, sf_dir).select("query_id", "rank", "content_id", "name", "path", "n_copies", F.array_join("matched", " ").alias("matched"), F.array_join("reasons", ",").alias("reasons"))
+
+
+def voice_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a voice search names: five files and the folders they are in."""
+    return _results(spark, sf_dir, 5).select("query_id", "rank", "name", text.parent_of(F.col("path")).alias("folder"))
+
+
+def result_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct folders of a query's results, each at its best rank."""
+    rows = _results(spark, sf_dir).withColumn("folder", text.parent_of(F.col("path")))
+    return rows.groupBy("query_id", "folder").agg(F.min("rank").alias("rank"))
+
+
+def _confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank.low_confidence(_results(spark, sf_dir, 1), F.size("matched"), F.size("terms"))
 
 
 def low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = _top(spark, sf_dir).withColumn("hits", F.size(text.matched_terms(F.col("text"), F.col("terms"))))
-    return rank.low_confidence(top, F.col("hits"), F.size("terms")).select("query_id", "content_id", F.col("hits").alias("n_matched"), F.size("terms").alias("n_terms"), "low_confidence")
+    return _confidence(spark, sf_dir).select("query_id", "content_id", F.size("matched").alias("n_matched"), F.size("terms").alias("n_terms"), "low_confidence")
 
 
 def match_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = _top(spark, sf_dir, 5).withColumn("matched", text.matched_terms(F.col("text"), F.col("terms")))
-    reasons = F.array_join(F.filter(F.array(F.when(F.size("matched") > 0, "terms"), F.when(F.col("vec_rank") <= 10, "meaning"), F.when(F.col("name_rank").isNotNull(), "filename")), lambda x: x.isNotNull()), ",")
-    return top.select("query_id", "rank", "content_id", F.array_join("matched", " ").alias("matched"), reasons.alias("reasons"))
+    return _results(spark, sf_dir, 5).select("query_id", "rank", "content_id", F.array_join("matched", " ").alias("matched"), F.array_join("reasons", ",").alias("reasons"))
 
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _top(spark, sf_dir, 5).select("query_id", "rank", "content_id", highlight.snippets(F.col("text"), F.col("terms")).alias("s"))
+    """Around the best evidence of the first five results."""
+    _, shown = _shown(spark, sf_dir, 5)
+    made = shown.where("place = 1").select("query_id", "rank", "content_id", highlight.snippets(F.coalesce("text", F.lit("")), F.col("terms")).alias("s"))
     return made.select("query_id", "rank", "content_id", "s.snippet", F.size("s.highlights").alias("n_highlights"))
 
 
 def highlight_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _top(spark, sf_dir, 3).select("query_id", "content_id", "text", highlight.ranges(F.col("text"), F.col("terms")).alias("ranges"))
-    return found.select("query_id", "content_id", F.size("ranges").alias("n"), F.sha2(text.highlighted(F.col("text"), F.col("ranges")), 256).alias("marked_sha"))
+    """All evidence of the first three results, marked."""
+    _, shown = _shown(spark, sf_dir, 3)
+    found = shown.where("text is not null").select("query_id", "id", "text", highlight.ranges(F.col("text"), F.col("terms")).alias("ranges"))
+    return found.select("query_id", "id", F.size("ranges").alias("n"), F.sha2(text.highlighted(F.col("text"), F.col("ranges")), 256).alias("marked_sha"))
+
+
+def ask_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which questions no model is asked: those without results or whose first result is of low confidence."""
+    return ask.gate(model.queries(spark, sf_dir), _confidence(spark, sf_dir))
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(sources, their queries' terms): of each of the first results its best evidence."""
+    _, shown = _shown(spark, sf_dir, ask.SOURCES)
+    best = shown.where("place = 1 and text is not null").select("query_id", "rank", "content_id", "text", "terms")
+    return cut(ask.sources(best, searched(spark, sf_dir).files)), best.select("query_id", "terms").distinct()
 
 
 def ask_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ask.sources(_top(spark, sf_dir, ask.SOURCES), model.files(spark, sf_dir)).select("query_id", "n", "content_id", "name", "modified")
+    return _numbered(spark, sf_dir)[0].select("query_id", "n", "content_id", "name", "modified", F.sha2("text", 256).alias("text_sha"))
 
 
 def ask_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = _top(spark, sf_dir, ask.SOURCES)
-    numbered = ask.sources(top, model.files(spark, sf_dir))
-    answers = ask.checked(ask.extractive(numbered, top.select("query_id", "terms").distinct()), F.lit(ask.SOURCES))
+    """Answers without a model, of the questions that pass the gate."""
+    numbered, terms = _numbered(spark, sf_dir)
+    asked = ask_gate(spark, sf_dir).where("not abstains")
+    numbered, terms = (x.join(asked, "query_id", "left_semi") for x in (numbered, terms))
+    answers = ask.checked(ask.extractive(numbered, terms), F.lit(ask.SOURCES))
     prompts = ask.prompts(model.queries(spark, sf_dir), numbered).select("query_id", "n_sources", F.char_length("prompt").alias("prompt_chars"))
     return answers.select("query_id", F.sha2("answer", 256).alias("answer_sha"), "insufficient", F.size("invalid").alias("n_invalid")).join(prompts, "query_id")
 
 
+def cited_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of each answer, those that it cites apart from the others."""
+    numbered, terms = _numbered(spark, sf_dir)
+    return ask.cited(numbered, ask.extractive(numbered, terms)).select("query_id", "n", "content_id", "cited")
+
+
 def known_item_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents that hold a benchmark text word for word are its relevant ones: found by a common word window, then verified."""
+    """Contents that hold a benchmark text as a run of whole words are its relevant ones: found by its first words (three, or all of fewer), then verified."""
     contents, queries = model.contents(spark, sf_dir).select("content_id", "text"), model.queries(spark, sf_dir)
-    head = F.array_join(F.slice(F.split("query", " "), 1, 4), " ")
-    grams = contents.select("content_id", F.explode(F.array_distinct(_grams(F.split("text", " ")))).alias("gram"))
-    asked = queries.where(F.size(F.split("query", " ")) >= 5).select("query_id", "query", F.array_join(F.slice(F.split("query", " "), 2, 3), " ").alias("gram"), head.alias("head"))
-    pairs = grams.join(small(asked), "gram").select("query_id", "query", "content_id").distinct()
-    relevant = contents.join(pairs, "content_id").where(F.contains("text", F.col("query"))).select("query_id", "content_id")
-    any_list, _ = _lists(spark, sf_dir)
-    return evaluate.known_item_metrics(any_list.select("query_id", F.col("id").alias("content_id"), "rank"), relevant)
+    split = F.split("query", " ")
+    asked = cut(queries.select("query_id", "query", F.array_join(F.slice(split, 1, 3), " ").alias("gram"), F.least(F.size(split), F.lit(3)).alias("n")))
+    lengths = F.array(*(F.lit(r["n"]) for r in asked.select("n").distinct().orderBy("n").collect()))  # three at most
+    words = F.split("text", " ")
+    grams = contents.select("content_id", F.explode(F.array_distinct(F.flatten(F.transform(lengths, lambda n: _grams(words, n))))).alias("gram"))
+    pairs = cut(grams.join(small(asked), "gram").select("query_id", "query", "content_id").distinct())
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    relevant = contents.join(pairs, "content_id").where(F.contains(padded(F.col("text")), padded(F.col("query")))).select("query_id", "content_id")
+    best = _lists(spark, sf_dir)[0].withColumn("content_id", F.shiftright("id", model.CHUNK_BITS)).groupBy("query_id", "content_id").agg(F.min("rank").alias("rank"))
+    return evaluate.known_item_metrics(best, relevant)
 
 
-def _grams(words):
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 3), " "))
+def _grams(words: Column, n: Column) -> Column:
+    """All runs of n words."""
+    return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.size(words)), lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
 def tau_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,22 +292,22 @@ def recent_per_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contents, built = model.contents(spark, sf_dir).select("content_id", "text"), _index(spark, sf_dir)
+    contents, built = model.contents(spark, sf_dir).select("content_id", "text"), searched(spark, sf_dir).index
     rows = built.stats.first()["rows"]
     found = suggest.distinctive(suggest.forms(contents), built.frequencies, rows)
     return found.select("content_id", "key", "tf", F.round("score", R).alias("score"))
 
 
 def bigram_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contents, built = model.contents(spark, sf_dir).select("content_id", "text"), _index(spark, sf_dir)
+    contents, built = model.contents(spark, sf_dir).select("content_id", "text"), searched(spark, sf_dir).index
     words = suggest.forms(contents)
     terms = suggest.distinctive(words, built.frequencies, built.stats.first()["rows"])
     return suggest.phrases(contents, words, terms).select("content_id", "phrase", "tf", F.round("score", R).alias("score"))
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = _index(spark, sf_dir)
-    return suggest.suggestions(model.files(spark, sf_dir), model.contents(spark, sf_dir).select("content_id", "text"), built.frequencies, built.stats.first()["rows"])
+    built = searched(spark, sf_dir).index
+    return suggest.suggestions(searched(spark, sf_dir).files, model.contents(spark, sf_dir).select("content_id", "text"), built.frequencies, built.stats.first()["rows"])
 
 
 def restart_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,8 +329,8 @@ def status_coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recent_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First words of each turn, typed on and on in a conversation."""
-    typed = model.table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("user"), F.col("turn").alias("ts"), F.regexp_extract("text", r"^(\S+)", 1).alias("query"))
+    """Turns, some of them typed on in a conversation."""
+    typed = model.table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("user"), F.col("turn").alias("ts"), F.col("text").alias("query"))
     longer = typed.select("user", (F.col("ts") + 100).alias("ts"), F.concat("query", F.lit(" more")).alias("query")).where("ts % 2 = 0")
     return history.recent_searches(typed.unionByName(longer))
 
@@ -238,53 +351,107 @@ def superseded_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.superseded(events)
 
 
+_W = r"[\p{L}\p{N}]+"
+_CHUNKED = f"""{CONTENTS}, {model.CHUNKS_SQL}, tokens AS (SELECT id, unnest(regexp_extract_all(lower(text), '{_W}')) AS term FROM chunks), postings AS (SELECT term, id, count(*) AS tf FROM tokens GROUP BY term, id),
+lens AS (SELECT id, len(regexp_extract_all(lower(text), '{_W}')) AS length FROM chunks), dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term)"""
 _TERMS = rf"""qt AS (SELECT item_id::BIGINT AS query_id, [w FOR w, i IN ws IF list_position(ws, w) = i] AS terms
-    FROM (SELECT item_id, [w FOR w IN regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') IF w NOT IN ({_STOP}) AND (length(w) > 1 OR regexp_matches(w, '^\d$'))] AS ws FROM benchmark))"""
-_LIVE = f"fl AS (SELECT min(doc_id) OVER (PARTITION BY coalesce(text, ''), lang) AS content_id, length(coalesce(text, '')) AS size FROM documents), live AS (SELECT DISTINCT content_id AS id FROM fl WHERE size BETWEEN {model.SHORT} AND {model.TOO_LARGE})"
+    FROM (SELECT item_id, [w FOR w IN regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') IF w NOT IN ({_STOP}) AND (length(w) > 1 OR regexp_matches(w, '^\d$'))] AS ws FROM benchmark)),
+q AS (SELECT query_id, len(terms) AS n_terms, unnest(terms) AS term FROM qt)"""
 
 
-def _bm25_sql(terms: str = "terms") -> str:
-    return rf"""{POSTINGS}, {_TERMS}, {_LIVE}, q AS (SELECT query_id, len({terms}) AS n_terms, unnest({terms}) AS term FROM qt),
-lens AS (SELECT content_id AS id, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS length FROM contents), st AS (SELECT count(*) AS rows, avg(length) AS average FROM lens), dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
-idf AS (SELECT query_id, n_terms, q.term, average, CASE WHEN ln((rows - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((rows - df + 0.5) / (df + 0.5)) END AS idf FROM q JOIN dfs USING (term), st),
-sc AS (SELECT query_id, id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))) AS score, count(*) AS n_matched, any_value(n_terms) AS n_terms FROM idf JOIN postings USING (term) JOIN lens USING (id) GROUP BY query_id, id)"""
+def _scores_sql(name: str, q: str = "q", postings: str = "postings", lens: str = "lens", dfs: str = "dfs") -> str:
+    """BM25 of the terms q (query_id, term, n_terms)."""
+    return f"""{name} AS (
+    SELECT query_id, id, sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))) AS score, count(*) AS n_matched, any_value(n_terms) AS n_terms
+    FROM {q} JOIN {dfs} USING (term) JOIN {postings} USING (term) JOIN {lens} USING (id), (SELECT count(*) AS n, avg(length) AS average FROM {lens}) GROUP BY query_id, id)"""
 
 
 def _list_sql(name: str, where: str = "true") -> str:
     return f"""{name}0 AS (SELECT query_id, id, score FROM sc WHERE {where} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 200),
-{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM {name}0 WHERE id IN (SELECT id FROM live) QUALIFY rank <= 100)"""
+{name} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM {name}0 QUALIFY rank <= 100)"""
 
 
+_FL = "fl AS (SELECT doc_id AS file_id, min(doc_id) OVER (PARTITION BY coalesce(text, ''), lang) AS content_id, concat_ws('_', source, lang, doc_id::VARCHAR) AS name, source, lang FROM documents)"
+_NAMED = f"""{_FL}, nt AS (SELECT file_id AS id, regexp_extract_all(lower({_NAME.format("name || '.txt'")}), '{_W}') AS ns, regexp_extract_all(lower({_NAME.format("lang")}), '{_W}') AS ps FROM fl),
+npost AS (SELECT term, id, sum(w) AS tf FROM (SELECT id, unnest(ns) AS term, 5.0::DOUBLE AS w FROM nt UNION ALL SELECT id, unnest(ps), 1.0 FROM nt) GROUP BY term, id), nlens AS (SELECT id, len(ns) + len(ps) AS length FROM nt), ndfs AS (SELECT term, count(*) AS df FROM npost GROUP BY term)"""
+_NAMES = f"""{_NAMED}, {_scores_sql("nsc", "q", "npost", "nlens", "ndfs")},
+names AS (SELECT query_id, id, content_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM nsc JOIN fl ON fl.file_id = nsc.id QUALIFY rank <= 50)"""
 _VECS = "v AS (SELECT vec_id AS id, [x / n FOR x IN e]::FLOAT[]::DOUBLE[] AS vec FROM (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum([y * y FOR y IN embedding::DOUBLE[]])) AS n FROM embeddings))"
-_FUSED = f"""{_bm25_sql()}, {_list_sql('anyl')}, {_list_sql('alll', 'n_terms >= 2 AND n_matched = n_terms')}, {_VECS},
-near AS (SELECT b.item_id::BIGINT AS query_id, v.id, list_dot_product(v.vec, a.vec) AS score, row_number() OVER (PARTITION BY b.item_id ORDER BY list_dot_product(v.vec, a.vec) DESC, v.id) AS rank
-    FROM benchmark b JOIN v a ON a.id = b.item_id, v WHERE v.id IN (SELECT id FROM live) QUALIFY rank <= 100),
-u AS (SELECT *, 1 AS l FROM alll UNION ALL SELECT *, 2 FROM anyl UNION ALL SELECT *, 3 FROM near WHERE id IN (SELECT content_id FROM contents)),
-fused AS (SELECT query_id, id AS content_id, sum(1 / (60.0::DOUBLE + rank)) AS score, min(rank) FILTER (l < 3) AS kw_rank, min(rank) FILTER (l = 3) AS vec_rank, max(score) FILTER (l = 3) AS cosine, min([l, rank]) AS first FROM u GROUP BY query_id, id),
+_SCORED = f"""{_CHUNKED}, {_TERMS}, {_scores_sql("sc")}"""
+_FUSED = f"""{_SCORED}, {_list_sql('anyl')}, {_list_sql('alll', 'n_terms >= 2 AND n_matched = n_terms')}, {_NAMES}, {_VECS},
+near AS (SELECT b.item_id::BIGINT AS query_id, c.id, list_dot_product(v.vec, a.vec) AS score, row_number() OVER (PARTITION BY b.item_id ORDER BY list_dot_product(v.vec, a.vec) DESC, c.id) AS rank
+    FROM benchmark b JOIN v a ON a.id = b.item_id, v JOIN chunks c ON c.content_id = v.id AND c.ord = 0 QUALIFY rank <= 100),
+u AS (SELECT *, 1 AS l FROM alll UNION ALL SELECT *, 2 FROM anyl UNION ALL SELECT *, 3 FROM near),
+pc AS (SELECT query_id, id // {1 << model.CHUNK_BITS} AS content_id, id, sum(1 / (60.0::DOUBLE + rank)) AS score, min(rank) FILTER (l < 3) AS kw_rank, min(rank) FILTER (l = 3) AS vec_rank, max(score) FILTER (l = 3) AS cosine, min([l, rank]) AS first FROM u GROUP BY query_id, id),
+w AS (SELECT query_id, content_id, max(score) AS score, min(kw_rank) AS kw_rank, min(vec_rank) AS vec_rank, max(cosine) AS cosine, min(first) AS first FROM pc GROUP BY query_id, content_id),
+fused AS (SELECT query_id, content_id, coalesce(score, 0) + coalesce(1 / (60.0::DOUBLE + name_rank), 0) AS score, kw_rank, vec_rank, name_rank, cosine, coalesce(first, [4, name_rank]) AS first
+    FROM w FULL JOIN (SELECT query_id, content_id, min(rank) AS name_rank FROM names GROUP BY query_id, content_id) USING (query_id, content_id)),
 best AS (SELECT query_id, score AS best FROM near WHERE rank = 1),
-top AS (SELECT fused.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first, content_id) AS rank FROM fused LEFT JOIN best USING (query_id) WHERE kw_rank IS NOT NULL OR coalesce(cosine, -1) >= coalesce(best, 0) - 0.1 QUALIFY rank <= 30)"""
-_MATCHED = r"[t FOR t IN terms IF len([w FOR w IN toks IF starts_with(w, t)]) > 0]"
-_TOP = rf"""{_FUSED}, m AS (SELECT top.*, terms, {_MATCHED} AS matched FROM top JOIN (SELECT content_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS toks FROM contents) USING (content_id) JOIN qt USING (query_id) WHERE rank <= 5)"""
+top AS (SELECT fused.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, first, content_id) AS rank FROM fused LEFT JOIN best USING (query_id)
+    WHERE kw_rank IS NOT NULL OR name_rank IS NOT NULL OR coalesce(cosine, -1) >= coalesce(best, 0) - 0.1 QUALIFY rank <= 30)"""
+_SHOWN = f"""{_FUSED}, bc AS (SELECT query_id, content_id, id, row_number() OVER (PARTITION BY query_id, content_id ORDER BY round(score, 9) DESC, id) AS place FROM pc QUALIFY place <= 3),
+ev AS (SELECT t.query_id, t.content_id, t.rank, coalesce(bc.place, 1) AS place, coalesce(bc.id, h.id) AS id FROM top t LEFT JOIN bc USING (query_id, content_id) LEFT JOIN chunks h ON h.content_id = t.content_id AND h.ord = 0)"""
+_RESULTS = rf"""{_SHOWN},
+m AS (SELECT query_id, ev.content_id, any_value(terms) AS all_terms, [t FOR t IN any_value(terms) IF len([w FOR w IN flatten(list(regexp_extract_all(lower(coalesce(c.text, '')), '{_W}'))) IF starts_with(w, t)]) > 0] AS matched
+    FROM ev LEFT JOIN chunks c ON c.id = ev.id JOIN qt USING (query_id) GROUP BY query_id, ev.content_id),
+pf AS (SELECT content_id, arg_max(name, file_id) AS name, arg_max('/' || source || '/' || lang, file_id) AS folder, count(*) - 1 AS n_copies FROM fl GROUP BY content_id),
+r AS (SELECT top.*, all_terms, matched, name, folder, folder || '/' || name || '.txt' AS path, n_copies,
+      concat_ws(',', CASE WHEN len(matched) > 0 THEN 'terms' END, CASE WHEN vec_rank <= 10 THEN 'meaning' END, CASE WHEN name_rank IS NOT NULL THEN 'filename' END) AS reasons
+      FROM top JOIN m USING (query_id, content_id) JOIN pf USING (content_id)),
+lc AS (SELECT query_id, content_id, len(matched) AS n_matched, len(all_terms) AS n_terms, (CASE WHEN len(all_terms) > 0 THEN len(matched) / len(all_terms) ELSE 1 END) < 0.5 AND coalesce(cosine, 0) < 0.62 AND NOT (coalesce(kw_rank, 99) <= 10 AND coalesce(vec_rank, 99) <= 10) AS low_confidence FROM r WHERE rank = 1),
+gt AS (SELECT item_id::BIGINT AS query_id, coalesce(low_confidence, true) AS abstains FROM benchmark b LEFT JOIN lc ON lc.query_id = b.item_id)"""
+#: Words of shown texts (query_id, id, rank, content_id, text, terms) with their offsets; hit: how many terms a word begins with.
+_WORDS = rf"""t0 AS (SELECT *, regexp_extract_all(text, '{_W}') AS ws, string_split_regex(text, '{_W}') AS gaps FROM shown),
+t1 AS (SELECT query_id, id, i, ws[i] AS word, gaps[i] AS gap, len([t FOR t IN terms IF starts_with(lower(ws[i]), t)]) AS hit FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM t0)),
+t2 AS (SELECT *, sum(length(gap) + length(word)) OVER (PARTITION BY query_id, id ORDER BY i) AS b FROM t1)"""
+_SNIPPETS = rf"""{_SHOWN}, shown AS (SELECT query_id, ev.id, rank, ev.content_id, coalesce(text, '') AS text, terms FROM ev LEFT JOIN chunks c ON c.id = ev.id JOIN qt USING (query_id) WHERE place = 1 AND rank <= 5), {_WORDS},
+h AS (SELECT query_id, id, b - length(word) AS a, b, row_number() OVER (PARTITION BY query_id, id ORDER BY b, k) AS n FROM (SELECT *, unnest(range(hit)) AS k FROM t2 WHERE hit > 0)),
+d AS (SELECT x.query_id, x.id, x.n, x.a, coalesce(min(y.n), (SELECT count(*) + 1 FROM h z WHERE z.query_id = x.query_id AND z.id = x.id)) - x.n AS many
+      FROM h x LEFT JOIN h y ON y.query_id = x.query_id AND y.id = x.id AND y.n >= x.n AND y.b > x.a + 320 GROUP BY x.query_id, x.id, x.n, x.a),
+f AS (SELECT query_id, id, arg_max(a, (many, -n)) AS spot FROM d GROUP BY query_id, id),
+s0 AS (SELECT shown.*, length(text) AS len, CASE WHEN length(text) <= 320 THEN 0 ELSE greatest(0, coalesce(spot, 0) - 60) END AS low FROM shown LEFT JOIN f USING (query_id, id)),
+s1 AS (SELECT *, least(len, low + 320) AS high, instr(text[low + 1:low + 30], ' ') AS space FROM s0),
+s2 AS (SELECT * REPLACE (CASE WHEN low > 0 AND space > 0 THEN low + space ELSE low END AS low) FROM s1),
+s3 AS (SELECT *, length(regexp_extract(text[1:high + 1], '(?s)^.* ')) - 1 AS late FROM s2),
+s4 AS (SELECT * REPLACE (CASE WHEN len > 320 AND high < len AND late > low + 160 THEN late ELSE high END AS high) FROM s3),
+s5 AS (SELECT *, regexp_replace(text[low + 1:high], '\s+', ' ', 'g') AS body FROM s4)"""
 _FORM = r"(?:\p{Lu}\p{Ll}{3,17}|\p{Ll}{4,18})"
 _WORDRUN = r"[\p{L}\p{N}_]+"
-_TFIDF = rf"""{POSTINGS}, dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+_TFIDF = rf"""{_CHUNKED},
 w AS (SELECT content_id, i, ws[i] AS form FROM (SELECT content_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT content_id, regexp_extract_all(text, '{_WORDRUN}') AS ws FROM contents))),
 k AS (SELECT content_id, lower(form) AS key, count(*) AS tf, min(i) AS first FROM w WHERE regexp_full_match(form, '{_FORM}') AND lower(form) NOT IN ({_STOP}) GROUP BY content_id, lower(form)),
 t AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY tf DESC, first) <= 30),
-terms AS (SELECT content_id, key, tf, ln(((SELECT count(*) FROM contents) + 1.0::DOUBLE) / (least(coalesce(df, 0), 200) + 1)) AS idf FROM t LEFT JOIN dfs ON dfs.term = t.key)"""
+terms AS (SELECT content_id, key, tf, ln(((SELECT count(*) FROM chunks) + 1.0::DOUBLE) / (least(coalesce(df, 0), 200) + 1)) AS idf FROM t LEFT JOIN dfs ON dfs.term = t.key)"""
+_ASKED = """src AS (SELECT ev.query_id, ev.rank AS n, ev.content_id, name, strftime(make_timestamp(max_id * 1000 * 1000), '%Y-%m-%d') AS modified, text, terms
+    FROM ev JOIN chunks c ON c.id = ev.id JOIN pf ON pf.content_id = ev.content_id JOIN (SELECT content_id, max(file_id) AS max_id FROM fl GROUP BY content_id) x ON x.content_id = ev.content_id JOIN qt USING (query_id) WHERE place = 1 AND rank <= 6)"""
+_ANSWERED = rf"""se AS (SELECT query_id, n, terms, unnest(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '[\x01]|\n+')) AS sentence FROM src),
+sh AS (SELECT *, len([t FOR t IN terms IF len([w FOR w IN regexp_extract_all(lower(sentence), '{_W}') IF starts_with(w, t)]) > 0]) AS hits FROM se),
+sb AS (SELECT query_id, n, arg_max(sentence, (hits, -length(sentence), sentence)) AS sentence FROM sh WHERE hits > 0 GROUP BY query_id, n),
+ans AS (SELECT query_id, coalesce(string_agg(sentence || ' [' || n || ']', ' ' ORDER BY n), '{ask.NO_EVIDENCE}') AS answer FROM (SELECT DISTINCT query_id FROM src) LEFT JOIN sb USING (query_id) GROUP BY query_id)"""
 SQL = {
-    "bm25_any": f"WITH {_bm25_sql()}, {_list_sql('anyl')} SELECT query_id, id, round(score, 6) AS score, rank FROM anyl",
-    "bm25_all": f"WITH {_bm25_sql('terms[1:2]')}, {_list_sql('alll', 'n_terms >= 2 AND n_matched = n_terms')} SELECT query_id, id, round(score, 6) AS score, rank FROM alll",
-    "l2_normalise": "SELECT vec_id, round(sqrt(list_sum([(x * x)::DOUBLE FOR x IN embedding::DOUBLE[]])), 4) AS length, 1.0::DOUBLE AS unit FROM embeddings",
+    "bm25_any": f"WITH RECURSIVE {_SCORED}, {_list_sql('anyl')} SELECT query_id, id, round(score, 6) AS score, rank FROM anyl",
+    "bm25_all": f"WITH RECURSIVE {_SCORED}, {_list_sql('alll', 'n_terms >= 2 AND n_matched = n_terms')} SELECT query_id, id, round(score, 6) AS score, rank FROM alll",
+    "name_list": f"WITH {_TERMS}, {_NAMES} SELECT query_id, id, content_id, round(score, 6) AS score, rank FROM names",
+    "bm25_name_weighted": f"""WITH {_NAMED}, a AS (SELECT DISTINCT {_NAME.format("concat_ws('_', source, lang) || '.x'")} AS query_id FROM documents), q AS (SELECT query_id, 1 AS n_terms, unnest(regexp_extract_all(lower(query_id), '{_W}')) AS term FROM a), {_scores_sql("nsc", "q", "npost", "nlens", "ndfs")}
+        SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM nsc QUALIFY rank <= 50""",
+    "l2_normalise": "SELECT vec_id, round(n, 4) AS length, round(embedding[1]::DOUBLE / n, 4) AS first, round(embedding[-1]::DOUBLE / n, 4) AS last FROM (SELECT *, sqrt(list_sum([(x * x)::DOUBLE FOR x IN embedding::DOUBLE[]])) AS n FROM embeddings)",
     "knn_cosine_topk": f"WITH {_VECS}, n AS (SELECT a.id AS query_id, v.id, list_dot_product(v.vec, a.vec) AS s FROM v a, v WHERE a.id % 100 = 0) SELECT query_id, id, round(s, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM n QUALIFY rank <= 100",
-    "knn_prefilter": f"WITH {_LIVE}, {_VECS}, n AS (SELECT a.id AS query_id, v.id, list_dot_product(v.vec, a.vec) AS s FROM v a, v WHERE a.id % 100 = 0 AND v.id IN (SELECT id FROM live)) SELECT query_id, id, round(s, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM n QUALIFY rank <= 20",
-    "rrf_fusion": f"WITH {_FUSED} SELECT query_id, content_id, round(score, 9) AS score, kw_rank, vec_rank, round(cosine, 4) AS cosine FROM fused",
-    "hybrid_top30": f"WITH {_FUSED} SELECT query_id, content_id, round(score, 9) AS score, rank FROM top",
-    "low_confidence": f"WITH {_TOP} SELECT query_id, content_id, len(matched) AS n_matched, len(terms) AS n_terms, (CASE WHEN len(terms) > 0 THEN len(matched) / len(terms) ELSE 1 END) < 0.5 AND coalesce(cosine, 0) < 0.62 AND NOT (coalesce(kw_rank, 99) <= 10 AND coalesce(vec_rank, 99) <= 10) AS low_confidence FROM m WHERE rank = 1",
-    "match_reasons": f"WITH {_TOP} SELECT query_id, rank, content_id, array_to_string(matched, ' ') AS matched, concat_ws(',', CASE WHEN len(matched) > 0 THEN 'terms' END, CASE WHEN vec_rank <= 10 THEN 'meaning' END) AS reasons FROM m",
-    "known_item_metrics": f"""WITH {_bm25_sql()}, {_list_sql('anyl')}, rel AS (SELECT item_id::BIGINT AS query_id, content_id FROM benchmark b, contents c WHERE len(string_split(b.text, ' ')) >= 5 AND contains(c.text, b.text)),
-        p AS (SELECT query_id, count(*) AS total, min(rank) FILTER (rank <= 10) AS first, count(*) FILTER (WHERE rank <= 5) AS top5 FROM rel LEFT JOIN anyl ON anyl.query_id = rel.query_id AND anyl.id = rel.content_id GROUP BY rel.query_id)
-        SELECT count(*) AS queries, round(avg(coalesce(1 / first, 0)), 6) AS mrr_10, round(avg((top5 > 0)::INTEGER), 6) AS hit_5, round(avg(top5 / total), 6) AS recall_5 FROM (SELECT p.* FROM p)""".replace("SELECT query_id, count(*) AS total", "SELECT rel.query_id, count(*) AS total"),
+    "knn_prefilter": f"WITH {_FL}, {_VECS}, n AS (SELECT a.id AS query_id, v.id, list_dot_product(v.vec, a.vec) AS s FROM v a, v WHERE a.id % 100 = 0 AND v.id IN (SELECT content_id FROM fl)) SELECT query_id, id, round(s, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM n QUALIFY rank <= 20",
+    "rrf_fusion": f"WITH RECURSIVE {_FUSED} SELECT query_id, content_id, round(score, 9) AS score, kw_rank, vec_rank, name_rank, round(cosine, 4) + 0.0 AS cosine FROM fused",
+    "hybrid_top30": f"WITH RECURSIVE {_FUSED} SELECT query_id, content_id, round(score, 9) AS score, rank FROM top",
+    "evidence_top3": f"WITH RECURSIVE {_SHOWN} SELECT * FROM ev",
+    "search_results": f"WITH RECURSIVE {_RESULTS} SELECT query_id, rank, content_id, name, path, n_copies, array_to_string(matched, ' ') AS matched, reasons FROM r",
+    "voice_top5": f"WITH RECURSIVE {_RESULTS} SELECT query_id, rank, name, folder FROM r WHERE rank <= 5",
+    "result_folders": f"WITH RECURSIVE {_RESULTS} SELECT query_id, folder, min(rank) AS rank FROM r GROUP BY query_id, folder",
+    "low_confidence": f"WITH RECURSIVE {_RESULTS} SELECT * FROM lc",
+    "match_reasons": f"WITH RECURSIVE {_RESULTS} SELECT query_id, rank, content_id, array_to_string(matched, ' ') AS matched, reasons FROM r WHERE rank <= 5",
+    "ask_gate": f"WITH RECURSIVE {_RESULTS} SELECT * FROM gt",
+    "snippets": f"WITH RECURSIVE {_SNIPPETS} SELECT query_id, rank, content_id, CASE WHEN low > 0 THEN '…' ELSE '' END || body || CASE WHEN high < len THEN '…' ELSE '' END AS snippet, len([x FOR x IN regexp_extract_all(lower(body), '{_W}') IF len([t FOR t IN terms IF starts_with(x, t)]) > 0]) AS n_highlights FROM s5",
+    "highlight_ranges": f"""WITH RECURSIVE {_SHOWN}, shown AS (SELECT query_id, ev.id, rank, ev.content_id, text, terms FROM ev JOIN chunks c ON c.id = ev.id JOIN qt USING (query_id) WHERE rank <= 3), {_WORDS}
+        SELECT query_id, id, count(*) FILTER (hit > 0) AS n, sha256(string_agg(gap || CASE WHEN hit > 0 THEN '[' || word || ']' ELSE word END, '' ORDER BY i) || any_value(gaps[-1])) AS marked_sha FROM t2 JOIN t0 USING (query_id, id) GROUP BY query_id, id""",
+    "known_item_metrics": f"""WITH RECURSIVE {_SCORED}, {_list_sql('anyl')}, best AS (SELECT query_id, id // {1 << model.CHUNK_BITS} AS content_id, min(rank) AS rank FROM anyl GROUP BY ALL), rel AS (SELECT DISTINCT item_id::BIGINT AS query_id, content_id FROM benchmark b, contents c WHERE contains(' ' || c.text || ' ', ' ' || b.text || ' ')),
+        p AS (SELECT query_id, count(*) AS total, min(rank) FILTER (rank <= 10) AS first, count(*) FILTER (rank <= 5) AS top5 FROM rel LEFT JOIN best USING (query_id, content_id) GROUP BY query_id)
+        SELECT count(*) AS queries, round(avg(coalesce(1 / first, 0)), 6) AS mrr_10, round(avg((top5 > 0)::INTEGER), 6) AS hit_5, round(avg(top5 / total), 6) AS found_5 FROM p""",
     "tau_calibration": f"""WITH {_VECS}, n AS (SELECT a.id AS query_id, v.id, list_dot_product(v.vec, a.vec) AS s FROM v a, v WHERE a.id % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM n QUALIFY rank <= 10),
         b AS (SELECT s, x.label = y.label AS rel FROM k JOIN embeddings x ON x.vec_id = k.id JOIN embeddings y ON y.vec_id = k.query_id WHERE rank > 1)
         SELECT threshold, round(avg((s < threshold)::INTEGER) FILTER (rel), 6) AS flagged_relevant, round(avg((s < threshold)::INTEGER) FILTER (NOT rel), 6) AS flagged_other FROM b, (SELECT unnest([0.2, 0.3, 0.4, 0.5, 0.6]::DOUBLE[]) AS threshold) GROUP BY threshold""",
@@ -292,14 +459,14 @@ SQL = {
         SELECT event_type, share, value FROM s, (SELECT unnest([0.5, 0.95, 0.99]::DOUBLE[]) AS share) WHERE i = least(floor(n * share), n - 1)""",
     "recent_per_kind": f"""WITH {model.FILES_SQL}, g AS (SELECT kind, content_id, max(mtime_ms) AS m, arg_max(name, mtime_ms) AS name FROM files WHERE status = 'linked' GROUP BY kind, content_id)
         SELECT kind, content_id, row_number() OVER (PARTITION BY kind ORDER BY m DESC, content_id) AS place, name FROM g QUALIFY place <= 15""",
-    "tfidf_terms": f"WITH {_TFIDF} SELECT content_id, key, tf, round(tf * idf, 6) AS score FROM terms",
+    "tfidf_terms": f"WITH RECURSIVE {_TFIDF} SELECT content_id, key, tf, round(tf * idf, 6) AS score FROM terms",
     "restart_policy": """WITH r AS (SELECT user_id AS key, epoch_us(ts) AS at_us, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 18000000000 PRECEDING AND CURRENT ROW) AS recent FROM events WHERE event_type = 'error')
         SELECT key, at_us, recent, recent > 1 AS gives_up, CASE WHEN recent <= 1 THEN recent END AS wait FROM r""",
     "debounce_sessions": """WITH e AS (SELECT user_id AS key, epoch_us(ts) AS t, event_type, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS new FROM events),
         s AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY t ROWS UNBOUNDED PRECEDING) AS sid FROM e)
         SELECT key, min(t) AS start, max(t) + 21600000000 AS stop, count(*) AS n, arg_max(event_type, t) AS last FROM s GROUP BY key, sid""",
     "status_coalesced": "SELECT event_type AS key, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, arg_max(event_id, ts) AS last, count(*) AS n FROM events GROUP BY event_type, time_bucket(INTERVAL 1 HOUR, ts)",
-    "recent_searches": r"""WITH t AS (SELECT conv_id AS user, turn AS ts, regexp_extract(text, '^(\S+)', 1) AS query FROM conversations WHERE text IS NOT NULL), a AS (SELECT * FROM t UNION ALL SELECT user, ts + 100, query || ' more' FROM t WHERE (ts + 100) % 2 = 0),
+    "recent_searches": r"""WITH t AS (SELECT conv_id AS user, turn AS ts, text AS query FROM conversations WHERE text IS NOT NULL), a AS (SELECT * FROM t UNION ALL SELECT user, ts + 100, query || ' more' FROM t WHERE (ts + 100) % 2 = 0),
         l AS (SELECT user, lower(trim(query)) AS low, arg_max(trim(query), ts) AS query, max(ts) AS ts FROM a WHERE trim(query) <> '' GROUP BY user, lower(trim(query))),
         k AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM l AS m WHERE m.user = l.user AND m.ts > l.ts AND starts_with(m.low, l.low)))
         SELECT user, query, row_number() OVER (PARTITION BY user ORDER BY ts DESC, low) AS place FROM k QUALIFY place <= 5""",
@@ -307,8 +474,10 @@ SQL = {
         SELECT *, row_number() OVER (PARTITION BY user ORDER BY ts DESC, id DESC) AS place FROM g QUALIFY place <= 50""",
     "event_props_json": "SELECT event_type, count(*) AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL GROUP BY event_type",
     "superseded_requests": "SELECT user_id AS session, arg_max(event_id, ts) AS request_id, arg_max(event_type, ts) AS query FROM events GROUP BY user_id",
-    "ask_sources": f"""WITH {_FUSED}, f AS (SELECT *, min(doc_id) OVER (PARTITION BY coalesce(text, ''), lang) AS content_id FROM documents),
-        n AS (SELECT content_id, arg_max(concat_ws('_', source, lang, doc_id::VARCHAR), doc_id) AS name, max(doc_id) * 1000 AS ms FROM f GROUP BY content_id)
-        SELECT query_id, rank AS n, content_id, name, strftime(make_timestamp(ms * 1000), '%Y-%m-%d') AS modified FROM top JOIN n USING (content_id) WHERE rank <= 6""",
+    "ask_sources": f"WITH RECURSIVE {_RESULTS}, {_ASKED} SELECT query_id, n, content_id, name, modified, sha256(text) AS text_sha FROM src",
+    "cited_sources": f"WITH RECURSIVE {_RESULTS}, {_ASKED}, {_ANSWERED} SELECT query_id, n, content_id, contains(answer, '[' || n || ']') AS cited FROM src JOIN ans USING (query_id)",
+    "ask_answers": f"""WITH RECURSIVE {_RESULTS}, {_ASKED}, {_ANSWERED}, pr AS (SELECT query_id, count(*) AS n_sources, length('Sources:' || chr(10) || chr(10) || string_agg('[' || n || '] file: ' || name || ' (modified ' || modified || ')' || chr(10) || '<<<' || chr(10) || text || chr(10) || '>>>', chr(10) || chr(10) ORDER BY n)) AS chars FROM src GROUP BY query_id)
+        SELECT query_id, sha256(answer) AS answer_sha, starts_with(trim(answer), '{ask.NO_EVIDENCE}') AS insufficient, len(list_distinct([x FOR x IN regexp_extract_all(answer, '\\[(\\d{{1,9}})\\]', 1)::INTEGER[] IF x < 1 OR x > 6])) AS n_invalid, n_sources, chars + length(chr(10) || chr(10) || 'Question: ' || b.text) AS prompt_chars
+        FROM ans JOIN pr USING (query_id) JOIN benchmark b ON b.item_id = query_id JOIN gt USING (query_id) WHERE NOT abstains""",
 }
-QUERIES = {name: globals()[name] for name in SQL} | {n: globals()[n] for n in ("bm25_porter", "bm25_name_weighted", "snippets", "highlight_ranges", "ask_answers", "bigram_phrases", "suggestions")}
+QUERIES = {name: globals()[name] for name in SQL} | {n: globals()[n] for n in ("bm25_porter", "bigram_phrases", "suggestions")}
