@@ -196,3 +196,37 @@ def highlighted(text: Column, ranges: Column, before: str = "[", after: str = "]
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
     folded = F.aggregate(ranges, start, lambda s, r: F.struct(F.concat(s["done"], part(s["at"], r["start"]), F.lit(before), part(r["start"], r["stop"]), F.lit(after)).alias("done"), r["stop"].cast("long").alias("at")))
     return F.concat(folded["done"], part(folded["at"], F.char_length(text)))
+
+
+# Labels of kinds of files, and characters that a query, question or folder request may have.
+BADGES = {"pdf": "PDF", "docx": "DOC", "md": "MD", "markdown": "MD", "txt": "TXT", "log": "TXT"}
+MOST_QUERY, MOST_QUESTION, MOST_FOLDER = 500, 1000, 200
+
+
+def badge(ext: Column) -> Column:
+    """A file's label: that of its kind, else a short extension itself, else CODE."""
+    known = F.create_map(*(F.lit(x) for pair in BADGES.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, ext), F.when(F.char_length(ext) <= 4, F.upper(ext)).otherwise("CODE"))
+
+
+def when_label(ms: Column, now: Column) -> Column:
+    """The time of day of what happened on the day of now (a timestamp), else the date."""
+    at = F.timestamp_millis(ms)
+    return F.when(F.to_date(at) == F.to_date(now), F.date_format(at, "HH:mm")).otherwise(F.date_format(at, "yyyy-MM-dd"))
+
+
+def response_mode(vector: Column) -> Column:
+    """hybrid with a query vector, keyword without."""
+    return F.when(vector.isNotNull(), "hybrid").otherwise("keyword")
+
+
+def valid_action(raw: Column, plain: tuple[str, ...] = ("dismiss", "reveal", "open_app", "open_settings", "stop_speech"), most_index: int = 10, most_height: int = 480) -> Column:
+    """struct(type, index, file_id, on, height) of a JSON action, or null: malformed ones are dropped, heights are rounded up and capped."""
+    a = F.from_json(raw, "type string, index double, file_id double, on boolean, height double")
+    whole = lambda v: (v >= 0) & (v == F.floor(v))
+    good = (
+        F.when(a["type"].isin(*plain), True).when(a["type"] == "select", whole(a["index"]) & (a["index"] <= most_index)).when(a["type"] == "open_source", whole(a["file_id"]))
+        .when(a["type"].isin("hover", "speaking"), a["on"].isNotNull()).when(a["type"] == "resize", (a["height"] > 0) & (a["height"] < float("inf")))
+    )
+    only = lambda kind, v: F.when(a["type"].isin(*kind), v)
+    return F.when(good, F.struct(a["type"].alias("type"), only(("select",), a["index"].cast("int")).alias("index"), only(("open_source",), a["file_id"].cast("long")).alias("file_id"), only(("hover", "speaking"), a["on"]).alias("on"), only(("resize",), F.least(F.ceil(a["height"]), F.lit(most_height)).cast("int")).alias("height")))

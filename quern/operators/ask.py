@@ -55,8 +55,15 @@ def checked(answers: DataFrame, n_sources) -> DataFrame:
 
 
 def shown_tokens(tokens: DataFrame) -> DataFrame:
-    """(ask_id, seq, text) of streamed tokens (ask_id, seq, token): the text so far, held back while it may still become NO_EVIDENCE."""
+    """(ask_id, seq, token, held) of streamed tokens (ask_id, seq, token): held while the answer may still become NO_EVIDENCE.
+
+    A token is held if the first characters so far are a beginning of it; only as many as it has are looked at.
+    """
     from pyspark.sql import Window
 
-    so_far = F.array_join(F.collect_list("token").over(Window.partitionBy("ask_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "")
-    return tokens.select("ask_id", "seq", so_far.alias("text")).where(~F.startswith(F.lit(NO_EVIDENCE), F.trim("text")))
+    n = len(NO_EVIDENCE)
+    before = Window.partitionBy("ask_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = tokens.withColumn("upto", F.sum(F.char_length("token")).over(before))
+    # beginnings are short: the tokens in them are few, whatever the length of the answer
+    head = F.array_join(F.collect_list(F.when(F.col("upto") - F.char_length("token") <= 2 * n, F.col("token"))).over(before), "")
+    return sized.withColumn("head", head).select("ask_id", "seq", "token", F.startswith(F.lit(NO_EVIDENCE), F.substring(F.ltrim("head"), 1, n)).alias("held"))

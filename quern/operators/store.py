@@ -153,15 +153,53 @@ def invariants(files: DataFrame, contents: DataFrame, chunks: DataFrame, vectors
 
 
 def overlapping_roots(roots: DataFrame, added: DataFrame) -> DataFrame:
-    """(path, verdict) of added folders against known ones: same, inside (of one) or absorbs. Roots are few: both are driver-entered."""
-    known = roots.select(F.lower("path").alias("known"))
-    inner = F.startswith(F.concat(F.lower("path"), F.lit("/")), F.concat(F.col("known"), F.lit("/")))
-    outer = F.startswith(F.concat(F.col("known"), F.lit("/")), F.concat(F.lower("path"), F.lit("/")))
-    hit = added.join(F.broadcast(known.limit(100_000)), inner | outer)
-    verdict = F.when(F.lower("path") == F.col("known"), "same").when(inner, "inside").otherwise("absorbs")
-    return hit.select("path", "known", verdict.alias("verdict"))
-
-
-def work_queue(rows: DataFrame, n: int, id_col: str) -> DataFrame:
-    """The newest n rows; each task sends n at most."""
-    return rows.orderBy(F.desc("mtime_ms"), F.asc(id_col)).limit(n)
+    """(path, known, verdict) of added folders against known ones: same, inside (of one) or absorbs.
+
+    Each side's paths are spread out into the folders above them, and both are joined by equality: no path meets all others.
+    """
+    up = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda n: F.array_join(F.slice(F.split(c, "/"), 1, n), "/"))
+    known = roots.select(F.lower("path").alias("known")).distinct()
+    fresh = added.select("path", F.lower("path").alias("low"))
+    inside = fresh.withColumn("known", F.explode(up(F.col("low")))).join(known, "known").select("path", "known", F.when(F.col("known") == F.col("low"), "same").otherwise("inside").alias("verdict"))
+    absorbed = known.withColumn("low", F.explode(up(F.col("known")))).where("low <> known").join(fresh, "low").select("path", "known", F.lit("absorbs").alias("verdict"))
+    return inside.unionByName(absorbed)
+
+
+def work_queue(rows: DataFrame, n: int, id_col: str, code_last: Column | None = None) -> DataFrame:
+    """The newest n rows, those for which code_last holds behind the others; each task sends n at most."""
+    first = [] if code_last is None else [code_last]
+    return rows.orderBy(*first, F.desc("mtime_ms"), F.asc(id_col)).limit(n)
+
+
+def failures(rows: DataFrame, n: int = 500) -> DataFrame:
+    """The first n rows (file_id, name, reason) by name."""
+    return rows.where("reason is not null").orderBy("name", "file_id").limit(n)
+
+
+def embedded_contents(contents: DataFrame, chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Contents whose embedding is done: extracted, pending, and without a chunk that lacks a vector."""
+    lacking = missing_vectors(chunks, vectors).select("content_id").distinct()
+    return contents.where("extract_status = 'ok' and embed_status = 'pending'").join(lacking, "content_id", "left_anti")
+
+
+def upsert_settings(settings: DataFrame, fresh: DataFrame) -> DataFrame:
+    """settings (key, value) with those of fresh put in or over them."""
+    return settings.join(fresh.select("key"), "key", "left_anti").unionByName(fresh)
+
+
+def changed_since(indexed: DataFrame, listing: DataFrame) -> DataFrame:
+    """(path_key, changed) of indexed files (path_key, size, mtime_ms): another size or time now, or gone."""
+    now = listing.select("path_key", F.col("size").alias("now_size"), F.col("mtime_ms").alias("now_ms"))
+    same = F.coalesce((F.col("size") == F.col("now_size")) & (F.col("mtime_ms") == F.col("now_ms")), F.lit(False))
+    return indexed.join(now, "path_key", "left").select("path_key", (~same).alias("changed"))
+
+
+def is_partial(counters: DataFrame) -> DataFrame:
+    """progress() with `partial`: whether something is still to be read or embedded."""
+    return counters.withColumn("partial", (F.col("to_hash") > 0) | (F.col("to_extract") > 0) | (F.col("to_embed") > 0))
+
+
+def remove_folder(files: DataFrame, contents: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Files without those of the folder, and contents without those that nothing uses any more, at once."""
+    left = files.where(F.col("folder") != folder)
+    return left, collect_garbage(contents, left, 0, grace_ms=0)

@@ -233,8 +233,8 @@ def level(samples):
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Well-formed records of a JSON lines file; the others are dropped."""
-    bad = "_bad"
-    return spark.read.schema(f"{schema}, {bad} string").option("columnNameOfCorruptRecord", bad).json(path).cache().where(F.col(bad).isNull()).drop(bad)
+    lines = spark.read.text(path).select(F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    return lines.where("r is not null and r._bad is null").select("r.*").drop("_bad")
 
 
 def folder_list(spark: SparkSession, path: str) -> DataFrame:

@@ -48,3 +48,9 @@ def debounced(events: DataFrame, gap: str = "1500 milliseconds", lateness: str =
 
 def coalesced(events: DataFrame, width: str = "400 milliseconds", lateness: str = "10 seconds") -> DataFrame:
     return history.coalesced(events.withWatermark("ts", lateness), width)
+
+
+def reconciled(spark: SparkSession, root: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a full listing of root says of known files (path, size, mtime_ms): (new or changed ones, gone ones). For a run every few minutes, as watching sees no deletions."""
+    now = files.listing(spark, root).select("path", "size", "mtime_ms")
+    return now.join(known, ["path", "size", "mtime_ms"], "left_anti"), known.join(now, "path", "left_anti")

@@ -95,19 +95,71 @@ def sessions_batch(events: DataFrame) -> DataFrame:
     return events.groupBy("session").applyInPandas(run, OUT)
 
 
-def sessions_stream(events: DataFrame) -> DataFrame:
-    """The same for a stream, with the state kept between micro-batches; idle states are dropped."""
+def sessions_stream(events: DataFrame, timers: bool = True) -> DataFrame:
+    """The same for a stream, with the state kept between micro-batches; idle states are dropped.
+
+    With timers a prompt that nobody answers, or a wait for a follow-up, ends by itself once its deadline has passed on the
+    clock of the machine; event times are taken to be of that clock. Without, a tick among the events ends it.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         state = State(*json.loads(group.get[0])) if group.exists else State()
-        state, rows = played(state, [e for f in frames for e in _events(f)])
+        late = [Event(state.deadline + 1, "tick")] if group.hasTimedOut else []
+        state, rows = played(state, [*late, *(e for f in frames for e in _events(f))])
         if state.phase == "idle":
-            group.remove()
+            if group.exists:
+                group.remove()
         else:
             group.update((json.dumps(state),))
+            if timers and state.deadline:
+                group.setTimeoutDuration(max(1, state.deadline + 1 - group.getCurrentProcessingTimeMs()))
         yield pd.DataFrame([(key[0], *r) for r in rows], columns=["session", "at", "phase", "actions"])
 
-    return events.groupBy("session").applyInPandasWithState(run, OUT, "state string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if timers else GroupStateTimeout.NoTimeout
+    return events.groupBy("session").applyInPandasWithState(run, OUT, "state string", "append", timeout)
+
+
+def dispatched(actions: DataFrame, requests_: DataFrame, results: DataFrame, folders: DataFrame, most: int = 5) -> DataFrame:
+    """(session, at, kind, shown) of requests (session, at, query_id, folder) whose action is to find files: at most `most` names.
+
+    A request for folders shows the folders that match (query_id, folder, place), or, if none does, those of its results
+    (query_id, rank, name, folder), each once.
+    """
+    asked = actions.where("actions = 'find_files'").select("session", "at").join(requests_.withColumnRenamed("folder", "wants_folder"), ["session", "at"])
+    listed = lambda rows, place: rows.groupBy("query_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), F.col("said")))), lambda x: x["said"]), 1, most).alias("said"))
+    names = listed(results.where(F.col("rank") <= most).withColumn("said", F.col("name")), "rank").withColumnRenamed("said", "names")
+    parents = listed(results.groupBy("query_id", F.col("folder").alias("said")).agg(F.min("rank").alias("rank")), "rank").withColumnRenamed("said", "parents")
+    matched = listed(folders.withColumn("said", F.col("folder")), "place").withColumnRenamed("said", "matched")
+    both = asked.join(names, "query_id", "left").join(parents, "query_id", "left").join(matched, "query_id", "left")
+    kind = F.when(~F.col("wants_folder"), "files").when(F.col("matched").isNotNull(), "folders").otherwise("parent folders")
+    shown = F.when(kind == "files", F.col("names")).when(kind == "folders", F.col("matched")).otherwise(F.col("parents"))
+    return both.select("session", "at", kind.alias("kind"), F.coalesce(shown, F.array().cast("array<string>")).alias("shown"))
+
+
+def in_order(pieces: DataFrame) -> DataFrame:
+    """Transcripts (device, seq, done_ms, text) with ready_ms: a piece is handed on when it and all before it are done."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("device").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return pieces.withColumn("ready_ms", F.max("done_ms").over(order))
+
+
+def loaded_spans(uses: DataFrame, idle_ms: int = 120_000) -> DataFrame:
+    """(model, start_ms, stop_ms, uses): a model is unloaded when it hasn't been used for idle_ms. uses: (model, at_ms)."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("model").orderBy("at_ms")
+    new = F.coalesce((F.col("at_ms") - F.lag("at_ms").over(order) > idle_ms).cast("int"), F.lit(1))
+    return uses.withColumn("new", new).withColumn("span", F.sum("new").over(order)).groupBy("model", "span").agg(F.min("at_ms").alias("start_ms"), (F.max("at_ms") + idle_ms).alias("stop_ms"), F.count("*").alias("uses")).drop("span")
+
+
+def reset_frames(frames: DataFrame, delay: int = 8) -> DataFrame:
+    """(stream, seq) at which a word spotter is reset: `delay` frames after speech (stream, seq, speech) ends, unless it goes on before."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("stream").orderBy("seq")
+    quiet = frames.withColumn("last", F.max(F.when(F.col("speech"), F.col("seq"))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return quiet.where(~F.col("speech") & (F.col("seq") - F.col("last") == delay)).select("stream", "seq")
 
 
 def requests(wakes: DataFrame, utterances: DataFrame, window_ms: int = WAKE_MS, settle_ms: int = SETTLE_MS) -> DataFrame:

@@ -1,10 +1,13 @@
 """Snapshots: merges, deletes, garbage, retries, invariants; incremental work equals a rebuild."""
 
+import pytest
+
 import random
 
 from pyspark.sql import functions as F
 
-from quern.operators import store
+from quern.operators import chunking, store
+from quern.operators.snapshots import Snapshots
 
 FILES = "path_key string, size long, mtime_ms long, status string, attempts int, content_id long, seen int"
 
@@ -74,3 +77,42 @@ def test_copies_newest_first(spark):
     rows = spark.createDataFrame([(1, 10, "linked", 5, "b"), (2, 10, "linked", 9, "a"), (3, 10, "pending", 99, "c"), (4, 10, "linked", 5, "a")], "file_id long, content_id long, status string, mtime_ms long, path string")
     assert [r["file_id"] for r in store.copies(rows).orderBy("place").collect()] == [2, 4, 1]
     assert store.live_contents(rows.withColumn("status", F.lit("pending"))).count() == 0
+
+
+def test_documents_queues_and_settings(spark):
+    indexed = spark.createDataFrame([("a", 1, 5), ("b", 1, 5), ("c", 1, 5)], "path_key string, size long, mtime_ms long")
+    now = spark.createDataFrame([("a", 1, 5), ("b", 2, 5)], "path_key string, size long, mtime_ms long")
+    assert {r["path_key"]: r["changed"] for r in store.changed_since(indexed, now).collect()} == {"a": False, "b": True, "c": True}
+    settings = spark.createDataFrame([("x", "1"), ("y", "2")], "key string, value string")
+    assert sorted(map(tuple, store.upsert_settings(settings, spark.createDataFrame([("y", "3"), ("z", "4")], "key string, value string")).collect())) == [("x", "1"), ("y", "3"), ("z", "4")]
+    rows = spark.createDataFrame([(1, "code", 9), (2, "text", 8), (3, "text", 7)], "id long, kind string, mtime_ms long")
+    assert [r["id"] for r in store.work_queue(rows, 2, "id", F.col("kind") == "code").collect()] == [2, 3]
+    contents = spark.createDataFrame([(1, "ok", "pending"), (2, "ok", "pending"), (3, "ok", "done")], "content_id long, extract_status string, embed_status string")
+    chunks, vectors = spark.createDataFrame([(1, 11), (2, 21), (2, 22)], "content_id long, chunk_id long"), spark.createDataFrame([(11,), (21,)], "chunk_id long")
+    assert [r["content_id"] for r in store.embedded_contents(contents, chunks, vectors).collect()] == [1]
+    files = spark.createDataFrame([("/a", 1), ("/b", 2)], "folder string, content_id long")
+    whole = spark.createDataFrame([(1, None), (2, None)], "content_id long, orphaned_at long")
+    left, kept = store.remove_folder(files, whole, "/a")
+    assert left.count() == 1 and [r["content_id"] for r in kept.collect()] == [2]
+    pieces = spark.createDataFrame([(1, 0, "ab cd", 0, 5), (1, 1, "cd ef", 3, 8)], "content_id long, ord int, text string, start long, stop long")
+    views = chunking.document_views(contents, pieces, F.lit("fine"), spark.createDataFrame([(1, False)], "content_id long, changed boolean"))
+    assert {r["content_id"]: (r["text"], r["changed"]) for r in views.collect()} == {1: ("ab cd ef", False), 2: ("", True), 3: ("", True)}
+
+
+def test_snapshots(spark, tmp_path):
+    root = Snapshots(spark, str(tmp_path / "store"))
+    files = lambda n: spark.range(n).withColumnRenamed("id", "file_id")
+    assert root.open(1).problem == "missing"
+    root.write({"files": files(3), "folders": files(1)}, 1, clean=False)
+    assert root.open(1).tables["files"].count() == 3 and root.open(0).problem == "newer"
+    assert root.open(1, lambda t: t["files"].count() == 4).problem == "inconsistent"
+    with pytest.raises(ZeroDivisionError):
+        root.migrate({2: lambda t: 1 / 0}, 2)
+    assert root.open(1).version == 1
+    moved = root.migrate({2: lambda t: t | {"files": t["files"].where("file_id > 0")}, 3: lambda t: t}, 3)
+    assert (moved.version, moved.tables["files"].count(), root.numbers()) == (3, 2, [1, 2])
+    root.keep(1)
+    assert root.numbers() == [2] and set(root.clear("folders")) == {"folders"} and set(root.open(3).tables) == {"folders"}
+    for f in (tmp_path / "store" / "s3").glob("snapshot.json"):
+        f.write_text("{broken")
+    assert root.open(3).problem.startswith("damaged")

@@ -1,6 +1,7 @@
 """Sessions, wake windows, debouncing, history, answers and metrics."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,11 +41,54 @@ def test_sessions_as_stream(spark, tmp_path):
     for n in range(3):
         stream = spark.readStream.schema(df.schema).parquet(str(source / "[0-2]"))
     rows = []
-    query = session.sessions_stream(stream).writeStream.foreachBatch(lambda b, _: rows.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query = session.sessions_stream(stream, timers=False).writeStream.foreachBatch(lambda b, _: rows.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert len(rows) == len(STORY)
 
 
+def test_prompts_close_by_themselves(spark, tmp_path):
+    df = spark.createDataFrame([("s", 1000, "wake", "", "", False)], EVENTS)
+    df.coalesce(1).write.parquet(str(tmp_path / "in" / "0"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in" / "*"))
+    rows = []
+    query = session.sessions_stream(stream).writeStream.foreachBatch(lambda b, _: rows.extend(b.collect())).option("checkpointLocation", str(tmp_path / "c")).start()
+    deadline = time.time() + 60
+    while len(rows) < 2 and time.time() < deadline:
+        time.sleep(0.5)
+    query.stop()
+    assert [(r["phase"], r["actions"]) for r in rows] == [("prompting", "show_prompt"), ("idle", "close")]
+
+
+def test_exchanges_queues_and_unloading(spark):
+    actions = spark.createDataFrame([("a", 1, "working", "find_files"), ("b", 2, "working", "find_files"), ("c", 3, "working", "ask")], session.OUT)
+    asked = spark.createDataFrame([("a", 1, 10, False), ("b", 2, 20, True), ("c", 3, 30, False)], "session string, at long, query_id long, folder boolean")
+    results = spark.createDataFrame([(10, 1, "x", "/f"), (10, 2, "y", "/f"), (20, 1, "z", "/g"), (20, 2, "w", "/f"), (20, 3, "v", "/g")], "query_id long, rank int, name string, folder string")
+    none = spark.createDataFrame([], "query_id long, folder string, place int")
+    got = {r["session"]: (r["kind"], r["shown"]) for r in session.dispatched(actions, asked, results, none).collect()}
+    assert got == {"a": ("files", ["x", "y"]), "b": ("parent folders", ["/g", "/f"])}
+    known = spark.createDataFrame([(20, "/h", 1)], "query_id long, folder string, place int")
+    assert {r["session"]: r["shown"] for r in session.dispatched(actions, asked, results, known).collect()}["b"] == ["/h"]
+    said = spark.createDataFrame([("d", 1, 50, "one"), ("d", 2, 20, "two"), ("d", 3, 70, "three")], "device string, seq long, done_ms long, text string")
+    assert [r["ready_ms"] for r in session.in_order(said).orderBy("seq").collect()] == [50, 50, 70]
+    uses = spark.createDataFrame([("m", t) for t in (0, 100_000, 230_000)], "model string, at_ms long")
+    assert sorted((r["start_ms"], r["stop_ms"], r["uses"]) for r in session.loaded_spans(uses).collect()) == [(0, 220_000, 2), (230_000, 350_000, 1)]
+    frames = spark.createDataFrame([("s", i, i in (1, 2, 20, 25)) for i in range(40)], "stream string, seq long, speech boolean")
+    assert sorted(r["seq"] for r in session.reset_frames(frames).collect()) == [10, 33]
+
+
+def test_reconciling_sees_deletions(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one")
+    (tmp_path / "b.txt").write_text("two")
+    from quern.sources import files as sources
+
+    known = spark.createDataFrame([tuple(r) for r in sources.listing(spark, str(tmp_path)).select("path", "size", "mtime_ms").collect()], "path string, size long, mtime_ms long")
+    (tmp_path / "a.txt").unlink()
+    (tmp_path / "b.txt").write_text("three")
+    (tmp_path / "c.txt").write_text("new")
+    fresh, gone = ingest.reconciled(spark, str(tmp_path), known)
+    assert sorted(r["path"][-5:] for r in fresh.collect()) == ["b.txt", "c.txt"] and [r["path"][-5:] for r in gone.collect()] == ["a.txt"]
+
+
 def test_machine_edges():
     assert played(State("working"), [Event(1, "finished")])[0] == State() and played(State("following", 50), [Event(10, "utterance", "refuse")])[1] == [(10, "idle", "close")]
     assert played(State("following", 50), [Event(10, "utterance", "question")])[0] == State("working") and played(State(), [Event(1, "utterance", "file")])[1] == [(1, "idle", "")]
@@ -98,14 +142,17 @@ def test_answers(spark):
     answers = ask.checked(ask.extractive(numbered, spark.createDataFrame([(7, ["rent"]), (8, ["x"])], "query_id long, terms array<string>")), F.lit(1))
     assert {r["query_id"]: (r["answer"], r["insufficient"], r["invalid"]) for r in answers.collect()} == {7: ("The rent is 900. [1]", False, []), 8: (ask.NO_EVIDENCE, True, [])}
     tokens = spark.createDataFrame([(1, 1, "NOT_"), (1, 2, "ENOUGH"), (1, 3, " tea")], "ask_id long, seq long, token string")
-    assert [r["text"] for r in ask.shown_tokens(tokens).collect()] == ["NOT_ENOUGH tea"]
+    assert [(r["token"], r["held"]) for r in ask.shown_tokens(tokens).orderBy("seq").collect()] == [("NOT_", True), ("ENOUGH", True), (" tea", False)]
+    first = spark.createDataFrame([(7, False), (9, True)], "query_id long, low_confidence boolean")
+    assert {r["query_id"]: r["abstains"] for r in ask.gate(questions, first).collect()} == {7: False, 8: True}
+    assert [r["cited"] for r in ask.cited(numbered, answers).collect()] == [True]
 
 
 def test_metrics(spark):
     results = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (2, 7, 4), (3, 9, 12)], "query_id long, content_id long, rank int")
     relevant = spark.createDataFrame([(1, 6), (1, 8), (2, 7), (3, 9), (4, 1)], "query_id long, content_id long")
     r = evaluate.known_item_metrics(results, relevant).first()
-    assert (r["queries"], r["mrr_10"], r["hit_5"], r["recall_5"]) == (4, round((0.5 + 0.25) / 4, 6), 0.5, round(1.5 / 4, 6))
+    assert (r["queries"], r["mrr_10"], r["hit_5"], r["found_5"]) == (4, round((0.5 + 0.25) / 4, 6), 0.5, round(1.5 / 4, 6))
     pairs = spark.createDataFrame([("the cat sat", "the bat sat down"), ("a b", "a b")], "said string, heard string")
     assert evaluate.word_error_rate(pairs, "said", "heard").first()["wer"] == pytest.approx(2 / 5)
     values = spark.createDataFrame([("g", float(v)) for v in (5, 1, 1, 9)], "g string, v double")
@@ -125,3 +172,23 @@ def test_distinctive_words(spark):
     freq = spark.createDataFrame([("flight", 2), ("hotel", 1), ("lisbon", 1), ("delay", 1)], "term string, df long")
     rows = {(r["content_id"], r["key"]): (r["tf"], r["form"]) for r in suggest.distinctive(words, freq, 2).collect()}
     assert rows[1, "hotel"] == (3, "hotel") and rows[1, "flight"] == (2, "flight") and rows[2, "delay"] == (1, "delay")
+
+
+def test_names_weigh_more_and_common_words_nothing(spark):
+    contents = spark.createDataFrame([(1, "we met Lisbon, then Lisbon again and tomorrow always meeting meeting")], "content_id long, text string")
+    words = suggest.forms(contents)
+    freq = spark.createDataFrame([("lisbon", 1), ("meeting", 1)], "term string, df long")
+    rows = {r["key"]: r["score"] / r["idf"] for r in suggest.distinctive(words, freq, 9).collect()}
+    assert rows == {"lisbon": 3.0, "meeting": 2.0}
+
+
+def test_suggestions_vary_kinds_and_folders(spark):
+    rows = [(1, "code", "f:a", 9), (2, "text", "f:a", 8), (3, "text", "f:b", 7), (4, "code", "f:c", 6), (5, "text", "f:b", 5)]
+    made = [{"content_id": c, "kind": k, "dir": d, "mtime_ms": m} for c, k, d, m in sorted(rows, key=lambda r: (r[1] == "code", -r[3]))]
+    assert [r["content_id"] for r in suggest.pick_varied(made, 3)] == [2, 4, 3]
+    assert [r["content_id"] for r in suggest.pick_varied(made, 5)] == [2, 4, 3, 5, 1]
+    files = spark.createDataFrame([(1, 1, "Lease_Agreement.pdf", "home/lease.pdf", "pdf", "/d", 5, "linked"), (2, 2, "LICENSE", "LICENSE", "text", "/d", 6, "linked"), (3, 3, "x.txt", "recipes/x.txt", "text", "/d", 4, "linked")], "file_id long, content_id long, name string, rel_path string, kind string, folder string, mtime_ms long, status string")
+    chunks = spark.createDataFrame([(1, 0, "the landlord asks deposit deposit landlord agreement agreement agreement"), (2, 0, "warranty warranty liability"), (3, 0, "tomato basil tomato basil basilico tomato")], "content_id long, ord int, text string")
+    freq = spark.createDataFrame([("landlord", 1)], "term string, df long")
+    got = {r["content_id"]: r["query"] for r in suggest.suggestions(files, chunks, freq, 50).collect()}
+    assert got == {1: "agreement about deposit and landlord", 3: "recipe about tomato and basil"}

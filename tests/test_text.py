@@ -98,3 +98,15 @@ def test_normalise_both_ways(spark):
     assert one(spark, raw, text.normalise) == files.normalise(raw) == "a\nb\ncd\n\n\ne\tf"
     page = "An exam-\nple of a\nline.\nNext  one"
     assert one(spark, page, text.reflow) == files.reflow(page) == "An example of a line.\nNext one"
+
+
+def test_labels_modes_and_actions(spark):
+    df = spark.createDataFrame([("pdf",), ("ts",), ("svelte",), ("markdown",)], "e string")
+    assert [r[0] for r in df.select(text.badge(F.col("e"))).collect()] == ["PDF", "TS", "CODE", "MD"]
+    now = F.lit("1970-01-02 10:00:00").cast("timestamp")
+    assert [r[0] for r in spark.createDataFrame([(86_400_000 + 3_660_000,), (5,)], "ms long").select(text.when_label(F.col("ms"), now)).collect()] == ["01:01", "1970-01-01"]
+    assert [r[0] for r in spark.createDataFrame([([1.0],), (None,)], "v array<double>").select(text.response_mode(F.col("v"))).collect()] == ["hybrid", "keyword"]
+    raw = ['{"type":"dismiss"}', '{"type":"select","index":3}', '{"type":"select","index":11}', '{"type":"select","index":1.5}', '{"type":"hover","on":true}', '{"type":"hover"}', '{"type":"resize","height":900.2}', '{"type":"resize","height":-1}', '{"type":"open_source","file_id":7}', "broken", '{"type":"other"}', None]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, raw string").orderBy("i").select(text.valid_action(F.col("raw"))).collect()]
+    assert [g and g["type"] for g in got] == ["dismiss", "select", None, None, "hover", None, "resize", None, "open_source", None, None, None]
+    assert got[1]["index"] == 3 and got[6]["height"] == 480 and got[8]["file_id"] == 7 and got[4]["on"] is True
