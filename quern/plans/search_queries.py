@@ -307,7 +307,7 @@ def bigram_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = searched(spark, sf_dir).index
-    return suggest.suggestions(searched(spark, sf_dir).files, model.contents(spark, sf_dir).select("content_id", "text"), built.frequencies, built.stats.first()["rows"])
+    return suggest.suggestions(searched(spark, sf_dir).files, searched(spark, sf_dir).chunks, built.frequencies, built.stats.first()["rows"])
 
 
 def restart_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,11 +417,13 @@ s4 AS (SELECT * REPLACE (CASE WHEN len > 320 AND high < len AND late > low + 160
 s5 AS (SELECT *, regexp_replace(text[low + 1:high], '\s+', ' ', 'g') AS body FROM s4)"""
 _FORM = r"(?:\p{Lu}\p{Ll}{3,17}|\p{Ll}{4,18})"
 _WORDRUN = r"[\p{L}\p{N}_]+"
+_COMMON = ", ".join(f"'{w}'" for w in (*text.STOPWORDS, *suggest.COMMON))
 _TFIDF = rf"""{_CHUNKED},
-w AS (SELECT content_id, i, ws[i] AS form FROM (SELECT content_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT content_id, regexp_extract_all(text, '{_WORDRUN}') AS ws FROM contents))),
-k AS (SELECT content_id, lower(form) AS key, count(*) AS tf, min(i) AS first FROM w WHERE regexp_full_match(form, '{_FORM}') AND lower(form) NOT IN ({_STOP}) GROUP BY content_id, lower(form)),
+w AS (SELECT content_id, i, ws[i] AS form, gaps[i] AS gap, CASE WHEN i > 1 THEN ws[i - 1] ELSE '' END AS before FROM (SELECT content_id, ws, gaps, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT content_id, regexp_extract_all(text, '{_WORDRUN}') AS ws, string_split_regex(text, '{_WORDRUN}') AS gaps FROM contents))),
+k AS (SELECT content_id, lower(form) AS key, count(*) AS tf, min(i) AS first, bool_or(regexp_matches(form, '^\p{{Lu}}') AND (ends_with(gap, ', ') OR (gap = ' ' AND regexp_matches(before, '\p{{Ll}}$')))) AS proper FROM w WHERE regexp_full_match(form, '{_FORM}') AND lower(form) NOT IN ({_COMMON}) GROUP BY content_id, lower(form)),
 t AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY tf DESC, first) <= 30),
-terms AS (SELECT content_id, key, tf, ln(((SELECT count(*) FROM chunks) + 1.0::DOUBLE) / (least(coalesce(df, 0), 200) + 1)) AS idf FROM t LEFT JOIN dfs ON dfs.term = t.key)"""
+terms AS (SELECT content_id, key, tf, CASE WHEN proper THEN 1.5 ELSE 1 END AS boost, ln(((SELECT count(*) FROM chunks) + 1.0::DOUBLE) / (least(coalesce(df, 0), 200) + 1)) AS idf FROM t LEFT JOIN dfs ON dfs.term = t.key)"""
+_BIGRAMS = rf"""{_TFIDF}, pg AS (SELECT a.content_id, lower(a.form) AS x, lower(b.form) AS y, count(*) AS tf FROM w a JOIN w b ON b.content_id = a.content_id AND b.i = a.i + 1 WHERE b.gap = ' ' AND regexp_full_match(a.form, '\p{{L}}{{4,18}}') AND regexp_full_match(b.form, '\p{{L}}{{4,18}}') AND lower(a.form) <> lower(b.form) GROUP BY ALL HAVING count(*) >= 2)"""
 _ASKED = """src AS (SELECT ev.query_id, ev.rank AS n, ev.content_id, name, strftime(make_timestamp(max_id * 1000 * 1000), '%Y-%m-%d') AS modified, text, terms
     FROM ev JOIN chunks c ON c.id = ev.id JOIN pf ON pf.content_id = ev.content_id JOIN (SELECT content_id, max(file_id) AS max_id FROM fl GROUP BY content_id) x ON x.content_id = ev.content_id JOIN qt USING (query_id) WHERE place = 1 AND rank <= 6)"""
 _ANSWERED = rf"""se AS (SELECT query_id, n, terms, unnest(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '[\x01]|\n+')) AS sentence FROM src),
@@ -459,7 +461,8 @@ SQL = {
         SELECT event_type, share, value FROM s, (SELECT unnest([0.5, 0.95, 0.99]::DOUBLE[]) AS share) WHERE i = least(floor(n * share), n - 1)""",
     "recent_per_kind": f"""WITH {model.FILES_SQL}, g AS (SELECT kind, content_id, max(mtime_ms) AS m, arg_max(name, mtime_ms) AS name FROM files WHERE status = 'linked' GROUP BY kind, content_id)
         SELECT kind, content_id, row_number() OVER (PARTITION BY kind ORDER BY m DESC, content_id) AS place, name FROM g QUALIFY place <= 15""",
-    "tfidf_terms": f"WITH RECURSIVE {_TFIDF} SELECT content_id, key, tf, round(tf * idf, 6) AS score FROM terms",
+    "tfidf_terms": f"WITH RECURSIVE {_TFIDF} SELECT content_id, key, tf, round(tf * idf * boost, 6) AS score FROM terms",
+    "bigram_phrases": f"WITH RECURSIVE {_BIGRAMS} SELECT pg.content_id, x || ' ' || y AS phrase, pg.tf, round(pg.tf * (a.idf + b.idf), 6) AS score FROM pg JOIN terms a ON a.content_id = pg.content_id AND a.key = x JOIN terms b ON b.content_id = pg.content_id AND b.key = y",
     "restart_policy": """WITH r AS (SELECT user_id AS key, epoch_us(ts) AS at_us, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 18000000000 PRECEDING AND CURRENT ROW) AS recent FROM events WHERE event_type = 'error')
         SELECT key, at_us, recent, recent > 1 AS gives_up, CASE WHEN recent <= 1 THEN recent END AS wait FROM r""",
     "debounce_sessions": """WITH e AS (SELECT user_id AS key, epoch_us(ts) AS t, event_type, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 21600000000 THEN 0 ELSE 1 END AS new FROM events),
@@ -480,4 +483,4 @@ SQL = {
         SELECT query_id, sha256(answer) AS answer_sha, starts_with(trim(answer), '{ask.NO_EVIDENCE}') AS insufficient, len(list_distinct([x FOR x IN regexp_extract_all(answer, '\\[(\\d{{1,9}})\\]', 1)::INTEGER[] IF x < 1 OR x > 6])) AS n_invalid, n_sources, chars + length(chr(10) || chr(10) || 'Question: ' || b.text) AS prompt_chars
         FROM ans JOIN pr USING (query_id) JOIN benchmark b ON b.item_id = query_id JOIN gt USING (query_id) WHERE NOT abstains""",
 }
-QUERIES = {name: globals()[name] for name in SQL} | {n: globals()[n] for n in ("bm25_porter", "bigram_phrases", "suggestions")}
+QUERIES = {name: globals()[name] for name in SQL} | {n: globals()[n] for n in ("bm25_porter", "suggestions")}

@@ -86,7 +86,7 @@ def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = model.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
     openers = F.array(*map(F.lit, ("", "Hey computer, please find my ", "what is ", "Yes, show me the folder with ", "cancel", "no thanks", "which file ", "computer")))
     said = turns.select("conv_id", "turn", F.posexplode(openers).alias("opener", "lead"), "text")
-    whole = F.when(F.col("lead").isin("cancel", "no thanks", "computer"), F.col("lead")).otherwise(F.concat("lead", F.substring("text", 1, 200)))
+    whole = F.when(F.col("lead").isin("cancel", "no thanks", "computer"), F.col("lead")).otherwise(F.concat("lead", "text"))
     return said.select("conv_id", "turn", "opener", intent.classify(whole).alias("i")).select("conv_id", "turn", "opener", "i.kind", "i.query", "i.folder")
 
 
@@ -119,6 +119,58 @@ def spoken_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.sha2(text.spoken_answer(F.concat(F.lit("Inferred:  it is so [1, 2].  "), F.regexp_replace("text", r"[^A-Za-z0-9 .]", ""))), 256).alias("sha"))
 
 
+def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the path rules say of every page's path, taken as one of a drive, and of some that must be refused."""
+    path = paths.path_of(F.col("url"))
+    made = F.array(F.concat(F.lit("C:/Users/"), path), F.concat(F.lit("C:\\Windows\\"), path), F.concat(F.lit("//host/"), path), F.concat(F.lit("C:/"), path, F.lit("/../x")), F.lit("D:\\"), F.lit("C:/me/AppData/Local/x"))
+    rows = model.table(spark, sf_dir, "pages").select("page_id", F.posexplode(made).alias("form", "path"))
+    return rows.select(
+        "page_id", "form", paths.path_key(F.col("path")).alias("key"), paths.is_inside(F.col("path"), F.lit("c:/users")).alias("inside"), paths.is_safe_local(F.col("path")).alias("safe"), paths.blocked_reason(F.col("path")).alias("blocked")
+    )
+
+
+def file_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds, caps, badges, exclusion and openness of files, whose extensions go round."""
+    ext = F.get(F.array(*map(F.lit, ("txt", "md", "pdf", "docx", "py", "exe", "svelte"))), (F.col("file_id") % 7).cast("int"))
+    lead = F.get(F.array(*map(F.lit, ("", "~$", ".", "node_modules/", "x/.git/y/"))), (F.col("file_id") % 5).cast("int"))
+    kind = paths.kind_of(paths.extension(F.col("file")))
+    rows = model.files(spark, sf_dir).select("file_id", F.concat(lead, "name", F.lit("."), ext).alias("file"))
+    return rows.select("file_id", kind.alias("kind"), paths.size_cap(kind).alias("cap"), text.badge(paths.extension(F.col("file"))).alias("badge"), paths.is_excluded_path(F.col("file")).alias("excluded"), paths.is_openable(paths.extension(F.col("file"))).alias("openable"))
+
+
+def query_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns cut as queries, questions and folder requests are."""
+    cut = lambda n: F.char_length(F.left("text", F.lit(n))).alias(f"chars_{n}")
+    return model.table(spark, sf_dir, "conversations").select("conv_id", "turn", *map(cut, (text.MOST_QUERY, text.MOST_QUESTION, text.MOST_FOLDER)))
+
+
+def when_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of day of the last event's day, dates of the others."""
+    events = model.table(spark, sf_dir, "events").select("event_id", F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")).alias("ms"))
+    last = events.agg(F.max("ms").alias("last"))
+    return events.crossJoin(F.broadcast(last)).select("event_id", text.when_label(F.col("ms"), F.timestamp_millis("last")).alias("label"))  # one row
+
+
+def utf8_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written in four encodings and decoded as files are."""
+    from quern.sources import files
+
+    forms = F.array(F.encode("text", "UTF-8"), F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")), F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE")), F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE")))
+    docs = model.table(spark, sf_dir, "documents").where("text is not null and trim(text) <> ''").select("doc_id", F.lit("text").alias("kind"), F.posexplode(forms).alias("form", "content"))
+    return files.extract(docs).select("doc_id", "form", "status", F.sha2("text", 256).alias("sha"), F.size("blocks").alias("n_blocks"))
+
+
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Markdown: each line a section of its own, cut into chunks that name their section."""
+    from quern.operators import chunking
+    from quern.sources import files
+
+    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x, i: F.concat(F.lit("# Part "), i.cast("string"), F.lit("\n\n"), F.trim(x)))
+    docs = model.table(spark, sf_dir, "documents").where("text is not null and trim(text) <> '' and not contains(text, '#') and not contains(text, '`') and not contains(text, '~')")
+    read = files.extract(docs.select(F.col("doc_id").alias("content_id"), F.lit("markdown").alias("kind"), F.encode(F.array_join(lines, "\n\n"), "UTF-8").alias("content")))
+    return chunking.chunk(read).groupBy("content_id").agg(F.countDistinct("section").alias("sections"), F.min("section").alias("first_section"))
+
+
 _W = r"[\p{L}\p{N}]+"
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 CONTENTS = "contents AS (SELECT min(doc_id) AS content_id, coalesce(text, '') AS text FROM documents GROUP BY coalesce(text, ''), lang)"
@@ -159,7 +211,7 @@ SQL = {
         format('{{:,}}', size) || ' byte' || CASE WHEN size = 1 THEN '' ELSE 's' END AS count_label, strftime(make_timestamp(mtime_ms * 100000 * 1000), '%Y-%m-%d') AS day,
         '“' || CASE WHEN length(rel_path) > 12 THEN rtrim(rel_path[1:11]) || '…' ELSE rel_path END || '”' AS short_name FROM files""",
     "intent_classify": f"""WITH t AS (
-        SELECT conv_id, turn, i - 1 AS opener, CASE WHEN l IN ('cancel', 'no thanks', 'computer') THEN l ELSE l || substr(coalesce(text, ''), 1, 200) END AS raw
+        SELECT conv_id, turn, i - 1 AS opener, CASE WHEN l IN ('cancel', 'no thanks', 'computer') THEN l ELSE l || coalesce(text, '') END AS raw
         FROM (SELECT *, ls[i] AS l FROM (SELECT conv_id, turn, text, unnest(range(1, 9)) AS i, ['', 'Hey computer, please find my ', 'what is ', 'Yes, show me the folder with ', 'cancel', 'no thanks', 'which file ', 'computer'] AS ls FROM conversations))),
         s AS (SELECT *, regexp_replace({_NORM.format("raw")}, '^((hey|hi|ok|okay)\\s+)?computer\\b\\s*', '') AS said FROM t),
         r AS (SELECT *, trim(regexp_replace(regexp_replace(said, {_q(intent.AGREEMENT_PREFIX)}, ''), {_q(f"^({intent.POLITE}|computer\\s+)+")}, '')) AS r FROM s),
@@ -178,4 +230,18 @@ SQL = {
     "citation_validate": """WITH c AS (SELECT conv_id, turn, [length(text) % 9, turn % 8, 99, 99] AS c FROM conversations WHERE text IS NOT NULL)
         SELECT conv_id, turn, array_to_string(c, ',') AS cited, array_to_string([x FOR x, i IN v IF list_position(v, x) = i], ',') AS invalid FROM (SELECT *, [x FOR x IN c IF x < 1 OR x > 6] AS v FROM c)""",
 }
-QUERIES = {name: globals()[name] for name in SQL} | {"spoken_answers": spoken_answers}
+SQL |= {
+    "spoken_answers": r"""WITH s AS (SELECT conv_id, turn, string_split(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace('Inferred:  it is so [1, 2].  ' || regexp_replace(text, '[^A-Za-z0-9 .]', '', 'g'), '\s*\[\d+(?:\s*,\s*\d+)*\]', '', 'g'), '\bInferred:\s*', '', 'g'), '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)) AS parts FROM conversations WHERE text IS NOT NULL)
+        SELECT conv_id, turn, sha256(array_to_string([CASE WHEN regexp_matches(p, '^[a-z]') THEN upper(p[1]) || p[2:] ELSE p END FOR p IN parts], ' ')) AS sha FROM s""",
+    "path_rules": f"""WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), f AS (SELECT page_id, i - 1 AS form, ps[i] AS path FROM (SELECT page_id, ['C:/Users/' || path, 'C:\\Windows\\' || path, '//host/' || path, 'C:/' || path || '/../x', 'D:\\', 'C:/me/AppData/Local/x'] AS ps, unnest(range(1, 7)) AS i FROM p)),
+        k AS (SELECT *, lower(regexp_replace(regexp_replace(regexp_replace(path, '[\\\\/]+', '/', 'g'), '(/\\.)+(/|$)', '\\2', 'g'), '/+$', '')) AS key FROM f)
+        SELECT page_id, form::INTEGER AS form, key, starts_with(key, 'c:/users/') AND form <> 3 AS inside, form <> 2 AS safe, CASE WHEN regexp_matches(key, '^[a-z]:$') THEN 'drive' WHEN key = 'c:/windows' OR starts_with(key, 'c:/windows/') THEN 'system' WHEN contains(key, '/appdata/local/') THEN 'application data' END AS blocked FROM k""",
+    "file_rules": f"""WITH {model.FILES_SQL}, e AS (SELECT file_id, ['txt', 'md', 'pdf', 'docx', 'py', 'exe', 'svelte'][file_id % 7 + 1] AS ext, file_id % 5 AS lead FROM files)
+        SELECT file_id, CASE ext WHEN 'txt' THEN 'text' WHEN 'md' THEN 'markdown' WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'py' THEN 'code' WHEN 'svelte' THEN 'code' END AS kind, CASE WHEN ext = 'pdf' THEN 209715200 ELSE 52428800 END AS cap,
+            CASE ext WHEN 'docx' THEN 'DOC' WHEN 'svelte' THEN 'CODE' ELSE upper(ext) END AS badge, lead > 0 AS excluded, ext IN ('txt', 'md', 'pdf', 'docx') AS openable FROM e""",
+    "query_caps": "SELECT conv_id, turn, least(length(text), 500) AS chars_500, least(length(text), 1000) AS chars_1000, least(length(text), 200) AS chars_200 FROM conversations",
+    "when_labels": "SELECT event_id, CASE WHEN ts::DATE = (SELECT max(ts)::DATE FROM events) THEN strftime(ts, '%H:%M') ELSE strftime(ts, '%Y-%m-%d') END AS label FROM events",
+    "utf8_text": "SELECT doc_id, form::INTEGER AS form, 'ok' AS status, sha256(text) AS sha, 1 AS n_blocks FROM documents, range(4) t(form) WHERE trim(text) <> ''",
+    "markdown_sections": "SELECT doc_id AS content_id, len([x FOR x IN string_split(text, chr(10)) IF trim(x) <> '']) AS sections, 'Part 0' AS first_section FROM documents WHERE trim(text) <> '' AND NOT regexp_matches(text, '[#`~]')",
+}
+QUERIES = {name: globals()[name] for name in SQL}
