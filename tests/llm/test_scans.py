@@ -3,6 +3,7 @@
 import hashlib
 import io
 import json
+import math
 import os
 import random
 import re
@@ -16,6 +17,7 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 from quern.llm import html_extract, license_scan, secret_scan, toxicity, warc
+from quern.llm.bytewords import ALNUM, Words
 from quern.llm.common import shared_folder
 
 SF = "/root/testdata/sf0.01"
@@ -83,6 +85,41 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(p[0], want) and np.allclose(got_pairs, pairs) and np.allclose(toxicity._forward_backward(score, full, steps)[0], want)
 
 
+def plain_score(text, field):
+    """Score of one text, word by word and state by state."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    words = Words(data, np.array([0, len(data)]), ALNUM)
+    odds = [float(sum(field.weights[f] for f in row)) for row in toxicity._features(words)] if len(words.hash) else []
+    marginals = []
+    for a in range(0, len(odds), toxicity.SEQUENCE):
+        run = odds[a : a + toxicity.SEQUENCE]
+        step = [[math.exp(x) for x in row] for row in field.steps.tolist()]
+        forward, backward = [], [[1.0, 1.0]]
+        for t, s in enumerate(run):
+            psi = (1.0, math.exp(max(-30.0, min(30.0, s))))
+            forward.append([psi[y] * (1.0 if t == 0 else sum(forward[-1][x] * step[x][y] for x in (0, 1))) for y in (0, 1)])
+            forward[-1] = [v / sum(forward[-1]) for v in forward[-1]]
+        for s in run[:0:-1]:
+            psi = (1.0, math.exp(max(-30.0, min(30.0, s))))
+            last = [sum(step[x][y] * psi[y] * backward[0][y] for y in (0, 1)) for x in (0, 1)]
+            backward.insert(0, [v / sum(last) for v in last])
+        for f, b in zip(forward, backward, strict=True):
+            both = [f[y] * b[y] for y in (0, 1)]
+            marginals.append(both[1] / sum(both))
+    any_ = min(20.0, sum(-math.log1p(-min(p, 1 - 1e-6)) for p in marginals if p > toxicity.FAINT))
+    z = field.link[0] + field.link[1] * any_ + field.link[2] * max(marginals, default=0.0)
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+
+
+def test_scores_equal_a_walk_in_plain_python(spark):
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    field = toxicity.train(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.op1_toxicity(spark, small).collect()}
+    want = {r["doc_id"]: plain_score(r["text"], field) for r in docs.collect()}
+    assert set(got) == set(want) and max(abs(got[d] - want[d]) for d in want) < 1e-5
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style></head><body><header><h1>Site</h1><nav><a href=/>Home</a> <a href=/b>B</a></nav></header>
 <div class="cookie-notice"><p>We use cookies. Accept them all, please, and thank you.</p></div>
 <main><article><h1>A  title &amp; more</h1><p>First paragraph of the&nbsp;story,<br>with a <a href="/x">link</a> and &lt;tags&gt;.</p><script>var a = "<p>no</p>";</script>
@@ -211,6 +248,36 @@ def test_network_finds_secrets_that_no_pattern_knows(spark):
     assert {tuple(r)[1:] for r in secret_scan.scan(empty, net).collect()} == {(0, 0, 0, 0, "", "")} and secret_scan.train(empty) is None
 
 
+def test_network_spans_equal_a_walk_in_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    net = secret_scan.train(docs)._replace(threshold=0.2)  # low, so that there is something to compare
+    rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id < 60").collect()] + [(9000, "x " + "aB3" * 40 + " password=abc12345+/" + "Q7z" * 9)]
+    got = {r["doc_id"]: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), net).collect()}
+    total = 0
+    for d, text in rows:
+        data = text.encode()
+        points = lambda b: len(data[:b].decode())
+        taken = {i for s in filter(None, got[d]["base"].split(",")) for i in range(len(text[: int(s.split(":")[1])].encode()), len(text[: int(s.split(":")[2])].encode()))}
+        spans, at = [], 0
+        while at < len(data):
+            end = at
+            while end < len(data) and secret_scan._KEY[data[end]] and end not in taken:
+                end += 1
+            if end - at >= secret_scan.LEAST:
+                starts = [*range(at, max(at, end - secret_scan.PIECE) + 1, secret_scan.STRIDE), max(at, end - secret_scan.PIECE)]
+                windows = []
+                for a in starts:
+                    b = min(a + secret_scan.PIECE, end)
+                    piece = data[a:b].ljust(secret_scan.PIECE, b"\0")
+                    windows.append(data[max(0, a - secret_scan.BEFORE) : a].rjust(secret_scan.BEFORE, b"\0") + piece + data[b : b + secret_scan.AFTER].ljust(secret_scan.AFTER, b"\0"))
+                if secret_scan.probability(net, np.frombuffer(b"".join(windows), np.uint8).reshape(len(windows), -1)).max() >= net.threshold:
+                    spans.append(f"network:{points(at)}:{points(end)}")
+            at = max(end, at + 1)
+        assert [s for s in got[d]["spans"].split(",") if s.startswith("network")] == spans, d
+        total += len(spans)
+    assert total > 0
+
+
 def test_network_sees_whole_candidates_and_both_sides(spark):
     texts = [b"see example.com/some/long/path/with/many/parts/and/more/parts/of/it/ghp_x8Kq02LmZt7Rv5Wn3Yb1Jd6Fh4Gs end", b"abcdefghijklmnopqrst" + b"x" * 7, b"", b"q" * 97]
     data, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
