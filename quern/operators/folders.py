@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import base_name
-from quern.operators.joins import small
+from quern.operators.joins import cut, small
 
 # Words that requests for folders leave out.
 STOP = ("the", "a", "an", "my", "our", "of", "for", "with", "and", "in", "on", "to", "from", "about", "all", "some", "stuff", "things")
@@ -26,9 +26,9 @@ def match(queries: DataFrame, folders: DataFrame, k: int = 5) -> DataFrame:
     q = queries.select("query_id", stems(F.col("query")).alias("qs"))
     n = folders.select("folder", stems(base_name(F.col("folder"))).alias("ns")).distinct()
     starts = lambda c: F.array_distinct(F.transform(F.filter(c, lambda w: w != ""), lambda w: F.substring(w, 1, 1)))
-    names = n.select("folder", "ns", F.explode(starts(F.col("ns"))).alias("letter"))
+    names = cut(n.select("folder", "ns", F.explode(starts(F.col("ns"))).alias("letter")))
     # a stem that lost all its letters is a beginning of any word
-    blank = n.where(F.exists("ns", lambda w: w == ""))
+    blank = cut(n.where(F.exists("ns", lambda w: w == "")))
     asked = q.select("query_id", F.explode(F.array_distinct("qs")).alias("w"), "qs").select("query_id", "w", F.size(F.filter("qs", lambda x: x == F.col("w"))).alias("times"))
     hits = asked.withColumn("letter", F.substring("w", 1, 1)).join(small(names), "letter").select("query_id", "w", "times", "folder", "ns")
     loose = asked.join(small(blank), F.char_length("w") >= 0).select("query_id", "w", "times", "folder", "ns")

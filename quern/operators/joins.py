@@ -31,3 +31,11 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def is_there(table: DataFrame) -> bool:
+    """Whether the files of a table that cut() has written still exist."""
+    spark = table.sparkSession
+    return all(
+        (at := spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) for f in table.inputFiles()[:1]
+    )

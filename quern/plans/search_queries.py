@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import highlight, text, vectors
 from quern.functions.stemming import stems
 from quern.operators import ask, evaluate, history, index, rank, store, suggest
-from quern.operators.joins import cut, small
+from quern.operators.joins import cut, is_there, small
 from quern.plans import model
 from quern.plans.text_queries import _NAME, _STOP, CONTENTS
 
@@ -30,9 +30,9 @@ _BUILT: dict[tuple[str, str], Searched] = {}
 
 
 def searched(spark: SparkSession, sf_dir: str) -> Searched:
-    """Built once for a session and folder of tables, and read from then on."""
+    """Built once for a session and folder of tables, and read from then on, as long as it is there."""
     key = spark.sparkContext.applicationId, sf_dir
-    if key not in _BUILT:
+    if key not in _BUILT or not is_there(_BUILT[key].names.frequencies):
         chunks = cut(model.chunks(spark, sf_dir))
         files = cut(model.searched_files(spark, sf_dir).select("file_id", "content_id", "name", "rel_path", "path", "kind", "folder", "mtime_ms", "status"))
         named = files.select("file_id", text.tokenize_name(F.concat("name", F.lit(".txt"))).alias("name"), text.tokenize_path(F.col("rel_path")).alias("path"))
