@@ -188,7 +188,7 @@ def test_suggestions_vary_kinds_and_folders(spark):
     assert [r["content_id"] for r in suggest.pick_varied(made, 3)] == [2, 4, 3]
     assert [r["content_id"] for r in suggest.pick_varied(made, 5)] == [2, 4, 3, 5, 1]
     files = spark.createDataFrame([(1, 1, "Lease_Agreement.pdf", "home/lease.pdf", "pdf", "/d", 5, "linked"), (2, 2, "LICENSE", "LICENSE", "text", "/d", 6, "linked"), (3, 3, "x.txt", "recipes/x.txt", "text", "/d", 4, "linked")], "file_id long, content_id long, name string, rel_path string, kind string, folder string, mtime_ms long, status string")
-    chunks = spark.createDataFrame([(1, 0, "the landlord asks deposit deposit landlord agreement agreement agreement"), (2, 0, "warranty warranty liability"), (3, 0, "tomato basil tomato basil basilico tomato")], "content_id long, ord int, text string")
+    chunks = spark.createDataFrame([(1, 0, "the landlord asks deposit deposit landlord agreement agreement agreement"), (2, 0, "warranty warranty liability"), (3, 0, "tomato, basil, tomato, basil, basilico, tomato")], "content_id long, ord int, text string")
     freq = spark.createDataFrame([("landlord", 1)], "term string, df long")
     got = {r["content_id"]: r["query"] for r in suggest.suggestions(files, chunks, freq, 50).collect()}
     assert got == {1: "agreement about deposit and landlord", 3: "recipe about tomato and basil"}
