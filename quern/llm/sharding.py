@@ -17,7 +17,7 @@ from quern.llm.common import cut, free_name, small, table
 
 SHARDS = 40
 #: Hexadecimal digits of the hash by whose ranges the rows of a shard are numbered: 16 to this power ranges.
-SLOT_DIGITS = 3
+SLOT_DIGITS = 2
 
 
 class Leaf(NamedTuple):
