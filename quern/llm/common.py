@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: White space of the contracts: the space and U+0009 to U+000D.
@@ -34,49 +36,62 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
 
 
-#: Folders that cut() has written and nothing has removed yet.
-_WRITTEN: list[str] = []
+class Folders:
+    """What cut() writes while this is the owner. Each block of owned() has one of its own, and so does each thread."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def only(self, *frames: DataFrame) -> None:
+        """Deletes all but what frames read."""
+        files = [f for df in frames for f in df.inputFiles()] if self.paths else []
+        kept = [p for p in self.paths if any(f"/{p.rpartition('/')[2]}/" in f for f in files)]
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            if path not in kept:
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+        self.paths[:] = kept
+
+
+_OWNER: ContextVar[Folders | None] = ContextVar("owner", default=None)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder: its lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = shared_folder(spark)
+    if (own := _OWNER.get()) is not None:
+        own.paths.append(path)
     df.write.option("compression", "zstd").parquet(path)  # texts take half the disk that they would otherwise
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def removed(spark: SparkSession) -> Iterator[None]:
-    """Removes at its end what cut() wrote inside it, but what it wrote last: for steps whose only result is that."""
-    before = len(_WRITTEN)
-    yield
-    _delete(spark, _WRITTEN[before:-1])
-
-
-def _delete(spark: SparkSession, paths: list[str]) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-    _WRITTEN[:] = [p for p in _WRITTEN if p not in paths]
-
-
-#: What the last stage of a pipeline wrote while it was called.
-_STAGE: list[str] = []
-
-
-def stage(step: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage of a pipeline, whose rows are written before the next one is called: that one removes what this one wrote besides."""
+def owned(spark: SparkSession) -> Iterator[Folders]:
+    """The owner of what cut() writes in the block. After an error all of it goes; else what only() has left stays, with the block around this as its owner, if there is one."""
+    own, outer = Folders(spark), _OWNER.get()
+    token = _OWNER.set(own)
+    try:
+        yield own
+    except BaseException:
+        own.only()
+        raise
+    finally:
+        _OWNER.reset(token)
+        if outer is not None:
+            outer.paths += own.paths
+
+
+def tidy(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A step (spark, ...) after which only those folders are left that its result reads: these stay for as long as somebody may read it."""
 
     @wraps(step)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _delete(spark, _STAGE)
-        before = set(_WRITTEN)
-        out = step(spark, docs, sf_dir)
-        _STAGE[:] = [p for p in _WRITTEN if p not in before]
-        return out
+    def run(spark: SparkSession, *args) -> DataFrame:
+        with owned(spark) as own:
+            out = step(spark, *args)
+            own.only(out)
+            return out
 
     return run
 
@@ -89,6 +104,25 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def whole_row(names: list[str]) -> Column:
+    """These columns as one struct, to go through Python and be taken apart by parts()."""
+    return F.struct(*map(column, names))
+
+
+def parts(names: list[str], whole: str = "whole") -> list[Column]:
+    return [F.col(whole).getField(c).alias(c) for c in names]
+
+
+def fields(df: DataFrame, names: list[str], more: str) -> T.StructType:
+    """The schema of columns of df and then those of `more`, in DDL."""
+    return T.StructType([df.schema[c] for c in names] + T.StructType.fromDDL(more).fields)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with as many "_" behind it as it takes to be no column of df."""
     taken = {c.lower() for c in df.columns}

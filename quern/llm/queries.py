@@ -16,6 +16,9 @@ MODULES = {
     "op8_license_scan": "license_scan",
     "op9_exact_dedup": "exact_dedup",
     "op10_ngram_jaccard_join": "jaccard_join",
+    "op11_hard_negatives": "hard_negatives",
+    "op12_url_filter": "url_filter",
+    "op13_fill_in_middle": "fill_in_middle",
 }
 
 
