@@ -57,12 +57,17 @@ class Folders:
 _OWNER: ContextVar[Folders | None] = ContextVar("owner", default=None)
 
 
+def hold(path: str) -> str:
+    """path, which now belongs to the owner."""
+    if (own := _OWNER.get()) is not None:
+        own.paths.append(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder: its lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = shared_folder(spark)
-    if (own := _OWNER.get()) is not None:
-        own.paths.append(path)
+    path = hold(shared_folder(spark))
     df.write.option("compression", "zstd").parquet(path)  # texts take half the disk that they would otherwise
     return spark.read.schema(df.schema).parquet(path)
 

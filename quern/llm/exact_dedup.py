@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import ascii_lower, cut, spread_join, table
+from quern.llm.common import ascii_lower, column, cut, spread_join, table, tidy
 
 LEAST, MOST = 512, 4096
 #: Bits of SHA-256 that name a chunk.
@@ -52,7 +52,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null counts as empty; empty texts are equal. Null ids are smaller than any other; rows that repeat the kept
     id are all kept. An empty table gives no rows; other columns are not looked at.
     """
-    rows = docs.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    rows = docs.select(column(id_col).alias("id"), ascii_lower(F.coalesce(column(text_col), F.lit(""))).alias("text"))
     pieces = cut(rows.select("id", F.monotonically_increasing_id().alias("row"), chunks(F.col("text")).alias("chunks"), F.sha2("text", 256).alias("text_sha256")))
     listed = cut(recipes(pieces, bits).withColumn("key", F.xxhash64("recipe")))
     groups = cut(listed.groupBy("key", "recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))
@@ -63,7 +63,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+@tidy
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """exact_dedup() of all documents; the cases are those of exact_dedup()."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import free_name, table
+from quern.llm.common import column, fields, free_name, parts, table
 
 #: Pages that the classifier is trained on, of those of at most TRAIN_CHARS characters the ones with the least hashes.
 TRAIN_PAGES, TRAIN_CHARS = 600, 1 << 16
@@ -389,7 +389,7 @@ def _extracted(batches: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[p
 
 def train(pages: DataFrame, html_col: str = "html") -> Weights:
     """Weights from at most TRAIN_PAGES pages, none of more than TRAIN_CHARS characters: 40 MB at most, and executors send little more."""
-    rows = pages.select(F.col(html_col).alias("html")).where(F.char_length("html").between(1, TRAIN_CHARS)).withColumn("h", F.xxhash64("html"))
+    rows = pages.select(column(html_col).alias("html")).where(F.char_length("html").between(1, TRAIN_CHARS)).withColumn("h", F.xxhash64("html"))
     share = min(1.0, 2 * TRAIN_PAGES / max(rows.count(), 1))  # twice as many as are taken: fewer are as good as never found
     few = rows.where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20)).orderBy("h", "html").limit(TRAIN_PAGES)
     return fit([r["html"] for r in few.select("html").collect()])
@@ -403,9 +403,11 @@ def extract(pages: DataFrame, weights: Weights, html_col: str = "html") -> DataF
     pages take time in proportion to their length. If pages has a column main_text, the new one gets "_" behind its name.
     """
     held = pages.sparkSession.sparkContext.broadcast(weights)
-    rows = pages.select(F.struct(*(c for c in pages.columns if c != html_col)).alias("row"), F.col(html_col).alias("html"))
-    found = rows.mapInArrow(partial(_extracted, held=held), f"row {rows.schema['row'].dataType.simpleString()}, text string")
-    return found.select("row.*", F.col("text").alias(free_name(pages, "main_text")))
+    kept = [c for c in pages.columns if c != html_col]
+    number = F.lit(0).alias(free_name(pages, "__none"))  # a row has one column at least
+    rows = pages.select(F.struct(*map(column, kept), number).alias("row"), column(html_col).alias("html"))
+    found = rows.mapInArrow(partial(_extracted, held=held), fields(rows, ["row"], "text string"))
+    return found.select(*parts(kept, "row"), F.col("text").alias(free_name(pages, "main_text")))
 
 
 def op2_html_text(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bytewords import NOT_SPACE, Words, mix, slices, sums
-from quern.llm.common import HOT_SHARE, cut, free_name, small, spread_join
+from quern.llm.common import HOT_SHARE, column, cut, fields, free_name, small, spread_join, tidy
 from quern.llm.graph import components
 
 SHELL, REGION, LEVELS, PIVOTS, COPIES = 2.0, 256, 2, 12, 1.6
@@ -386,8 +386,7 @@ def _regions_joined(batches: Iterator[pa.RecordBatch], num: int) -> Iterator[pa.
 
 def _grouped(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """(row, id, n, component, group_size, keep) of rows (row, id, text); keep: the row of its component that comes first by id."""
-    kind = rows.schema["id"].dataType.simpleString()
-    names = cut(rows.mapInArrow(partial(_names, k=words), f"row long, id {kind}, n long, n1 long, n2 long, classes binary"))
+    names = cut(rows.mapInArrow(partial(_names, k=words), fields(rows, ["row", "id"], "n long, n1 long, n2 long, classes binary")))
     full = names.where("n > 0").select("row", "id", "n", "n1", "n2")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row")))
     nodes = cut(full.groupBy("n1", "n2").agg(first.alias("first"), F.count("*").alias("copies")))
@@ -412,7 +411,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeated rows included, are one node. A null id is never a component_id unless all of a component are null.
     Other columns are not looked at. An empty table gives no rows. A text of any length is one set.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), column(id_col).alias("id"), column(text_col).alias("text"))
     found = _grouped(rows, words, percent)
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "group_size")
 
@@ -494,10 +493,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """
     name = free_name(docs, "row")
     held = cut(docs.withColumn(name, F.monotonically_increasing_id()))
-    found = _grouped(held.select(F.col(name).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), words, percent)
+    found = _grouped(held.select(F.col(name).alias("row"), column(id_col).alias("id"), column(text_col).alias("text")), words, percent)
     gone = cut(found.where("row <> keep").select(F.col("row").alias(name)))
-    return held.join(small(gone), name, "left_anti").select(*docs.columns)
+    return held.join(small(gone), name, "left_anti").select(*map(column, docs.columns))
 
 
+@tidy
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """jaccard_join() of all documents, three words and nine tenths; the cases are those of jaccard_join()."""
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, table
+from quern.llm.common import column, cut, small, table, tidy
 
 # Names of licenses by SPDX identifier, and short license texts.
 NAMES = {
@@ -164,10 +164,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licens
     spark = docs.sparkSession
     licenses = cut(known(spark) if licenses is None else licenses)
     longest = licenses.agg(F.max("length")).first()[0] or 0  # no longer line can match
-    form = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("form"))
+    form = docs.select(column(id_col).alias("id"), canonical(column(text_col)).alias("form"))
     lines = F.filter(F.transform(F.split("form", "\n"), lambda x: F.trim(x)), lambda x: (F.char_length(x) > 0) & (F.char_length(x) <= longest))
     listed = cut(form.select(F.monotonically_increasing_id().alias("row"), "id", F.sha2(whole(F.col("form")), 256).alias("text_digest"), F.transform(lines, lambda x: F.sha2(x, 256)).alias("lines")))
-    table_ = F.broadcast(licenses.select("digest", "license"))
+    table_ = small(licenses.select("digest", "license"))
     hits = listed.select("row", F.explode("lines").alias("digest")).join(table_, "digest").groupBy("row").agg(F.array_sort(F.collect_set("license")).alias("line_licenses"), F.count("*").alias("n_license_lines"))
     return (
         listed.join(table_.withColumnRenamed("digest", "text_digest"), "text_digest", "left").join(hits, "row", "left")
@@ -175,7 +175,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licens
     )
 
 
+@tidy
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:
+    """scan() of all documents for the known licenses; the cases are those of scan()."""
     return scan(table(spark, sf_dir, "documents"))
 
 

@@ -6,27 +6,37 @@ TILT-th power of its size, up to one, such that the expected words are those lef
 scraps. Documents are ranked by the odds of a uniform number, drawn from id and text, over their inclusion odds. The sample,
 of a fixed size in words, is filled down that ranking: a document that doesn't fit into what is left is passed over.
 
-The ranking is never sorted in one place: ranks fall into BUCKETS ranges, whose word counts are summed up
-before the shuffle, and only ranges of some NEAR words around the places where a budget ends are filled document by
-document. The result is a short list of runs for each source: in a run all documents of at most so many words are taken.
+The ranking is never sorted in one place. A rank is RANK_BITS bits, behind which a number of the row parts equal ranks; places are read digit by digit:
+word counts by the next digit are summed up before the shuffle, and only the digit in which a budget ends is looked into further, until it
+holds NEAR words at most. These are filled document by document, whatever the size of the corpus and however many rows are alike.
+The result is a short list of runs for each source: in a run all documents of at most so many words are taken.
 Runs decide about documents in one narrow pass, in which no text moves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import WORD, cut, free_name, small, table
+from quern.llm.common import BROADCAST_ROWS, WORD, column, cut, free_name, parts, small, table, tidy, whole_row
 
+#: Values of a digit, and the words that are filled document by document.
 BUCKETS, NEAR = 1 << 14, 1 << 16
+RANK_BITS = 52
+#: What stands behind each digit: four of the rank, then five of the row's number.
+SHIFTS = (38, 24, 10, 0, 49, 35, 21, 7, 0)
+OF_RANK = 4
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
 #: Power of its size that a document's inclusion probability goes with.
 TILT = 0.5
 #: A place in the ranking. Runs end before a place; their limit is in words.
-PLACE = "struct<bucket:int,rank:double,row:long>"
+PLACE = "struct<rank:long,row:long>"
 RUNS = f"array<struct<most:long,stop:{PLACE}>>"
+#: Behind all places.
+LAST = 1 << 62
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -56,9 +66,9 @@ def uniform(key: Column, seed: str) -> Column:
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
     """docs with id, source, size, u and row, which are named in `__mix`, a struct."""
-    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    drawn = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    return docs.withColumn(free_name(docs, "__mix"), F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), uniform(drawn, seed).alias("u"), F.monotonically_increasing_id().alias("row")))
+    size = F.coalesce(F.regexp_count(column(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    drawn = F.concat_ws(":", F.coalesce(column(id_col).cast("string"), F.lit("null")), F.md5(F.coalesce(column(text_col), F.lit("")).cast("binary")))
+    return docs.withColumn(free_name(docs, "__mix"), F.struct(column(id_col).alias("id"), column(source_col).alias("source"), size.alias("size"), uniform(drawn, seed).alias("u"), F.monotonically_increasing_id().alias("row")))
 
 
 def _levels(base: DataFrame, sources: DataFrame) -> DataFrame:
@@ -79,43 +89,83 @@ def _levels(base: DataFrame, sources: DataFrame) -> DataFrame:
 def _ranked(base: DataFrame, sources: DataFrame) -> DataFrame:
     """base with the columns of its source and its place in the ranking, null for what can't be drawn."""
     p = F.least(F.lit(1.0), F.coalesce(F.col("level") * F.pow(F.col("size").cast("double"), F.lit(TILT)), F.lit(1.0)))
-    rank = F.when(p >= 1, 0.0).otherwise(F.col("u") / (1 - F.col("u")) / (p / (1 - p)))
-    both = _of_source(base, sources).withColumn("rank", F.when((F.col("size") > 0) & (F.col("size") <= F.col("budget")), rank))
-    return both.withColumn("place", F.when(F.col("rank").isNotNull(), F.struct(F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int").alias("bucket"), "rank", "row")))
+    odds = F.when(p >= 1, 0.0).otherwise(F.col("u") / (1 - F.col("u")) / (p / (1 - p)))
+    rank = F.floor(odds / (1 + odds) * float(1 << RANK_BITS))
+    both = _of_source(base, sources)
+    return both.withColumn("place", F.when((F.col("size") > 0) & (F.col("size") <= F.col("budget")), F.struct(rank.cast("long").alias("rank"), "row")))
+
+
+def _place(rank: Column, row: Column) -> Column:
+    return F.struct(rank.cast("long").alias("rank"), row.cast("long").alias("row"))
+
+
+def _digit(place: Column) -> Column:
+    """Which value of its next digit, from the source's place `at` on, a place has; BUCKETS is what lies beyond the last."""
+    at, digit = F.col("at"), F.col("digit")
+    of = lambda x, first, last: F.coalesce(*(F.when(digit == i, F.shiftright(x, SHIFTS[i])) for i in range(first, last)))
+    rank, row = of(place["rank"] - at["rank"], 0, OF_RANK), of(place["row"] - at["row"], OF_RANK, len(SHIFTS))
+    return F.least(F.lit(BUCKETS).cast("long"), F.when(digit < OF_RANK, rank).when(place["rank"] == at["rank"], row).otherwise(BUCKETS))
 
 
-def _place(bucket: Column) -> Column:
-    return F.struct(bucket.cast("int").alias("bucket"), F.lit(-1.0).alias("rank"), F.lit(-1).cast("long").alias("row"))
+def _start(bucket: Column) -> Column:
+    """The first place of a value of the next digit."""
+    at, digit = F.col("at"), F.col("digit")
+    width = F.coalesce(*(F.when(digit == i, F.lit(1 << shift).cast("long")) for i, shift in enumerate(SHIFTS)))
+    return F.when(bucket == 0, at).when(digit < OF_RANK, _place(at["rank"] + bucket * width, F.lit(0))).otherwise(_place(at["rank"], at["row"] + bucket * width))
 
 
 def _runs(ranked: DataFrame, sources: DataFrame) -> DataFrame:
-    """(s, runs) of each source. Each round goes on from where the last one stopped, until all that is left of a source fits."""
-    state, done = cut(sources.select("s", F.col("budget").alias("gap"), _place(F.lit(0)).alias("at"), F.array().cast(RUNS).alias("runs"))), None
+    """(s, runs) of each source. A round counts words by the next digit of each source's place, and moves the place to where its budget ends.
+
+    There the digit is looked into (narrow), or is filled if it holds few words or no further digit is left; sources whose rest fits are done.
+    """
+    hint = F.broadcast if sources.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df
+    first = _place(F.lit(0), F.lit(0))
+    state, done = cut(sources.select("s", F.col("budget").alias("gap"), first.alias("at"), F.lit(0).alias("digit"), F.array().cast(RUNS).alias("runs"))), []
+    drawn = ranked.where("place is not null").select("source", "size", "place")
+
+    def run(most: Column, stop: Column) -> Column:
+        return F.concat("runs", F.array(F.struct(most.cast("long").alias("most"), stop.alias("stop"))))
+
     while True:
-        open_ = _of_source(ranked.where("place is not null").select("source", "size", "place"), state.select("s", "gap", "at")).where("size <= gap and place >= at")
-        words = cut(open_.groupBy("source", F.col("place.bucket").alias("bucket")).agg(F.sum("size").alias("words"), F.first("gap").alias("gap")))
-        upto = words.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")))
-        ends = upto.where("upto > gap").groupBy("source").agg(F.min_by(F.struct("bucket", "words", "upto"), "bucket").alias("end"))
-        ends = cut(ends.select(F.col("source").alias("s"), F.col("end.bucket").alias("first"), (F.col("end.upto") - F.col("end.words")).alias("before"), F.col("end.upto").alias("reached")))
-        final = state.join(small(ends.select("s")), state["s"].eqNullSafe(ends["s"]), "left_anti")
-        final = final.select("s", F.concat("runs", F.array(F.struct(F.col("gap").alias("most"), _place(F.lit(BUCKETS + 1)).alias("stop")))).alias("runs"))
-        done = cut(final if done is None else done.unionByName(final))
-        if ends.isEmpty():
-            return done
-        near = _of_source(upto, ends).where(f"bucket >= first and (bucket = first or upto - reached <= {NEAR})").groupBy(F.col("source").alias("s")).agg(F.max("bucket").alias("last"), F.first("first").alias("first"), F.first("before").alias("before"))
-        near = cut(near)
-        close = _of_source(open_, near).where("place.bucket between first and last").groupBy(F.col("source").alias("t")).agg(F.sort_array(F.collect_list(F.struct("place", "size"))).alias("close"), F.first("last").alias("last"), F.first("before").alias("before"))
-        both = state.join(small(cut(close)), state["s"].eqNullSafe(F.col("t")))
-        begin = F.struct(F.col("gap").alias("most"), (F.col("gap") - F.col("before")).cast("long").alias("left"), F.col("runs"))
-
-        def filled(a: Column, x: Column) -> Column:
-            passed = F.struct(a["left"].alias("most"), a["left"].alias("left"), F.concat(a["runs"], F.array(F.struct(a["most"].alias("most"), x["place"].alias("stop")))).alias("runs"))
-            fits = F.struct(a["most"].alias("most"), (a["left"] - x["size"]).alias("left"), a["runs"].alias("runs"))
-            return F.when(x["size"] <= a["left"], fits).when(x["size"] <= a["most"], passed).otherwise(a)
-
-        folded = both.select("s", "last", F.aggregate("close", begin, filled).alias("f"))
-        stop = F.array(F.struct(F.col("f.most").alias("most"), _place(F.col("last") + 1).alias("stop")))
-        state = cut(folded.select("s", F.col("f.left").alias("gap"), _place(F.col("last") + 1).alias("at"), F.concat("f.runs", stop).alias("runs")))
+        open_ = drawn.join(hint(state.select("s", "gap", "at", "digit")), F.col("source").eqNullSafe(F.col("s"))).where("size <= gap and place >= at")
+        words = cut(open_.groupBy("s", _digit(F.col("place")).alias("bucket")).agg(F.sum("size").alias("words")))
+        upto = words.join(hint(state), words["s"].eqNullSafe(state["s"])).select(words["s"], "bucket", "words", "gap", "digit", F.sum("words").over(Window.partitionBy(words["s"]).orderBy("bucket")).alias("upto"))
+        ends = upto.where("upto > gap").groupBy("s").agg(F.min_by(F.struct("bucket", "words", "upto"), "bucket").alias("end")).withColumnRenamed("s", "t")
+        near = upto.join(hint(ends), F.col("s").eqNullSafe(F.col("t"))).where((F.col("bucket") >= F.col("end.bucket")) & ((F.col("bucket") == F.col("end.bucket")) | (F.col("upto") - F.col("end.upto") <= NEAR)) & (F.col("bucket") < BUCKETS))
+        last = near.groupBy("t", "end").agg(F.max("bucket").alias("last"))
+        both = state.join(hint(ends.join(last.select(F.col("t").alias("l"), "last"), F.col("t").eqNullSafe(F.col("l")), "left").drop("l")), F.col("s").eqNullSafe(F.col("t")), "left")
+        few = (F.col("end.words") <= NEAR) | (F.col("digit") == len(SHIFTS) - 1)
+        step = F.when(F.col("end").isNull(), "done").when(F.col("end.bucket") == BUCKETS, "beyond").when(few, "fill").otherwise("narrow")
+        chosen = cut(both.select("s", "gap", "at", "digit", "runs", F.col("end.bucket").alias("first"), (F.col("end.upto") - F.col("end.words")).alias("before"), "last", step.alias("step")))
+        steps = {r[0] for r in chosen.select("step").distinct().collect()}
+        done.append(chosen.where("step = 'done'").select("s", run(F.col("gap"), _place(F.lit(LAST), F.lit(0))).alias("runs")))
+        if steps <= {"done"}:
+            break
+        stop = _start(F.col("first"))
+        went = chosen.where("step in ('narrow', 'beyond')").select("s", (F.col("gap") - F.col("before")).alias("gap"), stop.alias("at"), F.when(F.col("step") == "narrow", F.col("digit") + 1).otherwise(0).alias("digit"), run(F.col("gap"), stop).alias("runs"))
+        state = cut(went.unionByName(_filled(drawn, chosen.where("step = 'fill'"), hint)) if "fill" in steps else went)
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return cut(out)
+
+
+def _filled(drawn: DataFrame, chosen: DataFrame, hint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The state behind the digits first to last, whose documents are filled in one by one."""
+    held = chosen.withColumns({"begin": _start(F.col("first")), "stop": _start(F.col("last") + 1)})
+    inside = drawn.join(hint(held.select(F.col("s").alias("t"), F.col("gap").alias("least"), "begin", "stop")), F.col("source").eqNullSafe(F.col("t"))).where("size <= least and place >= begin and place < stop")
+    close = inside.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("place", "size"))).alias("close"))  # some NEAR words
+    begin = F.struct(F.col("gap").cast("long").alias("most"), (F.col("gap") - F.col("before")).cast("long").alias("left"), F.col("runs"))
+
+    def filled(a: Column, x: Column) -> Column:
+        passed = F.struct(a["left"].alias("most"), a["left"].alias("left"), F.concat(a["runs"], F.array(F.struct(a["most"].alias("most"), x["place"].alias("stop")))).alias("runs"))
+        fits = F.struct(a["most"].alias("most"), (a["left"] - x["size"]).alias("left"), a["runs"].alias("runs"))
+        return F.when(x["size"] <= a["left"], fits).when(x["size"] <= a["most"], passed).otherwise(a)
+
+    folded = held.join(hint(close), F.col("s").eqNullSafe(F.col("t"))).select("s", "stop", F.aggregate("close", begin, filled).alias("f"))
+    runs = F.concat("f.runs", F.array(F.struct(F.col("f.most").alias("most"), F.col("stop").alias("stop"))))
+    return folded.select("s", F.col("f.left").alias("gap"), F.col("stop").alias("at"), F.lit(0).alias("digit"), runs.alias("runs"))
 
 
 def _decided(base: DataFrame) -> DataFrame:
@@ -156,12 +206,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are written once, with their sizes, and read once more; they are never shuffled. Columns may have any names.
     """
     held = cut(_sized(docs, id_col, text_col, source_col, seed))
-    base = held.select(f"{held.columns[-1]}.*", F.struct(*docs.columns).alias("whole"))
+    base = held.select(f"{held.columns[-1]}.*", whole_row(docs.columns).alias("whole"))
     # only the narrow passes that need whole rows read them
-    return _decided(base).select(F.explode(F.array_repeat("whole", F.col("copies").cast("int"))).alias("whole")).select("whole.*")
+    return _decided(base).select(F.explode(F.array_repeat("whole", F.col("copies").cast("int"))).alias("whole")).select(*parts(docs.columns))
 
 
+@tidy
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
+    """mix() of all documents; the cases are those of mix()."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -188,8 +240,8 @@ v AS (
                          / sum(sqrt(size::DOUBLE) * size * n) OVER (PARTITION BY source ORDER BY size ROWS UNBOUNDED PRECEDING) AS level FROM h),
 c AS (SELECT source, arg_max(level, size) AS level FROM v WHERE level * sqrt(size::DOUBLE) <= 1 GROUP BY source),
 k AS (
-    SELECT *, CASE WHEN NOT drawn THEN NULL WHEN p >= 1 THEN 0 ELSE u / (1 - u) / (p / (1 - p)) END AS rank
-    FROM (SELECT j.*, least(1, coalesce(level * sqrt(size::DOUBLE), 1)) AS p FROM j LEFT JOIN c ON j.source IS NOT DISTINCT FROM c.source)),
+    SELECT *, floor(odds / (1 + odds) * 4503599627370496.0) AS rank
+    FROM (SELECT *, CASE WHEN NOT drawn THEN NULL WHEN p >= 1 THEN 0.0::DOUBLE ELSE u / (1 - u) / (p / (1 - p)) END AS odds FROM (SELECT j.*, least(1, coalesce(level * sqrt(size::DOUBLE), 1)) AS p FROM j LEFT JOIN c ON j.source IS NOT DISTINCT FROM c.source))),
 f AS (
     SELECT list_reduce(list({'size': size, 'rid': rid, 'picked': NULL::BIGINT[]} ORDER BY rank, rid),
                        lambda a, x: CASE WHEN x.size <= a.size THEN {'size': a.size - x.size, 'rid': a.rid, 'picked': list_append(a.picked, x.rid)} ELSE a END,

@@ -13,7 +13,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, free_name, small, table
+from quern.llm.common import column, cut, free_name, small, table, tidy
 
 SHARDS = 40
 #: Hexadecimal digits of the hash by whose ranges the rows of a shard are numbered: 16 to this power ranges.
@@ -68,7 +68,7 @@ def shard_of(key: Column, leaves: list[Leaf]) -> Column:
 
 
 def _key(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    return F.coalesce(column(id_col).cast("string"), F.lit("null"))
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
@@ -78,8 +78,8 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     texts have 16 bytes and the checksum 0. Slots number each shard's rows from 0 without gaps, by ranges of a hash
     of id and checksum and then by id, checksum and size: the same in every run. No rows give no rows.
     """
-    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    sized = docs.select(F.col(id_col).alias("id"), _key(id_col).alias("key"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("crc"))
+    text = F.encode(F.coalesce(column(text_col), F.lit("")), "UTF-8")
+    sized = docs.select(column(id_col).alias("id"), _key(id_col).alias("key"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("crc"))
     placed = cut(sized.select(
         "id", "size", "crc", shard_of(F.col("key"), tree(shards)).alias("shard"), shard_of(F.col("key"), tree(shards + 1)).alias("grown"),
         F.substring(F.md5(F.concat_ws(":", "key", F.col("crc").cast("string"))), 1, SLOT_DIGITS).alias("range"),
@@ -101,6 +101,7 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", shards: int = SHARDS) -> Da
     return docs.withColumn(free_name(docs, "shard"), shard_of(_key(id_col), tree(shards)))
 
 
+@tidy
 def op5_hash_tree_shards(spark, sf_dir: str) -> DataFrame:
     """shard() of all documents, law `key`; the cases are those of shard()."""
     rows = shard(table(spark, sf_dir, "documents"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.bytewords import ALNUM, Words, mix, slices
-from quern.llm.common import cut, free_name, table
+from quern.llm.common import column, cut, fields, free_name, parts, table, tidy, whole_row
 
 #: Training rows of each label, those with the least hashes, and about how many of their runs with a cue are learnt from.
 TRAIN_ROWS, TRAIN_RUNS = 1200, 8000
@@ -319,14 +319,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Executors read the texts; the driver gets counts, cues, and the features of the chosen runs. Of rows of one id one is taken.
     Documents without any of one label give a field whose scores are all near 0.
     """
-    marked = labels.where(~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__toxic"))
-    marked = cut(marked.join(docs.select(F.col(id_col).alias("__id")), "__id", "left_semi"))
+    marked = labels.where(~held_out(column(id_col)) & column(label_col).isin(0, 1)).select(column(id_col).alias("__id"), column(label_col).cast("int").alias("__toxic"))
+    marked = cut(marked.join(docs.select(column(id_col).alias("__id")), "__id", "left_semi"))
     picks = None
     for y in (0, 1):
         part = marked.where(F.col("__toxic") == y).orderBy(F.xxhash64("__id"), "__id").limit(TRAIN_ROWS)
         picks = part if picks is None else picks.unionByName(part)
     picks = cut(picks)
-    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picks), "__id")
+    rows = docs.select(column(id_col).alias("__id"), F.coalesce(column(text_col), F.lit("")).alias("text")).join(F.broadcast(picks), "__id")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     first = rows.groupBy("__id", "__toxic").agg(F.min(F.struct(F.octet_length("text"), F.xxhash64("text"), "row")).getField("row").alias("row"))
     sample = rows.join(F.broadcast(first.select("row")), "row").select(F.xxhash64("__id", "__toxic").alias("key"), F.col("__toxic").alias("toxic"), "text")
@@ -342,11 +342,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _scored(docs: DataFrame, field: Field, text_col: str) -> DataFrame:
-    """(whole, score, spans): each whole row with its score and spans."""
+    """(row, score, spans): each whole row with its score and spans."""
     held = docs.sparkSession.sparkContext.broadcast(field)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(partial(_score, held=held), f"row {kind}, score double, spans string").withColumnRenamed("row", "whole")
+    rows = docs.select(whole_row(docs.columns).alias("row"), column(text_col).alias("text"))
+    return rows.mapInArrow(partial(_score, held=held), fields(rows, ["row"], "score double, spans string"))
 
 
 def score(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
@@ -357,9 +356,10 @@ def score(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
     already, the new one gets "_" behind its name.
     """
     found = _scored(docs, field, text_col)
-    return found.select("whole.*", F.col("score").alias(free_name(docs, "toxic_score")), F.col("spans").alias(free_name(docs, "toxic_spans")))
+    return found.select(*parts(docs.columns, "row"), F.col("score").alias(free_name(docs, "toxic_score")), F.col("spans").alias(free_name(docs, "toxic_spans")))
 
 
+@tidy
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents by a field trained on those that aren't held out; the cases are those of score()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -374,4 +374,4 @@ def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     Null and empty texts stay; repeated rows stay or go together; an empty table gives no rows. Without labels of
     both kinds all stay. Columns may have any names.
     """
-    return _scored(docs, train(docs, labels, id_col, text_col), text_col).where("score < 0.5").select("whole.*")
+    return _scored(docs, train(docs, labels, id_col, text_col), text_col).where(F.col("score") < 0.5).select(*parts(docs.columns, "row"))

@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, shared_folder, small, table
+from quern.llm.common import column, cut, hold, shared_folder, small, table, tidy
 
 #: Bytes of blocks after which an archive is closed; one record may be longer.
 ROLL = 64 << 20
@@ -187,8 +187,8 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def planned(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, html, digest, record_type, refers_to). Pages themselves aren't shuffled unless very many payloads repeat."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
+    html = F.coalesce(column(html_col), F.lit(""))
+    rows = pages.select(column(id_col).alias("page_id"), column(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     several = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(small(cut(several)), "digest", "left").select(
@@ -223,13 +223,14 @@ def read(archives: DataFrame, folder: str) -> DataFrame:
     return archives.repartition(max(1, archives.count())).mapInArrow(partial(_read, folder=folder), ", ".join(f"{n} {kinds[t]}" for n, t in READ_AS))
 
 
+@tidy
 def op7_warc(spark, sf_dir: str) -> DataFrame:
-    """write() of all pages and read() of the archives; the cases are those of write()."""
+    """write() of all pages and read() of the archives, which are removed then; the cases are those of write()."""
     pages = table(spark, sf_dir, "pages")
-    kind = pages.schema["page_id"].dataType.simpleString()
-    folder = shared_folder(spark)
+    kind = pages.schema["page_id"].dataType
+    folder = hold(shared_folder(spark))
     found = read(write(pages, folder), folder)
-    return found.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return cut(found.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")))
 
 
 SQL = """

@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyarrow import fs
 from pyspark.sql import functions as F
 
@@ -240,7 +241,7 @@ def test_network_finds_secrets_that_no_pattern_knows(spark):
     spans = {i: [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s.startswith("network")] for i, r in found.items()}
     hit = sum(any(a < at + n and b > at for a, b in spans[i]) for i, (at, n) in planted.items())
     other = sum(not (a < planted[i][0] + planted[i][1] and b > planted[i][0]) for i, own in spans.items() for a, b in own)
-    assert hit >= 0.9 * len(rows) and other <= 0.05 * len(rows), (hit, other)
+    assert hit >= 0.9 * len(rows) and other <= 1, (hit, other)
     exact = {r["doc_id"]: r["spans"] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), None).collect()}
     assert all(set(filter(None, exact[i].split(","))) <= set(r["spans"].split(",")) and r["base"] == exact[i] for i, r in found.items())
     assert secret_scan.train(docs.limit(0)) is None
@@ -250,7 +251,7 @@ def test_network_finds_secrets_that_no_pattern_knows(spark):
 
 def test_network_spans_equal_a_walk_in_plain_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    net = secret_scan.train(docs)._replace(threshold=0.2)  # low, so that there is something to compare
+    net = secret_scan.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))._replace(threshold=0.2)  # low, so that there is something to compare
     rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id < 60").collect()] + [(9000, "x " + "aB3" * 40 + " password=abc12345+/" + "Q7z" * 9)]
     got = {r["doc_id"]: r for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), net).collect()}
     total = 0
@@ -297,10 +298,31 @@ def test_network_sees_whole_candidates_and_both_sides(spark):
     assert [v.tolist() for v in secret_scan._runs(secret_scan._KEY[short], np.array([0, len(short)]), secret_scan.LEAST)] == [[11], [19]]
     rng = np.random.default_rng(3)
     x = rng.integers(97, 123, (3000, secret_scan.BEFORE + secret_scan.PIECE + secret_scan.AFTER)).astype(np.uint8)
-    y = np.arange(3000) % 3 == 0
-    x[y, secret_scan.BEFORE : secret_scan.BEFORE + secret_scan.PIECE] = np.frombuffer(b"Q7z0", np.uint8)[rng.integers(0, 4, (1000, secret_scan.PIECE))]
-    assert ((secret_scan.probability(secret_scan.fit(x, y), x) > 0.5) == y).mean() > 0.95
-    assert secret_scan.fit(x, np.zeros(3000, bool)) is None
+    found = x[:1000].copy()
+    found[:, secret_scan.BEFORE : secret_scan.BEFORE + secret_scan.PIECE] = np.frombuffer(b"Q7z0", np.uint8)[rng.integers(0, 4, (1000, secret_scan.PIECE))]
+    net = secret_scan.fit(found, (x[1000:], x[:0]), (2000, 0))
+    assert (secret_scan.probability(net, found) >= net.threshold).mean() > 0.95 and (secret_scan.probability(net, x) < net.threshold).mean() > 0.995
+    assert secret_scan.fit(found[: secret_scan.LEAST_ROWS - 1], (x, x[:0]), (3000, 0)) is None and secret_scan.fit(found, (x[:0], x[:0]), (0, 0)) is None
+
+
+def test_thresholds_hold_both_conditions_or_there_is_none():
+    rng = np.random.default_rng(7)
+    hits, words, other = rng.random(500) * 0.5 + 0.5, rng.random(60_000) * 0.45, rng.random(900) * 0.48
+    at = secret_scan.chosen(hits, [words, other], (10**7, 900 * 180))
+    assert (hits >= at).mean() >= 0.97 - 1e-9 and not (words >= at).any() and not (other >= at).any()
+    assert secret_scan.chosen(hits, [np.append(words, [0.9]), other], (10**7, 900)) is None  # one of 60,001 stands for 166 of 10,000,000
+    assert secret_scan.chosen(hits, [words, np.append(other, [0.9])], (10**8, 901)) is not None  # one of 10^8
+    assert secret_scan.chosen(hits, [words, np.append(other, [0.9] * 20)], (10**6, 920)) is None
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_the_network_leaves_plain_documents_alone(spark, size):
+    """At most one other span in 1,000 documents, of the documents it has learnt from and at every size; too few findings give no network."""
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    net = secret_scan.train(docs)
+    assert (net is None) == (size != "sf0.1")
+    got = secret_scan.scan(docs, net).selectExpr("count(*)", "sum(n_network)").first()
+    assert got[1] <= got[0] / 1000
 
 
 def test_licenses(spark):
@@ -358,8 +380,8 @@ def test_archives_round_trip(spark, monkeypatch):
 def test_page_ids_may_be_any_text(spark):
     ids = ["None", "a>b", "line\r\nend", "", "é 日", None]
     df = spark.createDataFrame([(i, "u", "<p>short</p>") for i in ids], "page_id string, url string, html string")
-    folder = shared_folder(spark)
-    assert sorted((r["page_id"] for r in warc.read(warc.write(df, folder), folder).collect()), key=str) == sorted(ids, key=str)
+    folder, by = shared_folder(spark), lambda v: (v is not None, v or "")
+    assert sorted((r["page_id"] for r in warc.read(warc.write(df, folder), folder).collect()), key=by) == sorted(ids, key=by)
 
 
 def test_normaliser_reads_whole_and_split_streams():
