@@ -1,54 +1,92 @@
-"""The inverted index as tables: postings, lengths and corpus statistics, all from columns."""
+"""The inverted index as tables: blocks of postings, lengths and corpus statistics, all from columns.
+
+Postings of a term lie in blocks, one for each span of ids, with the largest count and the least length that they hold: what a
+search needs to leave a span out. A frequent term so has many rows, which many tasks read, and no term is ever one row or one task.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.stemming import stems
 from quern.functions.text import words
 from quern.operators.joins import cut, small
 
+#: Ids of a span that stand side by side, as a power of two.
+SPAN_BITS = 6
+
 
 class Index(NamedTuple):
-    """postings (term, id, tf, n), lengths (id, length), stats (one row: n, average length), frequencies (term, df)."""
+    """blocks (term, part, span, df, most, least, hits), lengths (id, length), stats (one row: rows, total, average), frequencies (term, df).
+
+    hits: array of (id, tf, n, length). Where postings outlive their rows, alive drops those of rows (part, id) that are gone.
+    """
 
-    postings: DataFrame
+    blocks: DataFrame
     lengths: DataFrame
     stats: DataFrame
     frequencies: DataFrame
+    alive: Callable[[DataFrame], DataFrame] | None = None
 
+    @property
+    def postings(self) -> DataFrame:
+        """(term, id, tf, n, length)"""
+        rows = self.blocks.select("term", "part", F.inline("hits"))
+        return (self.alive(rows) if self.alive else rows).drop("part")
 
-def build(rows: DataFrame, id_col: str, fields: dict[str, float]) -> Index:
+
+def span_of(id_: Column) -> Column:
+    return F.shiftright(id_, SPAN_BITS)
+
+
+def build(rows: DataFrame, id_col: str, fields: dict[str, float], span: Callable[[Column], Column] = span_of) -> Index:
     """An index over text fields, each with a weight: terms are exploded and counted, and all else follows from the counts.
 
     Statistics count every row, also such as can't be found at the moment. Weighted term counts add up over fields,
     lengths don't weigh. Nothing is written: an index that is asked more than once belongs into written().
     """
-    tokens = None
-    for field, weight in fields.items():
-        terms = words(F.col(field))
-        part = rows.select(F.col(id_col).alias("id"), F.explode(terms).alias("term"), F.lit(float(weight)).alias("weight"))
-        tokens = part if tokens is None else tokens.unionByName(part)
-    return _of(rows.select(F.col(id_col).alias("id")), tokens.groupBy("term", "id").agg(F.sum("weight").alias("tf"), F.count("*").alias("n")))
+    weighted = lambda weight: lambda term: F.struct(term.alias("term"), F.lit(float(weight)).alias("weight"))
+    listed = rows.select(F.col(id_col).alias("id"), F.concat(*(F.transform(words(F.col(f)), weighted(w)) for f, w in fields.items())).alias("terms"))
+    tokens = listed.select("id", F.size("terms").cast("long").alias("length"), F.inline("terms"))
+    postings = tokens.groupBy("term", "id").agg(F.sum("weight").alias("tf"), F.count("*").alias("n"), F.first("length").alias("length"))
+    return of(listed.select("id", F.size("terms").cast("long").alias("length")), postings, span)
+
+
+def of(lengths: DataFrame, postings: DataFrame, span: Callable[[Column], Column] = span_of) -> Index:
+    blocks = blocks_of(postings.withColumn("part", F.lit(0)), span)
+    return Index(blocks, lengths, statistics(lengths), frequencies(blocks))
+
+
+def blocks_of(postings: DataFrame, span: Callable[[Column], Column] = span_of) -> DataFrame:
+    """Blocks of postings (term, part, id, tf, n, length)."""
+    hits = F.array_sort(F.collect_list(F.struct("id", "tf", "n", "length")))  # of the ids of a span
+    return postings.groupBy("term", "part", span(F.col("id")).alias("span")).agg(F.count("*").alias("df"), F.max("tf").alias("most"), F.min("length").alias("least"), hits.alias("hits"))
+
+
+def statistics(lengths: DataFrame) -> DataFrame:
+    return averaged(lengths.agg(F.count("*").alias("rows"), F.coalesce(F.sum("length"), F.lit(0)).alias("total")))
+
+
+def averaged(totals: DataFrame) -> DataFrame:
+    return totals.withColumn("average", F.when(F.col("rows") > 0, F.col("total") / F.col("rows")))
 
 
-def _of(ids: DataFrame, postings: DataFrame) -> Index:
-    lengths = ids.join(postings.groupBy("id").agg(F.sum("n").alias("length")), "id", "left").select("id", F.coalesce("length", F.lit(0)).alias("length"))
-    stats = lengths.agg(F.count("*").alias("rows"), (F.sum("length") / F.count("*")).alias("average"))
-    return Index(postings, lengths, stats, postings.groupBy("term").agg(F.count("*").alias("df")))
+def frequencies(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def written(index: Index) -> Index:
-    """The index as tables, each computed once from the one before. Postings are sorted by term: a query's terms skip most row groups."""
-    postings = cut(index.postings.repartition("term").sortWithinPartitions("term", "id"))
-    return Index(*map(lambda x: x if x is postings else cut(x), _of(index.lengths.select("id"), postings)))
+    """The index as tables, each computed once. Blocks are sorted by term: a query's terms skip most row groups."""
+    blocks, lengths = cut(index.blocks.sortWithinPartitions("term", "part", "span")), cut(index.lengths)
+    return Index(blocks, lengths, cut(statistics(lengths)), cut(frequencies(blocks)))
 
 
 def stemmed(index: Index) -> Index:
     """The index of the stems of a written index's terms. Each distinct term is stemmed once."""
     stem = cut(index.frequencies.select("term", F.explode(stems(F.col("term"))).alias("stem")))
     both = index.postings.join(small(stem), "term")
-    return _of(index.lengths.select("id"), both.groupBy(F.col("stem").alias("term"), "id").agg(F.sum("tf").alias("tf"), F.sum("n").alias("n")))
+    return of(index.lengths, both.groupBy(F.col("stem").alias("term"), "id").agg(F.sum("tf").alias("tf"), F.sum("n").alias("n"), F.first("length").alias("length")))

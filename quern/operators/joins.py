@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few dozen bytes that may be broadcast.
@@ -19,18 +19,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written below spark.checkpoint.dir: what follows reads them, however often, and never computes them again."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A new folder name below spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not known.isDefined():
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = known.get()
-    path = f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written below spark.checkpoint.dir: what follows reads them, however often, and never computes them again."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def is_there(table: DataFrame) -> bool:

@@ -54,6 +54,15 @@ def chunk_id(content_id, ord_):
     return F.shiftleft(content_id, CHUNK_BITS) + ord_
 
 
+def content_of(chunk):
+    return F.shiftright(chunk, CHUNK_BITS)
+
+
+def chunk_span(chunk):
+    """Sixteen contents side by side, 64 chunks of each."""
+    return F.shiftleft(F.shiftright(chunk, CHUNK_BITS + 4), 14) + F.shiftright(chunk.bitwiseAND(F.lit((1 << CHUNK_BITS) - 1)), 6)
+
+
 def searched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """files() with the status that their kind's size cap gives: what may be searched is linked."""
     cap = paths.size_cap(F.lit("text"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import highlight, text, vectors
 from quern.functions.stemming import stems
-from quern.operators import ask, evaluate, history, index, rank, store, suggest
-from quern.operators.joins import cut, is_there, small
+from quern.operators import ask, chunking, evaluate, history, index, rank, segments, store, suggest
+from quern.operators.joins import cut, is_there, new_folder, small
 from quern.plans import model
 from quern.plans.text_queries import _NAME, _STOP, CONTENTS
 
@@ -18,26 +18,71 @@ R = 6
 
 
 class Searched(NamedTuple):
-    """What searches read, as tables: chunks (id, content_id, ord, text), their index, files, and the index of their names."""
+    """What searches read, as tables: chunks (id, content_id, ord, text), their index and that of their stems, files, and the index of their names."""
 
     chunks: DataFrame
     index: index.Index
+    stems: index.Index
     files: DataFrame
     names: index.Index
 
 
-_BUILT: dict[tuple[str, str], Searched] = {}
+_BUILT: dict[tuple[str, str], tuple[tuple, Searched]] = {}
 
 
 def searched(spark: SparkSession, sf_dir: str) -> Searched:
-    """Built once for a session and folder of tables, and read from then on, as long as it is there."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _BUILT or not is_there(_BUILT[key].names.frequencies):
+    """Built once for a session and the tables as they are now: it is built anew when their files have changed or its own are gone."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), segments.fingerprint(spark, f"{sf_dir}/documents.parquet")
+    if key not in _BUILT or _BUILT[key][0] != now or not all(map(is_there, (_BUILT[key][1].names.frequencies, _BUILT[key][1].stems.frequencies, _BUILT[key][1].chunks))):
         chunks = cut(model.chunks(spark, sf_dir))
         files = cut(model.searched_files(spark, sf_dir).select("file_id", "content_id", "name", "rel_path", "path", "kind", "folder", "mtime_ms", "status"))
         named = files.select("file_id", text.tokenize_name(F.concat("name", F.lit(".txt"))).alias("name"), text.tokenize_path(F.col("rel_path")).alias("path"))
-        _BUILT[key] = Searched(chunks, index.written(index.build(chunks, "id", {"text": 1.0})), files, index.written(index.build(named, "file_id", {"name": 5.0, "path": 1.0})))
-    return _BUILT[key]
+        built = index.written(index.build(chunks, "id", {"text": 1.0}, model.chunk_span))
+        stems = index.written(index.stemmed(built))
+        _BUILT[key] = now, Searched(chunks, built, stems, files, index.written(index.build(named, "file_id", {"name": 5.0, "path": 1.0})))
+    return _BUILT[key][1]
+
+
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds what searches read, whether it is there or not; one row for each of its indexes."""
+    _BUILT.pop((spark.sparkContext.applicationId, sf_dir), None)
+    built = searched(spark, sf_dir)
+    named = lambda n, i: i.stats.crossJoin(i.frequencies.agg(F.count("*").alias("terms"), F.sum("df").alias("postings"))).select(F.lit(n).alias("name"), "rows", F.round("average", R).alias("average"), "terms", "postings")  # noqa: E731  one row each
+    return named("chunks", built.index).unionByName(named("names", built.names))
+
+
+def posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each term and span of ids what a search needs to leave it out."""
+    return searched(spark, sf_dir).index.blocks.select("term", "span", "df", F.col("most").cast("long").alias("most"), "least")
+
+
+def _evolved(spark: SparkSession, sf_dir: str, folder: str) -> segments.Log:
+    """An index in four commits and a merge: contents come, with half their text or in full, are replaced by what the table says, are deleted, and in part come again."""
+    whole = model.contents(spark, sf_dir).select("content_id", "kind", "text")
+    made = lambda rows: chunking.chunk(rows).select(model.chunk_id(F.col("content_id"), F.col("ord")).alias("id"), "text")
+    log = segments.Log(spark, folder, model.content_of, model.chunk_span)
+    half = F.when(F.col("content_id") % 3 == 0, F.left("text", F.floor(F.char_length("text") / 2).cast("int"))).otherwise(F.col("text"))
+    log.commit(made(whole.where("content_id % 5 <> 0").withColumn("text", half)))
+    log.commit(made(whole.where("content_id % 5 = 0")), whole.where("content_id % 11 = 0").select(F.col("content_id").alias("owner")))
+    log.commit(made(whole.where("content_id % 3 = 0 and content_id % 11 <> 0")))
+    log.commit(made(whole.where("content_id % 22 = 0")), whole.where("content_id % 11 = 0 and content_id % 2 = 1").select(F.col("content_id").alias("owner")))
+    log.merge(2)
+    return log
+
+
+def index_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best chunks of each query, from an index that has grown by commits."""
+    log = _evolved(spark, sf_dir, new_folder(spark))
+    found = rank.bm25_best(log.index(), _terms(spark, sf_dir)).scores
+    best = rank.ranked(found, rank.KEYWORDS, F.desc(F.round("score", rank.PLACES)), F.asc("id"))
+    return best.select("query_id", "id", F.round("score", R).alias("score"), "rank")
+
+
+def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that hold the first four words of a benchmark text side by side."""
+    chunks = searched(spark, sf_dir).chunks.select("id", text.words(F.col("text")).alias("terms"))
+    asked = model.queries(spark, sf_dir).select("query_id", F.slice(text.words(F.col("query")), 1, 4).alias("terms"))
+    return segments.holding(chunks, asked)
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +97,7 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(any-term list, all-terms list): scored once, ranked twice."""
-    scores, live = cut(rank.bm25(searched(spark, sf_dir).index, _terms(spark, sf_dir))), small(cut(_live(spark, sf_dir)))
+    scores, live = cut(rank.bm25_best(searched(spark, sf_dir).index, _terms(spark, sf_dir)).scores), small(cut(_live(spark, sf_dir)))
     return rank.keyword_list(scores, live), rank.keyword_list(scores, live, all_terms=True)
 
 
@@ -89,8 +134,8 @@ def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_porter(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = model.queries(spark, sf_dir).select("query_id", F.array_join(text.query_terms(F.col("query")), " ").alias("query"))
     terms = rank.query_term_rows(asked, F.array_distinct(stems(F.col("query"))))
-    built = index.written(index.stemmed(searched(spark, sf_dir).index))
-    return rank.keyword_list(rank.bm25(built, terms), small(cut(_live(spark, sf_dir)))).withColumn("score", F.round("score", R))
+    scores = rank.bm25_best(searched(spark, sf_dir).stems, terms).scores
+    return rank.keyword_list(scores, small(cut(_live(spark, sf_dir)))).withColumn("score", F.round("score", R))
 
 
 def name_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,6 +422,8 @@ npost AS (SELECT term, id, sum(w) AS tf FROM (SELECT id, unnest(ns) AS term, 5.0
 _NAMES = f"""{_NAMED}, {_scores_sql("nsc", "q", "npost", "nlens", "ndfs")},
 names AS (SELECT query_id, id, content_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM nsc JOIN fl ON fl.file_id = nsc.id QUALIFY rank <= 50)"""
 _VECS = "v AS (SELECT vec_id AS id, [x / n FOR x IN e]::FLOAT[]::DOUBLE[] AS vec FROM (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum([y * y FOR y IN embedding::DOUBLE[]])) AS n FROM embeddings))"
+_EVOLVED = _CHUNKED.replace("lang)", "lang HAVING NOT (min(doc_id) % 11 = 0 AND min(doc_id) % 2 = 1))", 1)
+_SPAN = f"((id // {1 << model.CHUNK_BITS} // 16) * {1 << 14} + id % {1 << model.CHUNK_BITS} // 64)"
 _SCORED = f"""{_CHUNKED}, {_TERMS}, {_scores_sql("sc")}"""
 _FUSED = f"""{_SCORED}, {_list_sql('anyl')}, {_list_sql('alll', 'n_terms >= 2 AND n_matched = n_terms')}, {_NAMES}, {_VECS},
 near AS (SELECT b.item_id::BIGINT AS query_id, c.id, list_dot_product(v.vec, a.vec) AS score, row_number() OVER (PARTITION BY b.item_id ORDER BY list_dot_product(v.vec, a.vec) DESC, c.id) AS rank
@@ -439,6 +486,13 @@ SQL = {
     "l2_normalise": "SELECT vec_id, round(n, 4) AS length, round(embedding[1]::DOUBLE / n, 4) AS first, round(embedding[-1]::DOUBLE / n, 4) AS last FROM (SELECT *, sqrt(list_sum([(x * x)::DOUBLE FOR x IN embedding::DOUBLE[]])) AS n FROM embeddings)",
     "knn_cosine_topk": f"WITH {_VECS}, n AS (SELECT a.id AS query_id, v.id, list_dot_product(v.vec, a.vec) AS s FROM v a, v WHERE a.id % 100 = 0) SELECT query_id, id, round(s, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM n QUALIFY rank <= 100",
     "knn_prefilter": f"WITH {_FL}, {_VECS}, n AS (SELECT a.id AS query_id, v.id, list_dot_product(v.vec, a.vec) AS s FROM v a, v WHERE a.id % 100 = 0 AND v.id IN (SELECT content_id FROM fl)) SELECT query_id, id, round(s, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM n QUALIFY rank <= 20",
+    "index_build": f"""WITH RECURSIVE {_CHUNKED}, {_NAMED}
+        SELECT 'chunks' AS name, (SELECT count(*) FROM lens) AS rows, round((SELECT avg(length) FROM lens), 6) AS average, (SELECT count(*) FROM dfs) AS terms, (SELECT sum(df)::BIGINT FROM dfs) AS postings
+        UNION ALL SELECT 'names', (SELECT count(*) FROM nlens), round((SELECT avg(length) FROM nlens), 6), (SELECT count(*) FROM ndfs), (SELECT sum(df)::BIGINT FROM ndfs)""",
+    "posting_blocks": f"WITH RECURSIVE {_CHUNKED} SELECT term, {_SPAN}::BIGINT AS span, count(*) AS df, max(tf) AS most, min(length) AS least FROM postings JOIN lens USING (id) GROUP BY term, {_SPAN}",
+    "index_incremental": f"WITH RECURSIVE {_EVOLVED}, {_TERMS}, {_scores_sql('sc')} SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM sc QUALIFY rank <= 100",
+    "phrase_hits": f"""WITH RECURSIVE {CONTENTS}, {model.CHUNKS_SQL}, c AS (SELECT id, ' ' || array_to_string(regexp_extract_all(lower(text), '{_W}'), ' ') || ' ' AS t FROM chunks),
+        p AS (SELECT item_id::BIGINT AS query_id, regexp_extract_all(lower(text), '{_W}')[1:4] AS ws FROM benchmark) SELECT query_id, id FROM p JOIN c ON contains(t, ' ' || array_to_string(ws, ' ') || ' ') WHERE len(ws) > 0""",
     "rrf_fusion": f"WITH RECURSIVE {_FUSED} SELECT query_id, content_id, round(score, 9) AS score, kw_rank, vec_rank, name_rank, round(cosine, 4) + 0.0 AS cosine FROM fused",
     "hybrid_top30": f"WITH RECURSIVE {_FUSED} SELECT query_id, content_id, round(score, 9) AS score, rank FROM top",
     "evidence_top3": f"WITH RECURSIVE {_SHOWN} SELECT * FROM ev",
