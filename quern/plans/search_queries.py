@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -470,7 +471,8 @@ w AS (SELECT content_id, i, ws[i] AS form, gaps[i] AS gap, CASE WHEN i > 1 THEN
 k AS (SELECT content_id, lower(form) AS key, count(*) AS tf, min(i) AS first, bool_or(regexp_matches(form, '^\p{{Lu}}') AND (ends_with(gap, ', ') OR (gap = ' ' AND regexp_matches(before, '\p{{Ll}}$')))) AS proper FROM w WHERE regexp_full_match(form, '{_FORM}') AND lower(form) NOT IN ({_COMMON}) GROUP BY content_id, lower(form)),
 t AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY content_id ORDER BY tf DESC, first) <= 30),
 terms AS (SELECT content_id, key, tf, CASE WHEN proper THEN 1.5 ELSE 1 END AS boost, ln(((SELECT count(*) FROM chunks) + 1.0::DOUBLE) / (least(coalesce(df, 0), 200) + 1)) AS idf FROM t LEFT JOIN dfs ON dfs.term = t.key)"""
-_BIGRAMS = rf"""{_TFIDF}, pg AS (SELECT a.content_id, lower(a.form) AS x, lower(b.form) AS y, count(*) AS tf FROM w a JOIN w b ON b.content_id = a.content_id AND b.i = a.i + 1 WHERE b.gap = ' ' AND regexp_full_match(a.form, '\p{{L}}{{4,18}}') AND regexp_full_match(b.form, '\p{{L}}{{4,18}}') AND lower(a.form) <> lower(b.form) GROUP BY ALL HAVING count(*) >= 2)"""
+_BIGRAMS = rf"""{_TFIDF}, wl AS (SELECT content_id, form AS f, lead(form) OVER o AS g, lead(gap) OVER o AS gap FROM w WINDOW o AS (PARTITION BY content_id ORDER BY i)),
+pg AS (SELECT content_id, lower(f) AS x, lower(g) AS y, count(*) AS tf FROM wl WHERE gap = ' ' AND regexp_full_match(f, '\p{{L}}{{4,18}}') AND regexp_full_match(g, '\p{{L}}{{4,18}}') AND lower(f) <> lower(g) GROUP BY ALL HAVING count(*) >= 2)"""
 _ASKED = """src AS (SELECT ev.query_id, ev.rank AS n, ev.content_id, name, strftime(make_timestamp(max_id * 1000 * 1000), '%Y-%m-%d') AS modified, text, terms
     FROM ev JOIN chunks c ON c.id = ev.id JOIN pf ON pf.content_id = ev.content_id JOIN (SELECT content_id, max(file_id) AS max_id FROM fl GROUP BY content_id) x ON x.content_id = ev.content_id JOIN qt USING (query_id) WHERE place = 1 AND rank <= 6)"""
 _ANSWERED = rf"""se AS (SELECT query_id, n, terms, unnest(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '[\x01]|\n+')) AS sentence FROM src),
@@ -537,4 +539,6 @@ SQL = {
         SELECT query_id, sha256(answer) AS answer_sha, starts_with(trim(answer), '{ask.NO_EVIDENCE}') AS insufficient, len(list_distinct([x FOR x IN regexp_extract_all(answer, '\\[(\\d{{1,9}})\\]', 1)::INTEGER[] IF x < 1 OR x > 6])) AS n_invalid, n_sources, chars + length(chr(10) || chr(10) || 'Question: ' || b.text) AS prompt_chars
         FROM ans JOIN pr USING (query_id) JOIN benchmark b ON b.item_id = query_id JOIN gt USING (query_id) WHERE NOT abstains""",
 }
+for _name in ("ask_answers", "ask_sources", "cited_sources"):  # long chains: each relation once
+    SQL[_name] = re.sub(r"\b(?!piece\b)(\w+) AS \((?=\s*(?:SELECT|WITH))", r"\1 AS MATERIALIZED (", SQL[_name])
 QUERIES = {name: globals()[name] for name in SQL} | {n: globals()[n] for n in ("bm25_porter", "suggestions")}
