@@ -30,7 +30,7 @@ class Unreadable(Exception):
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rel_path, name, ext, kind, size, mtime_ms, status) of indexable files below root. Contents aren't read."""
+    """(path, rel_path, name, ext, kind, size, mtime_ms, status) of indexable files below root. Contents aren't read. Empty files have nothing to index and aren't listed."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
     base = F.regexp_replace(F.lit(root.rstrip("/")), "^file:/*", "/")
     rel = F.regexp_replace(F.col("path"), "^file:/*", "/")
