@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import search_queries, source_queries, store_queries, text_queries
+from quern.plans import search_queries, source_queries, store_queries, text_queries, voice_queries
 
-PLANS = (store_queries, text_queries, search_queries, source_queries)
+PLANS = (store_queries, text_queries, search_queries, source_queries, voice_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

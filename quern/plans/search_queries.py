@@ -198,9 +198,9 @@ def evidence_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.evidence(found.top, found.scored, searched(spark, sf_dir).chunks)
 
 
-def _shown(spark: SparkSession, sf_dir: str, k: int) -> tuple[Found, DataFrame]:
-    """The search, and (query_id, content_id, rank, place, id, text, terms) of the evidence of the first k results."""
-    found = _hybrid(spark, sf_dir)
+def _shown(spark: SparkSession, sf_dir: str, k: int, found: Found | None = None) -> tuple[Found, DataFrame]:
+    """The search, made here if it isn't given, and (query_id, content_id, rank, place, id, text, terms) of the evidence of the first k results."""
+    found = found or _hybrid(spark, sf_dir)
     chosen = cut(rank.evidence(found.top.where(F.col("rank") <= k), found.scored, searched(spark, sf_dir).chunks))
     terms = model.queries(spark, sf_dir).select("query_id", text.query_terms(F.col("query")).alias("terms"))
     return found, searched(spark, sf_dir).chunks.select("id", "text").join(small(chosen), "id", "right").join(terms, "query_id")
@@ -218,9 +218,9 @@ def reasons(matched: Column, vec_rank: Column, name_rank: Column) -> Column:
     return F.filter(F.array(F.when(F.size(matched) > 0, "terms"), F.when(vec_rank <= rank.AGREE, "meaning"), F.when(name_rank.isNotNull(), "filename")), lambda x: x.isNotNull())
 
 
-def _results(spark: SparkSession, sf_dir: str, k: int = rank.RESULTS) -> DataFrame:
+def _results(spark: SparkSession, sf_dir: str, k: int = rank.RESULTS, found: Found | None = None) -> DataFrame:
     """Whole results: primary file, copies, matched terms and reasons."""
-    found, shown = _shown(spark, sf_dir, k)
+    found, shown = _shown(spark, sf_dir, k, found)
     placed = store.copies(searched(spark, sf_dir).files)
     primary = placed.groupBy("content_id").agg(F.max(F.when(F.col("place") == 1, F.col("name"))).alias("name"), F.max(F.when(F.col("place") == 1, F.col("path"))).alias("path"), (F.count("*") - 1).alias("n_copies"))
     both = found.top.join(_matched(shown), ["query_id", "content_id"]).join(primary, "content_id")
@@ -242,8 +242,8 @@ def result_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("query_id", "folder").agg(F.min("rank").alias("rank"))
 
 
-def _confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.low_confidence(_results(spark, sf_dir, 1), F.size("matched"), F.size("terms"))
+def _confidence(spark: SparkSession, sf_dir: str, found: Found | None = None) -> DataFrame:
+    return rank.low_confidence(_results(spark, sf_dir, 1, found), F.size("matched"), F.size("terms"))
 
 
 def low_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,14 +268,14 @@ def highlight_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "id", F.size("ranges").alias("n"), F.sha2(text.highlighted(F.col("text"), F.col("ranges")), 256).alias("marked_sha"))
 
 
-def ask_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ask_gate(spark: SparkSession, sf_dir: str, found: Found | None = None) -> DataFrame:
     """Which questions no model is asked: those without results or whose first result is of low confidence."""
-    return ask.gate(model.queries(spark, sf_dir), _confidence(spark, sf_dir))
+    return ask.gate(model.queries(spark, sf_dir), _confidence(spark, sf_dir, found))
 
 
-def _numbered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _numbered(spark: SparkSession, sf_dir: str, found: Found | None = None) -> tuple[DataFrame, DataFrame]:
     """(sources, their queries' terms): of each of the first results its best evidence."""
-    _, shown = _shown(spark, sf_dir, ask.SOURCES)
+    _, shown = _shown(spark, sf_dir, ask.SOURCES, found)
     best = shown.where("place = 1 and text is not null").select("query_id", "rank", "content_id", "text", "terms")
     return cut(ask.sources(best, searched(spark, sf_dir).files)), best.select("query_id", "terms").distinct()
 
@@ -286,8 +286,9 @@ def ask_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ask_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers without a model, of the questions that pass the gate."""
-    numbered, terms = _numbered(spark, sf_dir)
-    asked = ask_gate(spark, sf_dir).where("not abstains")
+    found = _hybrid(spark, sf_dir)
+    numbered, terms = _numbered(spark, sf_dir, found)
+    asked = ask_gate(spark, sf_dir, found).where("not abstains")
     numbered, terms = (x.join(asked, "query_id", "left_semi") for x in (numbered, terms))
     answers = ask.checked(ask.extractive(numbered, terms), F.lit(ask.SOURCES))
     prompts = ask.prompts(model.queries(spark, sf_dir), numbered).select("query_id", "n_sources", F.char_length("prompt").alias("prompt_chars"))

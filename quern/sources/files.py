@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import io
+import multiprocessing
 import re
 import unicodedata
 import wave
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions import paths
 from quern.operators.chunking import BLOCKS, Block, paragraph_blocks
@@ -163,6 +165,10 @@ def pdf_pages(data: bytes) -> list[str]:
     return pages
 
 
+def _nothing(status: str) -> dict:
+    return {"status": status, "text": None, "title": None, "page_count": None, "truncated": False, "blocks": None}
+
+
 def extracted(data: bytes, kind: str, pdf_reader=pdf_pages) -> dict:
     """The row of one file: status ok or why not, text, title, page_count, truncated, blocks."""
     try:
@@ -182,27 +188,79 @@ def extracted(data: bytes, kind: str, pdf_reader=pdf_pages) -> dict:
             text = decode(data)
             blocks, title = markdown(text) if kind == "markdown" else (paragraph_blocks(text), None)
     except Unreadable as e:
-        return {"status": e.args[0], "text": None, "title": None, "page_count": None, "truncated": False, "blocks": None}
+        return _nothing(e.args[0])
     except Exception:  # any reader's own errors are a status too
-        return {"status": "failed", "text": None, "title": None, "page_count": None, "truncated": False, "blocks": None}
+        return _nothing("failed")
     kept = [b._replace(stop=min(b.stop, MOST_CHARS))._asdict() for b in blocks if b.start < MOST_CHARS]
     return {"status": "ok", "text": text[:MOST_CHARS], "title": title, "page_count": count, "truncated": len(text) > MOST_CHARS, "blocks": kept}
 
 
-def extract(files: DataFrame, pdf_reader=pdf_pages) -> DataFrame:
-    """files (path, kind, content) with the columns of EXTRACTED for the content; each row is on its own."""
+class Reader:
+    """A child process that reads one file after the other, and is killed and made anew when one takes longer than `seconds`."""
+
+    def __init__(self, seconds: float, pdf_reader) -> None:
+        self.seconds, self.pdf_reader, self.child = seconds, pdf_reader, None
+
+    def _serve(self, pipe) -> None:
+        while True:
+            try:
+                data, kind = pipe.recv()
+            except EOFError:
+                return
+            pipe.send(extracted(data, kind, self.pdf_reader))
+
+    def read(self, data: bytes, kind: str) -> dict:
+        """extracted() of the file, or a row with the status timeout, or failed if the child died of it."""
+        if self.child is None:
+            context = multiprocessing.get_context("fork")
+            self.pipe, other = context.Pipe()
+            self.child = context.Process(target=self._serve, args=(other,), daemon=True)
+            self.child.start()
+            other.close()
+        try:
+            self.pipe.send((data, kind))
+            if self.pipe.poll(self.seconds):
+                return self.pipe.recv()
+            status = "timeout"
+        except (EOFError, OSError):
+            status = "failed"
+        self.close()
+        return _nothing(status)
+
+    def close(self) -> None:
+        if self.child is not None:
+            self.child.kill()
+            self.child.join()
+            self.pipe.close()
+            self.child = None
+
+
+def extract(files: DataFrame, pdf_reader=pdf_pages, seconds: float | None = None) -> DataFrame:
+    """files (path, kind, content) with the columns of EXTRACTED for the content; each row is on its own.
+
+    With `seconds`, a file that takes longer has the status timeout, and the others of its batch go on: each task reads in a child process of its own.
+    Columns may have any names; one that an extracted column would clash with goes.
+    """
     made_here = [c.split()[0] for c in EXTRACTED.split(", ")]
     keys = [c for c in files.columns if c != "content" and c not in made_here]
-    rows = files.select(F.struct(*keys).alias("row"), "kind", "content")
+    own = [f"`{c.replace('`', '``')}`" for c in keys]
+    rows = files.select(F.struct(*own).alias("row"), "kind", "content")
     inner = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("heading", pa.int32()), ("page", pa.int32())])
     kinds = {"status": pa.string(), "text": pa.string(), "title": pa.string(), "page_count": pa.int32(), "truncated": pa.bool_(), "blocks": pa.list_(inner)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [extracted(c or b"", k, pdf_reader) for c, k in zip(batch.column("content").to_pylist(), batch.column("kind").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array([m[n] for m in made], t) for n, t in kinds.items())], ["row", *kinds])
-
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {EXTRACTED}").select("row.*", *kinds)
+        reader = Reader(seconds, pdf_reader) if seconds else None
+        read = reader.read if reader else lambda data, kind: extracted(data, kind, pdf_reader)
+        try:
+            for batch in batches:
+                made = [read(c or b"", k) for c, k in zip(batch.column("content").to_pylist(), batch.column("kind").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array([m[n] for m in made], t) for n, t in kinds.items())], ["row", *kinds])
+        finally:
+            if reader:
+                reader.close()
+
+    schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(EXTRACTED).fields])
+    return rows.mapInArrow(run, schema).select(*(F.col("row").getField(c).alias(c) for c in keys), *kinds)
 
 
 def wav_samples(data: bytes) -> np.ndarray:

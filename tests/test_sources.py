@@ -120,3 +120,21 @@ def test_ingest_stream_goes_on_where_it_was(spark, tmp_path):
     ingest.index_folder(spark, str(root), str(table), str(state)).awaitTermination()
     rows = spark.read.parquet(str(table)).collect()
     assert {r["text"] for r in rows} == {"first file", "# second\n\nfile"} and len({r["batch"] for r in rows}) == 2
+
+
+def test_a_file_that_never_ends_costs_one_row(spark):
+    def endless(data):
+        if data == b"hang":
+            while True:
+                pass
+        if data == b"die":
+            import os
+
+            os._exit(3)
+        return [data.decode()]
+
+    rows = [(i, f"p{i}", "pdf", b"hang" if i in (3, 4) else b"die" if i == 6 else f"page {i}".encode()) for i in range(9)]
+    df = spark.createDataFrame(rows, "`my id` long, `a.b` string, kind string, content binary").coalesce(1)
+    got = {r["my id"]: (r["a.b"], r["status"], r["text"]) for r in files.extract(df, endless, seconds=1.0).collect()}
+    want = {i: (f"p{i}", "timeout" if i in (3, 4) else "failed" if i == 6 else "ok", f"page {i}" if i not in (3, 4, 6) else None) for i in range(9)}
+    assert got == want
