@@ -17,9 +17,11 @@ def recent_searches(searches: DataFrame, k: int = RECENT) -> DataFrame:
     """(user, query, place): newest first; an entry goes if a later one begins with it. searches: (user, ts, query)."""
     rows = searches.withColumn("query", F.trim("query")).where("query <> ''").withColumn("low", F.lower("query"))
     latest = rows.groupBy("user", "low").agg(F.max_by("query", "ts").alias("query"), F.max("ts").alias("ts"))
-    a, b = latest.alias("a"), latest.alias("b")
-    longer = (F.col("a.user") == F.col("b.user")) & (F.substring("a.low", 1, 1) == F.substring("b.low", 1, 1)) & (F.col("b.ts") > F.col("a.ts")) & F.expr("startswith(b.low, a.low)")
-    kept = a.join(b, longer, "left_anti")
+    # every entry names its beginnings, of the lengths that the user's entries have, and equal ones meet
+    sized = latest.withColumn("n", F.char_length("low"))
+    lengths = sized.select("user", F.col("n").alias("upto")).distinct()
+    longer = sized.join(lengths, "user").where(F.col("upto") < F.col("n")).groupBy("user", F.left("low", F.col("upto")).alias("low")).agg(F.max("ts").alias("later"))
+    kept = latest.join(longer, ["user", "low"], "left").where("later is null or later <= ts")
     order = Window.partitionBy("user").orderBy(F.desc("ts"), "low")
     return kept.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("user", "query", "place")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few dozen bytes that may be broadcast.
@@ -19,6 +19,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def held(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """small(cut(df)) with one job: rows are counted as they are written."""
+    counted = Observation()
+    out = cut(df.observe(counted, F.count(F.lit(1)).alias("n")))
+    return F.broadcast(out) if counted.get["n"] <= rows else out
+
+
 def new_folder(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)

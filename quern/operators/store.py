@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.joins import cut, small
+from quern.operators.joins import held
 
 ORPHAN_GRACE_MS = 10 * 60 * 1000
 HASH_TRIES, EXTRACT_TRIES = 5, 3
@@ -62,17 +62,17 @@ def collect_garbage(contents: DataFrame, files: DataFrame, now_ms: int, grace_ms
 
 def cascade(contents: DataFrame, *dependents: DataFrame) -> list[DataFrame]:
     """Dependents whose content is still there."""
-    ids = small(cut(contents.select("content_id").distinct()))
+    ids = held(contents.select("content_id").distinct())
     return [d.join(ids, "content_id", "left_semi") for d in dependents]
 
 
 def replace_chunks(chunks: DataFrame, fresh: DataFrame) -> DataFrame:
     """All chunks of a content are replaced at once. Works for postings and vectors alike."""
-    return chunks.join(small(cut(fresh.select("content_id").distinct())), "content_id", "left_anti").unionByName(fresh)
+    return chunks.join(held(fresh.select("content_id").distinct()), "content_id", "left_anti").unionByName(fresh)
 
 
 def upsert_vectors(vectors: DataFrame, fresh: DataFrame) -> DataFrame:
-    return vectors.join(small(cut(fresh.select("chunk_id").distinct())), "chunk_id", "left_anti").unionByName(fresh)
+    return vectors.join(held(fresh.select("chunk_id").distinct()), "chunk_id", "left_anti").unionByName(fresh)
 
 
 def hash_failed(files: DataFrame, failed: DataFrame) -> DataFrame:

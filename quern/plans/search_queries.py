@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quern.functions import highlight, text, vectors
 from quern.functions.stemming import stems
 from quern.operators import ask, chunking, evaluate, history, index, rank, segments, store, suggest
-from quern.operators.joins import cut, is_there, new_folder, small
+from quern.operators.joins import cut, held, is_there, new_folder, small
 from quern.plans import model
 from quern.plans.text_queries import _NAME, _STOP, CONTENTS
 
@@ -59,7 +59,7 @@ def posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _evolved(spark: SparkSession, sf_dir: str, folder: str) -> segments.Log:
     """An index in four commits and a merge: contents come, with half their text or in full, are replaced by what the table says, are deleted, and in part come again."""
-    whole = model.contents(spark, sf_dir).select("content_id", "kind", "text")
+    whole = cut(model.contents(spark, sf_dir).select("content_id", "kind", "text"))
     made = lambda rows: chunking.chunk(rows).select(model.chunk_id(F.col("content_id"), F.col("ord")).alias("id"), "text")
     log = segments.Log(spark, folder, model.content_of, model.chunk_span)
     half = F.when(F.col("content_id") % 3 == 0, F.left("text", F.floor(F.char_length("text") / 2).cast("int"))).otherwise(F.col("text"))
@@ -98,7 +98,7 @@ def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(any-term list, all-terms list): scored once, ranked twice."""
-    scores, live = cut(rank.bm25_best(searched(spark, sf_dir).index, _terms(spark, sf_dir)).scores), small(cut(_live(spark, sf_dir)))
+    scores, live = cut(rank.bm25_best(searched(spark, sf_dir).index, _terms(spark, sf_dir)).scores), held(_live(spark, sf_dir))
     return rank.keyword_list(scores, live), rank.keyword_list(scores, live, all_terms=True)
 
 
@@ -136,7 +136,7 @@ def bm25_porter(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = model.queries(spark, sf_dir).select("query_id", F.array_join(text.query_terms(F.col("query")), " ").alias("query"))
     terms = rank.query_term_rows(asked, F.array_distinct(stems(F.col("query"))))
     scores = rank.bm25_best(searched(spark, sf_dir).stems, terms).scores
-    return rank.keyword_list(scores, small(cut(_live(spark, sf_dir)))).withColumn("score", F.round("score", R))
+    return rank.keyword_list(scores, held(_live(spark, sf_dir))).withColumn("score", F.round("score", R))
 
 
 def name_list(spark: SparkSession, sf_dir: str) -> DataFrame:
