@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import highlight, text, vectors
 from quern.functions.stemming import stems
-from quern.operators import ask, chunking, evaluate, history, index, rank, segments, store, suggest
+from quern.operators import ask, chunking, codes, evaluate, history, index, rank, segments, store, suggest
 from quern.operators.joins import cut, held, is_there, new_folder, small
 from quern.plans import model
 from quern.plans.text_queries import _NAME, _STOP, CONTENTS
@@ -162,6 +162,12 @@ def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.nearest(*_vectors(spark, sf_dir)).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
 
 
+def knn_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """knn_cosine_topk by codes of a byte a component, and the vectors of the rows that these leave open."""
+    rows, queries = _vectors(spark, sf_dir)
+    return codes.nearest(codes.encode(rows), queries).select("query_id", "id", F.round("score", 4).alias("score"), "rank")
+
+
 def knn_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only vectors of contents that are searched."""
     rows, queries = _vectors(spark, sf_dir)
@@ -488,6 +494,7 @@ SQL = {
         SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM nsc QUALIFY rank <= 50""",
     "l2_normalise": "SELECT vec_id, round(n, 4) AS length, round(embedding[1]::DOUBLE / n, 4) AS first, round(embedding[-1]::DOUBLE / n, 4) AS last FROM (SELECT *, sqrt(list_sum([(x * x)::DOUBLE FOR x IN embedding::DOUBLE[]])) AS n FROM embeddings)",
     "knn_cosine_topk": f"WITH {_VECS}, n AS (SELECT a.id AS query_id, v.id, list_dot_product(v.vec, a.vec) AS s FROM v a, v WHERE a.id % 100 = 0) SELECT query_id, id, round(s, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM n QUALIFY rank <= 100",
+    "knn_two_stage": f"WITH {_VECS}, n AS (SELECT a.id AS query_id, v.id, list_dot_product(v.vec, a.vec) AS s FROM v a, v WHERE a.id % 100 = 0) SELECT query_id, id, round(s, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM n QUALIFY rank <= 100",
     "knn_prefilter": f"WITH {_FL}, {_VECS}, n AS (SELECT a.id AS query_id, v.id, list_dot_product(v.vec, a.vec) AS s FROM v a, v WHERE a.id % 100 = 0 AND v.id IN (SELECT content_id FROM fl)) SELECT query_id, id, round(s, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM n QUALIFY rank <= 20",
     "index_build": f"""WITH RECURSIVE {_CHUNKED}, {_NAMED}
         SELECT 'chunks' AS name, (SELECT count(*) FROM lens) AS rows, round((SELECT avg(length) FROM lens), 6) AS average, (SELECT count(*) FROM dfs) AS terms, (SELECT sum(df)::BIGINT FROM dfs) AS postings
