@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from quern.functions import paths
 from quern.operators.chunking import BLOCKS, Block, paragraph_blocks
+from quern.sources import pdf
 
 MOST_CHARS = 2_000_000
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -136,20 +137,10 @@ def reflow(text: str) -> str:
     return re.sub(r"[ \t]{2,}", " ", re.sub(r"([^\n.!?:;])\n(?=[a-z0-9(])", r"\1 ", text))
 
 
-def pdf_pages(data: bytes) -> list[str]:
-    """Texts of a PDF's page streams: plain or deflated, with literal strings. A reader for simple files; pass another for others."""
-    if not data.startswith(b"%PDF") or b"%%EOF" not in data[-2048:]:
-        raise Unreadable("corrupt")
-    if b"/Encrypt" in data:
-        raise Unreadable("password_protected")
-    pages = []
+def _streams(data: bytes) -> Iterator[str]:
+    """Texts of a file without a tree of pages: each stream, plain or deflated, is one, with literal strings."""
     for m in re.finditer(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", data, re.S):
-        body = m[2]
-        if b"/FlateDecode" in m[1]:
-            try:
-                body = zlib.decompress(body)
-            except zlib.error as e:
-                raise Unreadable("corrupt") from e
+        body = zlib.decompress(m[2]) if b"/FlateDecode" in m[1] else m[2]
         lines = []
         for block in re.findall(rb"BT(.*?)ET", body, re.S):
             for piece in re.finditer(rb"\[(.*?)\]\s*TJ|(\((?:[^()\\]|\\.)*\))\s*(?:Tj|')|(T\*|Td|TD)", block, re.S):
@@ -158,9 +149,21 @@ def pdf_pages(data: bytes) -> list[str]:
                     continue
                 for s in re.findall(rb"\(((?:[^()\\]|\\.)*)\)", piece[1] or piece[2], re.S):
                     lines.append(re.sub(rb"\\(.)", rb"\1", s).decode("cp1252", "replace"))
-        if text := reflow(normalise("".join(lines))).strip():
-            pages.append(text)
-    if not pages:
+        yield "".join(lines)
+
+
+def pdf_pages(data: bytes) -> list[str]:
+    """Texts of a PDF's pages, "" for those without any. pdf.py says what is read; pass another reader for more."""
+    if not data.startswith(b"%PDF") or b"%%EOF" not in data[-2048:]:
+        raise Unreadable("corrupt")
+    try:
+        pages = pdf.page_texts(data) or [t for t in _streams(data) if t.strip()]
+    except pdf.Locked as e:
+        raise Unreadable("password_protected") from e
+    except (zlib.error, ValueError) as e:
+        raise Unreadable("corrupt") from e
+    pages = [reflow(normalise(text)).strip() for text in pages]
+    if not any(pages):
         raise Unreadable("no_text")
     return pages
 
@@ -177,9 +180,10 @@ def extracted(data: bytes, kind: str, pdf_reader=pdf_pages) -> dict:
             pages = pdf_reader(data)
             count, text, blocks = len(pages), "", []
             for n, page in enumerate(pages, 1):
-                text += "\n\n" * bool(text)
-                blocks += paragraph_blocks(page, n, len(text))
-                text += page
+                if page:
+                    text += "\n\n" * bool(text)
+                    blocks += paragraph_blocks(page, n, len(text))
+                    text += page
         elif kind == "docx":
             text, blocks, title = joined(docx_pieces(data))
             if not text:
