@@ -95,9 +95,9 @@ def suggestions(files: DataFrame, chunks: DataFrame, frequencies: DataFrame, row
     """(content_id, query): searches after the newest files, first one for each kind and folder, then one for each folder, then any.
 
     The pool is bounded (POOL a kind), and so are its texts (SAMPLE chunks each): only these are tallied, and only their
-    queries reach the driver, which picks greedily. Boilerplate, by name or folder, is left out.
+    queries reach the driver, which picks greedily. Boilerplate, by name or folder, is left out, and contents without chunks take no place.
     """
-    linked = files.where("status = 'linked'")
+    linked = files.where("status = 'linked'").join(chunks.where("ord = 0").select("content_id"), "content_id", "left_semi")
     pool = recent_per_kind(linked).join(linked.groupBy("content_id").agg(F.max_by("rel_path", F.struct("mtime_ms", "file_id")).alias("rel_path")), "content_id")
     pool = pool.where(~F.col("name").rlike(BOILERPLATE_NAME) & ~F.concat("folder", F.lit(":"), "rel_path").rlike(BOILERPLATE_DIR)).withColumn("noun", file_noun(F.col("name"), F.col("rel_path")))
     texts = chunks.join(F.broadcast(pool.select("content_id")), "content_id", "left_semi").where(F.col("ord") < SAMPLE)

@@ -120,6 +120,47 @@ def changed_since(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.changed_since(old, listing)
 
 
+FLAGS, CHOICES = {"enabled": False, "muted": False, "readAloud": True}, {"sensitivity": ("balanced", "strict", "loose")}
+REST_MS, MOST_PIECE = 10 * 60_000, 3
+
+
+def history_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as stored histories: of seven turns one has no time, one a source without a snippet, one a citation that is a word; of eleven histories one isn't closed."""
+    turns = model.table(spark, sf_dir, "conversations")
+    n = F.col("turn") % 7
+    source = F.struct(F.col("turn").alias("n"), F.col("conv_id").alias("fileId"), F.lit("a.txt").alias("name"), F.when(n == 3, "p. 1").alias("location"), F.when(n != 1, "s").alias("snippet"))
+    entry = F.to_json(F.struct(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("question"), F.col("role").alias("answer"), F.array(source).alias("sources"), (n == 4).alias("insufficient"),
+        F.array(F.when(n == 2, '"word"').otherwise("7").alias("x")).alias("invalidCitations"), F.lit("m").alias("model"), F.when(n != 0, F.col("turn") + 0.5).alias("at"),
+    ))
+    entry = F.replace(F.replace(entry, F.lit('["7"]'), F.lit("[7]")), F.lit('["\\"word\\""]'), F.lit('["word"]'))
+    listed = turns.select("conv_id", "turn", entry.alias("entry")).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "entry"))), lambda t: t["entry"]), ",").alias("entries"))
+    json = F.concat(F.lit("["), "entries", F.when(F.col("conv_id") % 11 == 0, "").otherwise("]"))
+    found = history.parsed_ask_history(listed, json, "conv_id")
+    return found.select("conv_id", "place", F.try_variant_get("entry", "$.id", "string").alias("id"), F.sha2(F.try_variant_get("entry", "$.question", "string"), 256).alias("question"))
+
+
+def voice_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings with the number of an event's properties in them: flags that are words, choices that there aren't, texts that end early."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    enabled = F.when(k % 3 == 0, "true").when(k % 3 == 1, '"true"').otherwise("1")
+    choice = F.when(k % 4 == 0, '"strict"').when(k % 4 == 1, '"loud"').otherwise("[]")
+    raw = F.concat(F.lit('{"enabled":'), enabled, F.lit(',"readAloud":false,"other":true,"sensitivity":'), choice, F.when(k % 5 == 0, "").otherwise("}"))
+    return _events(spark, sf_dir).select("event_id", history.settings(raw, FLAGS, CHOICES).alias("s")).select("event_id", "s.*")
+
+
+def rested_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as searches with as many results as they are worth; a click opens one a minute later."""
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("user"), "at_ms", F.col("event_id").cast("string").alias("query"), F.floor(F.coalesce("value", F.lit(0.0)) / 20).alias("n_results"), F.when(F.col("event_type") == "click", F.col("at_ms") + 60_000).alias("opened_ms"))
+    return history.rested(rows, REST_MS).select("user", "at_ms", "query")
+
+
+def utterance_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as frames, loud where they are worth something; pieces of three frames at most."""
+    frames = _events(spark, sf_dir).select(F.col("user_id").alias("stream"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("seq"), F.coalesce("value", F.lit(0.0)).alias("level"))
+    return session.utterance_runs(frames, 30.0, 1, 1, MOST_PIECE)
+
+
 _E = "e AS (SELECT user_id, event_id, event_type, value, json_extract_string(props, '$.k') AS k, epoch_us(ts) // 1000 AS t_ms FROM events)"
 _U = f"{_E}, u AS (SELECT user_id AS device, t_ms AS start_ms, t_ms + floor(coalesce(value, 0) * 100)::BIGINT AS stop_ms, event_id::VARCHAR AS text FROM e WHERE event_type = 'click')"
 SQL = {
@@ -148,6 +189,15 @@ SQL = {
         a AS (SELECT DISTINCT CASE n WHEN 0 THEN '/' || upper(source) WHEN 1 THEN '/' || source || '/' || lang WHEN 2 THEN '/' || source || '/' || lang || '/deep' ELSE '/' || source || 'x' END AS path FROM d)
         SELECT path, known, CASE WHEN known = lower(path) THEN 'same' WHEN starts_with(lower(path), known || '/') THEN 'inside' ELSE 'absorbs' END AS verdict FROM a, r WHERE known = lower(path) OR starts_with(lower(path), known || '/') OR starts_with(known, lower(path) || '/')""",
     "folder_removed": f"WITH {model.FILES_SQL} SELECT content_id, count(*) AS files FROM files WHERE folder <> (SELECT min(folder) FROM files) GROUP BY content_id",
+    "history_parsed": """SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INTEGER AS place, conv_id || '-' || turn AS id, sha256(text) AS question FROM conversations
+        WHERE text IS NOT NULL AND role IS NOT NULL AND turn % 7 NOT IN (0, 1, 2) AND conv_id % 11 <> 0 QUALIFY place <= 50""",
+    "voice_settings": f"""WITH {_E} SELECT event_id, coalesce(k::BIGINT % 3 = 0 AND k::BIGINT % 5 <> 0, false) AS enabled, false AS muted, coalesce(k::BIGINT % 5 = 0, true) AS "readAloud",
+        CASE WHEN k::BIGINT % 4 = 0 AND k::BIGINT % 5 <> 0 THEN 'strict' ELSE 'balanced' END AS sensitivity FROM e""",
+    "rested_searches": f"""WITH {_E}, n AS (SELECT user_id AS user, t_ms AS at_ms, event_id::VARCHAR AS query, floor(coalesce(value, 0) / 20) AS found, event_type, lead(t_ms) OVER (PARTITION BY user_id ORDER BY t_ms, event_id::VARCHAR) AS next FROM e)
+        SELECT user, at_ms, query FROM n WHERE found > 0 AND (next IS NULL OR next - at_ms >= {REST_MS} OR (event_type = 'click' AND at_ms + 60000 <= next))""",
+    "utterance_pieces": f"""WITH {_E}, f AS (SELECT user_id AS stream, (row_number() OVER (PARTITION BY user_id ORDER BY event_id))::INTEGER AS seq, coalesce(value, 0) AS level FROM e),
+        i AS (SELECT *, seq - row_number() OVER (PARTITION BY stream ORDER BY seq) AS island FROM f WHERE level >= 30), r AS (SELECT stream, min(seq) AS low, max(seq) AS high FROM i GROUP BY stream, island)
+        SELECT stream, first::INTEGER AS first, least(high, first + {MOST_PIECE - 1})::INTEGER AS last FROM (SELECT *, unnest(range(low, high + 1, {MOST_PIECE})) AS first FROM r)""",
     "changed_since": f"{store_queries.MERGED} SELECT path_key, coalesce(o.old_size <> l.size OR o.old_mtime <> l.mtime_ms, true) AS changed FROM old o LEFT JOIN listing l USING (path_key)",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -187,12 +187,18 @@ def valid_frames(frames: DataFrame, size: int = 1600) -> DataFrame:
     return frames.where((F.size("samples") == size) & finite)
 
 
-def utterance_runs(frames: DataFrame, threshold: float = 0.02, gap_frames: int = 4, least_frames: int = 3) -> DataFrame:
-    """(stream, first, last) runs of loud frames (stream, seq, level) with pauses below gap_frames: gaps and islands."""
+def utterance_runs(frames: DataFrame, threshold: float = 0.02, gap_frames: int = 4, least_frames: int = 3, most_frames: int | None = 150) -> DataFrame:
+    """(stream, first, last) runs of loud frames (stream, seq, level) with pauses below gap_frames: gaps and islands.
+
+    Runs of more than most_frames are cut into pieces of so many; pieces and runs of fewer than least_frames are dropped.
+    """
     from pyspark.sql import Window
 
     loud = frames.where(F.col("level") >= threshold)
     order = Window.partitionBy("stream").orderBy("seq")
     marked = loud.withColumn("new", F.coalesce((F.col("seq") - F.lag("seq").over(order) > gap_frames).cast("int"), F.lit(1)))
     runs = marked.withColumn("run", F.sum("new").over(order)).groupBy("stream", "run").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    if most_frames is not None:
+        pieces = runs.select("stream", "last", F.explode(F.sequence("first", "last", F.lit(most_frames).cast(runs.schema["first"].dataType))).alias("first"))
+        runs = pieces.withColumn("last", F.least("last", F.col("first") + (most_frames - 1)))
     return runs.where(F.col("last") - F.col("first") + 1 >= least_frames).select("stream", "first", "last")
