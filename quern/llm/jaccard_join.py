@@ -502,3 +502,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     """jaccard_join() of all documents, three words and nine tenths; the cases are those of jaccard_join()."""
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+    SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] FOR i IN range(1, len(ws) - 1)]) END AS shingles FROM d),
+n AS MATERIALIZED (SELECT doc_id, len(shingles) AS n_shingles FROM g),
+s AS MATERIALIZED (SELECT doc_id, unnest(shingles) AS shingle FROM g),
+p AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n_shingles + y.n_shingles - common)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, n_shingles, least(doc_id, coalesce(min(b), doc_id)) AS component_id FROM n LEFT JOIN r ON a = doc_id GROUP BY doc_id, n_shingles
+"""
