@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import ELLIPSIS
@@ -89,3 +89,10 @@ def snippets(text: Column, terms: Column) -> Column:
         return pd.DataFrame({"snippet": [m[0] for m in made], "highlights": [[{"start": a, "stop": b} for a, b in m[1]] for m in made]})
 
     return F.pandas_udf(run, f"snippet string, highlights {RANGES}")(text, terms)
+
+
+def matches(views: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, of, start, stop, before, after): the places of terms in views (keys, text, terms), numbered from 1, with the numbers before and after them; the last leads on to the first."""
+    found = views.select(*keys, ranges(F.col("text"), F.col("terms")).alias("ranges")).withColumn("of", F.size("ranges"))
+    rows = found.select(*keys, "of", F.posexplode("ranges").alias("i", "r"))
+    return rows.select(*keys, (F.col("i") + 1).alias("n"), "of", "r.start", "r.stop", ((F.col("i") - 1 + F.col("of")) % F.col("of") + 1).alias("before"), ((F.col("i") + 1) % F.col("of") + 1).alias("after"))

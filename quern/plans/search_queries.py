@@ -274,6 +274,16 @@ def highlight_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "id", F.size("ranges").alias("n"), F.sha2(text.highlighted(F.col("text"), F.col("ranges")), 256).alias("marked_sha"))
 
 
+def view_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as it is shown, opened from one of the questions: its places, to walk through them."""
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    contents = model.contents(spark, sf_dir).select("content_id", "kind", flat.alias("text")).where("text <> ''")
+    asked = model.queries(spark, sf_dir).select("query_id", text.query_terms(F.col("query")).alias("terms"))
+    shown = chunking.stitch(chunking.chunk(contents)).select("content_id", F.regexp_replace("text", r"\s+", " ").alias("text"))
+    opened = shown.withColumn("query_id", F.pmod("content_id", F.lit(asked.count()))).join(small(asked), "query_id")
+    return highlight.matches(opened, "content_id")
+
+
 def ask_gate(spark: SparkSession, sf_dir: str, found: Found | None = None) -> DataFrame:
     """Which questions no model is asked: those without results or whose first result is of low confidence."""
     return ask.gate(model.queries(spark, sf_dir), _confidence(spark, sf_dir, found))
@@ -515,6 +525,9 @@ SQL = {
     "snippets": f"WITH RECURSIVE {_SNIPPETS} SELECT query_id, rank, content_id, CASE WHEN low > 0 THEN '…' ELSE '' END || body || CASE WHEN high < len THEN '…' ELSE '' END AS snippet, len([x FOR x IN regexp_extract_all(lower(body), '{_W}') IF len([t FOR t IN terms IF starts_with(x, t)]) > 0]) AS n_highlights FROM s5",
     "highlight_ranges": f"""WITH RECURSIVE {_SHOWN}, shown AS (SELECT query_id, ev.id, rank, ev.content_id, text, terms FROM ev JOIN chunks c ON c.id = ev.id JOIN qt USING (query_id) WHERE rank <= 3), {_WORDS}
         SELECT query_id, id, count(*) FILTER (hit > 0) AS n, sha256(string_agg(gap || CASE WHEN hit > 0 THEN '[' || word || ']' ELSE word END, '' ORDER BY i) || any_value(gaps[-1])) AS marked_sha FROM t2 JOIN t0 USING (query_id, id) GROUP BY query_id, id""",
+    "view_matches": rf"""WITH RECURSIVE {CONTENTS}, {_TERMS}, shown AS (SELECT content_id AS query_id, content_id AS id, (trim(regexp_replace(text, '\s+', ' ', 'g')))[1:{chunking.VIEW_CHARS}] AS text, terms FROM contents JOIN qt ON qt.query_id = content_id % (SELECT count(*) FROM benchmark)), {_WORDS},
+        h AS (SELECT id AS content_id, b - length(word) AS start, b AS stop, row_number() OVER (PARTITION BY id ORDER BY i) AS n, count(*) OVER (PARTITION BY id) AS of FROM t2 WHERE hit > 0)
+        SELECT *, CASE WHEN n = 1 THEN of ELSE n - 1 END AS before, CASE WHEN n = of THEN 1 ELSE n + 1 END AS after FROM h""",
     "known_item_metrics": f"""WITH RECURSIVE {_SCORED}, {_list_sql('anyl')}, best AS (SELECT query_id, id // {1 << model.CHUNK_BITS} AS content_id, min(rank) AS rank FROM anyl GROUP BY ALL), rel AS (SELECT DISTINCT item_id::BIGINT AS query_id, content_id FROM benchmark b, contents c WHERE contains(' ' || c.text || ' ', ' ' || b.text || ' ')),
         p AS (SELECT query_id, count(*) AS total, min(rank) FILTER (rank <= 10) AS first, count(*) FILTER (rank <= 5) AS top5 FROM rel LEFT JOIN best USING (query_id, content_id) GROUP BY query_id)
         SELECT count(*) AS queries, round(avg(coalesce(1 / first, 0)), 6) AS mrr_10, round(avg((top5 > 0)::INTEGER), 6) AS hit_5, round(avg(top5 / total), 6) AS found_5 FROM p""",

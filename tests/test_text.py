@@ -110,3 +110,9 @@ def test_labels_modes_and_actions(spark):
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(raw)], "i int, raw string").orderBy("i").select(text.valid_action(F.col("raw"))).collect()]
     assert [g and g["type"] for g in got] == ["dismiss", "select", None, None, "hover", None, "resize", None, "open_source", None, None, None]
     assert got[1]["index"] == 3 and got[6]["height"] == 480 and got[8]["file_id"] == 7 and got[4]["on"] is True
+
+
+def test_matches_lead_round(spark):
+    views = spark.createDataFrame([(1, "tax a taxes, Tax", ["tax"]), (2, "none", ["tax"]), (3, "one tax", ["tax", "on"]), (4, None, ["tax"]), (5, "tax", None)], "content_id int, text string, terms array<string>")
+    got = sorted(tuple(r) for r in highlight.matches(views, "content_id").collect())
+    assert got == [(1, 1, 3, 0, 3, 3, 2), (1, 2, 3, 6, 11, 1, 3), (1, 3, 3, 13, 16, 2, 1), (3, 1, 2, 0, 3, 2, 2), (3, 2, 2, 4, 7, 1, 1)]
