@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,15 +44,17 @@ def nearest_rank(rows: DataFrame, value: str, shares: list[float], by: str) -> D
 
 
 def word_errors(said: Column, heard: Column) -> Column:
-    """Edits of words between two texts; Arrow batches."""
+    """Edits of words between two texts; Arrow batches. Time goes with the product of the lengths, memory with one of them: a row of the table is one numpy step."""
 
     def distance(a: list[str], b: list[str]) -> int:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+        numbers: dict[str, int] = {}
+        x, y = ([numbers.setdefault(w, len(numbers)) for w in words] for words in (a, b))
+        heard, at = np.array(y, np.int64), np.arange(len(y) + 1)
+        row = at
+        for i, word in enumerate(x, 1):
+            best = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (heard != word))])
+            row = np.minimum.accumulate(best - at) + at  # words left out: one more for each place to the right
+        return int(row[-1])
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([distance((x or "").lower().split(), (y or "").lower().split()) for x, y in zip(a, b, strict=True)])

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import html as entities
 import io
+import json
 import multiprocessing
 import re
 import unicodedata
+import uuid
 import wave
 import zipfile
 import zlib
@@ -304,3 +306,19 @@ def folder_list(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "folders array<string>").alias("d"), F.from_json("value", "folders array<variant>").alias("v"))
     typed = F.filter("v.folders", lambda x: F.schema_of_variant(x) == "STRING")
     return rows.select(F.explode(F.transform(typed, lambda x: x.cast("string"))).alias("path"))
+
+
+def write_folder_list(spark: SparkSession, path: str, folders: list[str], paused: bool = False) -> None:
+    """The document that folder_list() reads, put in place by renaming: a reader sees the old one or the new one, whole."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at, part = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.tmp"))
+    system = at.getFileSystem(conf)
+    out = system.create(part, True)
+    try:
+        out.write(json.dumps({"version": 1, "folders": folders, "paused": paused}, indent=2).encode())
+    finally:
+        out.close()
+    kind = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
+    replace = spark.sparkContext._gateway.new_array(kind, 1)
+    replace[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), conf).rename(part, at, replace)

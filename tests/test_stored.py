@@ -1,10 +1,12 @@
 """What users and programs have stored: histories and settings that may be damaged, searches half typed, long utterances."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from quern.operators import history
+from quern.operators import evaluate, history
+from quern.sources import files
 from quern.streaming import session
 
 SOURCE = {"n": 1, "fileId": 2, "name": "a", "snippet": "s"}
@@ -52,3 +54,30 @@ def test_long_utterances_are_cut(spark):
     cut = session.utterance_runs(frames, most_frames=4)
     assert sorted((r["first"], r["last"]) for r in cut.collect()) == [(0, 3), (4, 7), (40, 43), (44, 46)]
     assert sorted((r["first"], r["last"]) for r in session.utterance_runs(frames, most_frames=None).collect()) == [(0, 9), (40, 46)]
+
+
+def test_word_errors_equal_a_plain_table(spark):
+    rng = random.Random(4)
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    pairs = [([rng.choice("abcd") for _ in range(rng.randint(0, 12))], [rng.choice("abcde") for _ in range(rng.randint(0, 12))]) for _ in range(60)]
+    long = [str(i % 977) for i in range(6000)]
+    rows = [(i, " ".join(a), " ".join(b)) for i, (a, b) in enumerate(pairs)] + [(100, None, "a b"), (101, "A  b", "a B"), (102, " ".join(long), " ".join(long[:2000] + long[2500:]))]
+    got = {r["n"]: r["e"] for r in spark.createDataFrame(rows, "n int, a string, b string").select("n", evaluate.word_errors(F.col("a"), F.col("b")).alias("e")).collect()}
+    assert got == {i: plain(a, b) for i, (a, b) in enumerate(pairs)} | {100: 2, 101: 0, 102: 500}
+
+
+def test_folder_list_is_replaced_whole(spark, tmp_path):
+    for path in (f"{tmp_path}/folders.json", f"file://{tmp_path}/folders.json"):
+        for folders in (["/a", "/b é"], []):
+            files.write_folder_list(spark, path, folders, paused=True)
+            assert [r["path"] for r in files.folder_list(spark, path).collect()] == folders
+    assert json.loads((tmp_path / "folders.json").read_text()) == {"version": 1, "folders": [], "paused": True}
+    assert [p.name for p in tmp_path.iterdir() if p.suffix == ".tmp"] == []
