@@ -165,14 +165,20 @@ def reset_frames(frames: DataFrame, delay: int = 8) -> DataFrame:
 def requests(wakes: DataFrame, utterances: DataFrame, window_ms: int = WAKE_MS, settle_ms: int = SETTLE_MS) -> DataFrame:
     """Utterances (device, start_ms, stop_ms, text) within the window after a wake (device, at_ms), or up to the settling time before a late one.
 
-    One row an utterance, with its nearest wake: a windowed equi-join on the device and on ten-second buckets of time.
+    One row an utterance, with its nearest wake: the last one before it, settling time included, found in one walk over both in order of time. Stretches
+    of a device as long as a wake can reach are groups of their own; a wake is in its stretch and the next, so work grows with the rows and no device is one task.
     """
-    bucket = 10_000
-    near = wakes.select("device", "at_ms", F.explode(F.sequence(F.floor((F.col("at_ms") - settle_ms) / bucket), F.floor((F.col("at_ms") + window_ms) / bucket))).alias("bucket"))
-    said = utterances.withColumn("bucket", F.floor(F.col("start_ms") / bucket))
-    inside = (F.col("start_ms") >= F.col("at_ms") - settle_ms) & (F.col("start_ms") <= F.col("at_ms") + window_ms)
-    hits = said.join(near, ["device", "bucket"]).where(inside)
-    return hits.groupBy("device", "start_ms", "stop_ms", "text").agg(F.max("at_ms").alias("wake_ms"))
+    from pyspark.sql import Window
+
+    reach = window_ms + settle_ms + 1
+    stretch = F.col("t") - F.pmod("t", F.lit(reach).cast("long"))
+    heard = wakes.where("device is not null").select("device", F.col("at_ms").cast("long").alias("t"), F.col("at_ms").alias("wake_ms")).where("t is not null")
+    heard = heard.select("device", "t", "wake_ms", F.explode(F.array(stretch, stretch + reach)).alias("stretch"))
+    said = utterances.where("device is not null and start_ms is not null").select("device", "start_ms", "stop_ms", "text", (F.col("start_ms") + settle_ms).cast("long").alias("t"))
+    both = said.withColumn("stretch", stretch).withColumn("said", F.lit(True)).unionByName(heard.withColumn("said", F.lit(False)), allowMissingColumns=True).repartition("device", "stretch")
+    order = Window.partitionBy("device", "stretch").orderBy("t", "said").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a wake comes before what is said at its time
+    near = both.withColumn("wake_ms", F.last("wake_ms", ignorenulls=True).over(order)).where(F.col("said") & (F.col("start_ms") <= F.col("wake_ms") + window_ms))
+    return near.groupBy("device", "stretch", "start_ms", "stop_ms", "text").agg(F.max("wake_ms").alias("wake_ms")).drop("stretch")
 
 
 def second_chances(utterances: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Sessions, wake windows, debouncing, history, answers and metrics."""
 
 import datetime
+import random
 import time
 
 import pytest
@@ -102,6 +103,18 @@ def test_wake_windows(spark):
     assert {r["text"] for r in session.second_chances(said).collect()} == {"late wake", "in", "out"}
 
 
+def test_wake_windows_grow_with_their_rows(spark):
+    rng = random.Random(8)
+    wakes = [(d, rng.randrange(-5000, 60_000)) for d in "abc" for _ in range(60)] + [("a", None), (None, 10)]
+    said = [(d, s, s + 5, f"{d}{s}") for d in "abcd" for s in rng.sample(range(-9000, 70_000), 150)] + [("b", 100, 105, "twice")] * 2 + [(None, 10, 11, "nobody"), ("a", None, 11, "never")]
+    found = session.requests(spark.createDataFrame(wakes, "device string, at_ms long"), spark.createDataFrame(said, "device string, start_ms long, stop_ms long, text string"), 700, 90)
+    near = {u: [a for d, a in wakes if d == u[0] and None not in (d, a, u[1]) and a - 90 <= u[1] <= a + 700] for u in said}
+    assert sorted(map(tuple, found.collect())) == sorted((*u, max(at)) for u, at in near.items() if at)
+    # a window of ten thousand buckets: no wake becomes more than two rows
+    far = session.requests(spark.range(40).selectExpr("'d' AS device", "id * 100000 AS at_ms"), spark.createDataFrame([("d", 4_000_001, 0, "x")], "device string, start_ms long, stop_ms long, text string"), 100_000_000)
+    assert far.first()["wake_ms"] == 3_900_000 and "sequence(" not in far._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_frames(spark):
     frames = spark.createDataFrame([(1, [0.0] * 4), (2, [0.0, float("nan"), 0.0, 0.0]), (3, [0.0]), (4, [float("inf")] * 4)], "seq long, samples array<double>")
     assert [r["seq"] for r in session.valid_frames(frames, 4).collect()] == [1]
