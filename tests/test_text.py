@@ -1,13 +1,17 @@
 """Text, path, intent and highlight functions by example."""
 
+import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.functions import highlight, intent, paths, text
+from quern.operators import chunking
 from quern.sources import files
 
 
@@ -116,3 +120,27 @@ def test_matches_lead_round(spark):
     views = spark.createDataFrame([(1, "tax a taxes, Tax", ["tax"]), (2, "none", ["tax"]), (3, "one tax", ["tax", "on"]), (4, None, ["tax"]), (5, "tax", None)], "content_id int, text string, terms array<string>")
     got = sorted(tuple(r) for r in highlight.matches(views, "content_id").collect())
     assert got == [(1, 1, 3, 0, 3, 3, 2), (1, 2, 3, 6, 11, 1, 3), (1, 3, 3, 13, 16, 2, 1), (3, 1, 2, 0, 3, 2, 2), (3, 2, 2, 4, 7, 1, 1)]
+
+
+def test_words_of_batches_are_those_of_columns(spark):
+    rng = random.Random(3)
+    texts = ["", "", "ab", "cd", "", "é", "x", *("".join(rng.choice("aB9 _é\u0130ß٣²Ⅷ一😀-\u0301\U0002ebf8") for _ in range(rng.randrange(60))) for _ in range(2000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.lower("t").alias("low"), text.words(F.col("t")).alias("words"))
+    rows = df.orderBy("i").collect()
+    points = np.unpackbits(np.frombuffer(text.word_points(spark), np.uint8), count=text.POINTS).astype(bool)
+    column = pa.array([r["low"] for r in rows])
+    for part, wanted in ((column, rows), (column[3:900], rows[3:900]), (column[:0], []), (column[:2], rows[:2])):
+        many, flat = text.split_words(part, points)
+        assert many.tolist() == [len(r["words"]) for r in wanted] and flat.to_pylist() == [w for r in wanted for w in r["words"]]
+
+
+def test_sentence_ends_of_ranges_are_those_of_the_text():
+    rng = random.Random(5)
+    for _ in range(300):
+        t = "".join(rng.choice(["a", "bc ", ". ", '?"  ', ".' ", "\n", " \n \n", ".", ") ", "\r\n", "x" * 9]) for _ in range(rng.randrange(80)))
+        found = [(m.start(), m.start(1), m.end()) for m in re.finditer(r"[.!?][\"')\]]?(\s+)", t)]
+        low, high = sorted(rng.randrange(len(t) + 1) for _ in range(2))
+        inside = [min(end, high) for mark, blank, end in found if mark >= low and blank < high]
+        breaks = chunking.Breaks(t)
+        assert (breaks.first(low, high), breaks.last(low, high)) == ((inside[0], inside[-1]) if inside else (None, None))
+        assert [(b.start, b.stop) for b in chunking.paragraph_blocks(t)] == [(m.start(), m.start() + len(m[0].rstrip())) for m in re.finditer(r"\S[\s\S]*?(?=\n\s*\n|\Z)", t)]
