@@ -195,6 +195,16 @@ def test_names_weigh_more_and_common_words_nothing(spark):
     assert rows == {"lisbon": 3.0, "meeting": 2.0}
 
 
+def test_words_are_counted_where_their_text_is(spark):
+    contents = suggest.together(spark.createDataFrame([(i, "Budget memos by Acme cover Budget memos.") for i in range(50)], "content_id long, text string"))
+    freq = spark.createDataFrame([("budget", 50)], "term string, df long")
+    words = suggest.forms(contents)
+    plan = suggest.tallies(words)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(content_id") == 1 and plan.count("Exchange") == 1  # texts, and no words
+    found = suggest.phrases(contents, words, suggest.distinctive(words, freq, 50)).collect()
+    assert {(r["phrase"], r["tf"]) for r in found} == {("budget memos", 2)} and len(found) == 50
+
+
 def test_suggestions_vary_kinds_and_folders(spark):
     rows = [(1, "code", "f:a", 9), (2, "text", "f:a", 8), (3, "text", "f:b", 7), (4, "code", "f:c", 6), (5, "text", "f:b", 5)]
     made = [{"content_id": c, "kind": k, "dir": d, "mtime_ms": m} for c, k, d, m in sorted(rows, key=lambda r: (r[1] == "code", -r[3]))]
