@@ -315,6 +315,31 @@ def test_thresholds_hold_both_conditions_or_there_is_none():
     assert secret_scan.chosen(hits, [words, np.append(other, [0.9] * 20)], (10**6, 920)) is None
 
 
+def test_the_threshold_counts_every_candidate(spark, monkeypatch):
+    """Not the ones picked to learn from: here more candidates than CEILING allows are at or above what the others kept back would allow."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 4000")
+    rng = np.random.default_rng(1)
+    made = np.zeros((300, secret_scan.BEFORE + secret_scan.PIECE + secret_scan.AFTER), np.uint8)
+    made[:, : secret_scan.BEFORE + secret_scan.PIECE] = rng.integers(97, 123, (300, secret_scan.BEFORE + secret_scan.PIECE))
+    others = made[100:].copy()
+    others[:, secret_scan.BEFORE : secret_scan.BEFORE + secret_scan.PIECE - 10] = 101
+    net = secret_scan.fit(made[:100], (others, others[:0]))
+    assert net is not None
+    net = net._replace(threshold=0.0, hits=np.linspace(0.5, 1.0, 500))
+    rows = secret_scan.found(docs, net).select("met", "spans").persist()
+    scores = np.array([s["score"] for r in rows.select("spans").collect() for s in r["spans"] if s["score"] < np.inf])
+    assert len(scores) == rows.selectExpr("sum(met)").first()[0] > 50_000
+    for ceiling in (1e-5, 1e-3, 0.02):
+        monkeypatch.setattr(secret_scan, "CEILING", ceiling)
+        most = int(ceiling * len(scores))
+        for hits in (np.linspace(0.5, 1.0, 500), np.append(np.linspace(0.0, 0.1, 5), np.ones(500)), np.linspace(1.5, 2.0, 500)):
+            own = net._replace(hits=hits)
+            at = secret_scan.threshold(rows, own)
+            assert at == secret_scan.chosen(hits, [scores], (len(scores),))
+            assert at is None or ((scores >= at).sum() <= most and (hits >= at).mean() >= secret_scan.LEAST_FOUND)
+    rows.unpersist()
+
+
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
 def test_the_network_leaves_plain_documents_alone(spark, size):
     """At most one other span in 1,000 documents, of the documents it has learnt from and at every size; too few findings give no network."""
