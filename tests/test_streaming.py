@@ -215,3 +215,11 @@ def test_suggestions_vary_kinds_and_folders(spark):
     freq = spark.createDataFrame([("landlord", 1)], "term string, df long")
     got = {r["content_id"]: r["query"] for r in suggest.suggestions(files, chunks, freq, 50).collect()}
     assert got == {1: "agreement about deposit and landlord", 3: "recipe about tomato and basil"}
+
+
+def test_suggestions_read_texts_to_their_end(spark):
+    files = spark.createDataFrame([(1, 1, "x.txt", "x.txt", "text", "/d", 5, "linked")], "file_id long, content_id long, name string, rel_path string, kind string, folder string, mtime_ms long, status string")
+    late = {20: "basil tomato tomato", 21: "tomato basil tomato"}
+    chunks = spark.createDataFrame([(1, n, late.get(n, "landlord deposit" if n == 0 else "and so")) for n in range(40)], "content_id long, ord int, text string")
+    got = suggest.suggestions(files, chunks, spark.createDataFrame([("landlord", 1)], "term string, df long"), 50).collect()
+    assert [tuple(r) for r in got] == [(1, "notes about tomato and basil")]
