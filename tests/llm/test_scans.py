@@ -340,6 +340,21 @@ def test_the_threshold_counts_every_candidate(spark, monkeypatch):
     rows.unpersist()
 
 
+def test_secrets_are_added_however_many_there_are(spark, tmp_path):
+    """60 keys that no pattern knows among 590,000 candidates are far more than one in 100,000."""
+    rng = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows, spans = [], {}
+    for i, r in enumerate(docs.where("doc_id % 50 = 0 and length(text) > 200").orderBy("doc_id").limit(60).collect(), 10**6):
+        words, key = r["text"].split(" ")[:60], "".join(rng.choice(string.ascii_letters) for _ in range(40))
+        words.insert(rng.randrange(len(words) + 1), key)
+        rows.append((i, " ".join(words)))
+        spans[i] = f"network:{rows[-1][1].index(key)}:{rows[-1][1].index(key) + 40}"
+    docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string")).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["spans"].split(",") for r in secret_scan.op4_secret_scan(spark, str(tmp_path)).where("doc_id >= 1000000").collect()}
+    assert len(got) == 60 and sum(spans[i] in own for i, own in got.items()) >= 54
+
+
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
 def test_the_network_leaves_plain_documents_alone(spark, size):
     """At most one other span in 1,000 documents, of the documents it has learnt from and at every size; too few findings give no network."""
